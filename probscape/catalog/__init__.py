@@ -1,4 +1,4 @@
 """Every operator as a registered query."""
 
 from probscape.catalog.base import ORACLES, QUERIES  # noqa: F401
-from probscape.catalog import features  # noqa: F401
+from probscape.catalog import features, metadata, sources  # noqa: F401
