@@ -37,7 +37,7 @@ def rounded_sql(body: str, doubles: str) -> str:
     if not names:
         return body
     repl = ", ".join(
-        f"CASE WHEN abs({n}) < 1e-9 THEN 0.0::DOUBLE ELSE CAST(printf('%.7e', ({n})::DOUBLE * {OFF_TIES}::DOUBLE) AS DOUBLE) END AS {n}"
+        f"CASE WHEN abs(\"{n}\") < 1e-9 THEN 0.0::DOUBLE ELSE CAST(printf('%.7e', \"{n}\"::DOUBLE * {OFF_TIES}::DOUBLE) AS DOUBLE) END AS \"{n}\""
         for n in names
     )
     return f"SELECT * REPLACE ({repl}) FROM ({body}) AS canonical_rows"
