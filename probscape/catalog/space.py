@@ -55,7 +55,7 @@ shifted AS (SELECT instances, feature, x - min_x + 1 AS t, min_x FROM clipped JO
     "m2_box_cox_profile",
     f"""SELECT feature, lam AS "lambda", -count(*) / 2.0::DOUBLE * ln(var_pop(CASE WHEN lam = 0 THEN ln(t) ELSE (pow(t, lam) - 1) / lam END))
           + (lam - 1) * sum(ln(t)) AS ll
-        FROM shifted, (SELECT unnest({_LAMBDAS})::DOUBLE AS lam) GROUP BY ALL""",
+        FROM shifted, (SELECT unnest({_LAMBDAS})::DOUBLE AS lam) GROUP BY feature, lam""",
     (ad.METADATA, _bounds_cte(FEATS, "metadata"), _LONG, _SHIFTED), "lambda ll",
 )
 def m2_profile(spark, sf_dir):
