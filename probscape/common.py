@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 MODEL_ROWS = 20_000
 
 
+#: Rows of a narrow table (a key and a few numbers) that may be sent to every task.
+SHARED_ROWS = 1_000_000
+
+
 class DataError(ValueError):
     """An input table breaks the contract of an operator."""
 
@@ -88,3 +92,8 @@ def fits(df: DataFrame, limit: int) -> bool:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared(df: DataFrame, limit: int = SHARED_ROWS) -> DataFrame:
+    """Broadcast a narrow table after counting it; a larger one is joined by shuffle."""
+    return F.broadcast(df) if fits(df, limit) else df

@@ -7,14 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from probscape.common import DataError, require_rows
-from probscape.functions.features import KEY, Corpus
+from probscape.common import DataError, cut, require_rows, shared
+from probscape.functions.features import KEY, Corpus, fold_symmetric
 from probscape.sources.text import (
     decimal,
     integer,
     is_relevant,
     parse_block_sizes,
-    strip_brackets,
     tokens,
 )
 
@@ -64,9 +63,10 @@ def numbered_lines(spark: SparkSession, paths: str | Sequence[str], suffix: str
     """Relevant lines of text files as ``(instance, seq, line)``; files may span many splits.
 
     Within a split the reader keeps line order, so an increasing id tells the position
-    relative to the split's first line; the splits' line counts (one row per split) give
-    the offset.  No line is shuffled or sorted.  A folder ``instance=X`` of ordered part
-    files (what ``export_corpus`` writes) is one instance.
+    relative to the split's first line; the splits' line counts give the offset.  That table
+    (one row per split) is made first, in a pass of its own; no line is shuffled or sorted.
+    A folder ``instance=X`` of ordered part files (what ``export_corpus`` writes) is one
+    instance.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
     raw = reader.text(list(paths) if not isinstance(paths, str) else paths).select(
@@ -85,15 +85,15 @@ def numbered_lines(spark: SparkSession, paths: str | Sequence[str], suffix: str
         F.min("at").alias("first"), F.count(F.lit(1)).alias("n")
     ).withColumn(KEY, named)
     before = Window.partitionBy(KEY).orderBy("file_path", "start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select(
-        KEY, "file_path", "start", "first",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
-    )
+    splits = cut(splits.select(
+        KEY, "file_path", "start",
+        (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"),
+    ))
     # every line finds its split; a miss would mean the two scans split the files differently
-    joined = lines.join(splits, ["file_path", "start"], "left")
-    return joined.select(
-        F.coalesce(KEY, F.raise_error(F.lit("file splits changed between scans")).cast("string")).alias(KEY),
-        (F.col("offset") + F.col("at") - F.col("first")).alias("seq"),
+    lost = F.raise_error(F.lit("file splits changed between scans"))
+    return lines.join(shared(splits), ["file_path", "start"], "left").select(
+        F.coalesce(KEY, lost.cast("string")).alias(KEY),
+        (F.coalesce("shift", lost.cast("bigint")) + F.col("at")).alias("seq"),
         "line",
     )
 
@@ -101,11 +101,11 @@ def numbered_lines(spark: SparkSession, paths: str | Sequence[str], suffix: str
 def parse_lines(lines: DataFrame) -> Corpus:
     """Problem tables from ``(instance, seq, line)`` with comments already dropped.
 
-    Lines 0–3 are the header (m, n_blocks, block sizes, b) and must be consistent; of the
-    body, rows that are short, not numeric, zero or out of range are skipped.
+    Lines 0–3 are the header (m, n_blocks, block sizes, b); it is parsed at once, one row per
+    instance, and must be consistent.  Of the body, rows that are short, not numeric, zero
+    or out of range are skipped.
     """
-    head = lines.where(F.col("seq") < 4)
-    heads = head.groupBy(KEY).agg(
+    heads = lines.where(F.col("seq") < 4).groupBy(KEY).agg(
         *[F.max(F.when(F.col("seq") == i, F.trim("line"))).alias(f"l{i}") for i in range(4)]
     )
 
@@ -123,42 +123,38 @@ def parse_lines(lines: DataFrame) -> Corpus:
             b_tokens, lambda t: F.coalesce(decimal(t), F.raise_error(F.lit("bad vector b")).cast("double"))
         ).alias("b"),
     )
-    checked = parsed.select(
+    checked = cut(parsed.select(
         KEY, "m",
         F.when(F.size("sizes") == F.col("n_blocks"), F.col("n_blocks"))
         .otherwise(fault("block count differs from the header", "int")).alias("n_blocks"),
         "sizes",
         F.when(F.size("b") == F.col("m"), F.col("b"))
         .otherwise(fault("length of b differs from m", "array<double>")).alias("b"),
+    ))
+    problems = checked.select(KEY, "m", "n_blocks")
+    blocks = checked.select(KEY, F.posexplode("sizes").alias("pos", "size")).select(
+        KEY, (F.col("pos") + 1).alias("block_id"), "size"
     )
-    # the checks live in the values, so a table that uses none of them still applies them
-    sound = (F.size("b") == F.col("m")) & (F.col("n_blocks") > 0)
-    problems = checked.where(F.coalesce(sound, F.lit(True))).select(KEY, "m", "n_blocks")
-    blocks = checked.where(F.coalesce(sound, F.lit(True))).select(
-        KEY, F.posexplode("sizes").alias("pos", "size")
-    ).select(KEY, (F.col("pos") + 1).alias("block_id"), "size")
-    rhs = checked.where(F.coalesce(sound, F.lit(True))).select(
-        KEY, F.posexplode("b").alias("pos", "b")
-    ).select(KEY, (F.col("pos") + 1).alias("mat_id"), "b")
-
-    t = F.col("t")
-    row, col = integer(F.get(t, 2)), integer(F.get(t, 3))
+    rhs = checked.select(KEY, F.posexplode("b").alias("pos", "b")).select(KEY, (F.col("pos") + 1).alias("mat_id"), "b")
+
+    names = ("mat_id", "block_id", "row", "col")
+
+    def fields(t):
+        return F.struct(
+            F.size(t).alias("n"), *[integer(F.get(t, i)).alias(c) for i, c in enumerate(names)],
+            decimal(F.get(t, 4)).alias("value"),
+        )
+
+    # the lambda binds the tokens, so a line is split once; the generator keeps the filters
+    # below from being pushed into another evaluation of it
     body = (
         lines.where(F.col("seq") >= 4)
-        .select(KEY, tokens(F.col("line")).alias("t"))
-        .where(F.size("t") >= 5)
-        .select(
-            KEY, integer(F.get(t, 0)).alias("mat_id"), integer(F.get(t, 1)).alias("block_id"),
-            row.alias("row"), col.alias("col"), decimal(F.get(t, 4)).alias("value"),
-        )
-        .dropna(subset=["mat_id", "block_id", "row", "col", "value"])
+        .select(KEY, F.inline(F.transform(F.array(tokens(F.col("line"))), fields)))
+        .where("n >= 5").dropna(subset=[*names, "value"])
         .where((F.col("value") != 0) & (F.col("mat_id") >= 0) & (F.col("block_id") >= 1))
-        .withColumns({"row": F.least("row", "col"), "col": F.greatest("row", "col")})
     )
-    # one header row per instance; broadcast by the optimizer while it is small, and a
-    # skewed instance is split by the adaptive join when it is not
-    entries = (
-        body.join(problems, KEY)
+    entries = fold_symmetric(
+        body.join(shared(problems), KEY)
         .where((F.col("mat_id") <= F.col("m")) & (F.col("block_id") <= F.col("n_blocks")))
         .select(KEY, "mat_id", "block_id", "row", "col", "value")
     )

@@ -37,12 +37,8 @@ def fortran_integer(tok: Column) -> Column:
 
 
 def is_relevant(line: Column, comment: tuple[str, ...] = ('"', "*")) -> Column:
-    """Neither blank nor a comment."""
-    text = F.trim(F.regexp_replace(line, r"[\t\r\n\f\x0B]", " "))
-    ok = text != ""
-    for mark in comment:
-        ok = ok & ~text.startswith(mark)
-    return ok
+    """Neither blank nor a comment: the first visible character is no comment mark."""
+    return line.rlike(r"^\s*[^\s" + "".join(comment) + "]")
 
 
 def strip_brackets(line: Column) -> Column:
