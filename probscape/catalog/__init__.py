@@ -1,4 +1,4 @@
 """Every operator as a registered query."""
 
 from probscape.catalog.base import ORACLES, QUERIES  # noqa: F401
-from probscape.catalog import augment, features, geometry, metadata, sources, space  # noqa: F401
+from probscape.catalog import augment, features, geometry, jobs, metadata, sources, space  # noqa: F401

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from probscape import adapters as ad
 from probscape.catalog.base import query
-from probscape.common import table
+from probscape.common import cut, table
 from probscape.functions.draws import Draws
 from probscape.functions.features import Corpus
 from probscape.operators import augment as ag
@@ -63,9 +63,11 @@ CTES = (ad.CORPUS, UNIQ)
 ALL = "instance, mat_id, block_id, row, col, value"
 
 
-def unique(spark, sf_dir) -> Corpus:
+def unique(spark, sf_dir, reused: bool = False) -> Corpus:
+    """The corpus view with one entry per coordinate, materialised where an operator reads it often."""
     c = ad.corpus(spark, sf_dir)
-    return Corpus(c.problems, c.blocks, c.rhs, ag.unique_entries(c.entries))
+    entries = ag.unique_entries(c.entries)
+    return Corpus(c.problems, c.blocks, c.rhs, cut(entries) if reused else entries)
 
 
 # ------------------------------------------------------------------------------- values
@@ -133,7 +135,7 @@ _CHOSEN = f"chosen AS (SELECT instance, {isql('mat', 'm', 'instance')} AS mat_id
     (*CTES, _CHOSEN, _positions("chosen", 250, "5")), "value",
 )
 def c4(spark, sf_dir):
-    c = unique(spark, sf_dir)
+    c = unique(spark, sf_dir, reused=True)
     chosen = ag.choose_matrix(c.problems, DRAWS).unionByName(ag.objective_of(c.problems))
     return ag.add_entries(c, chosen, 5, DRAWS)
 
@@ -155,7 +157,7 @@ def _as_rows(c: Corpus):
     (*CTES, "chosen AS (SELECT instance, m + 1 AS mat_id FROM problems)", _positions("chosen", 150, isql("count", "3", "instance"))), "value",
 )
 def c5(spark, sf_dir):
-    return _as_rows(ag.add_constraint(unique(spark, sf_dir), DRAWS))
+    return _as_rows(ag.add_constraint(unique(spark, sf_dir, reused=True), DRAWS))
 
 
 @query(
@@ -193,7 +195,7 @@ taken AS (SELECT {ALL} FROM offer WHERE rk <= {isql('takes', "least(CASE WHEN pa
     (*CTES, _BLEND), "value",
 )
 def c7(spark, sf_dir):
-    c = unique(spark, sf_dir)
+    c = unique(spark, sf_dir, reused=True)
     sup = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS s", "count(*) OVER () AS n")
     pairs = sup.selectExpr(
         "concat('child', cast(s AS string)) AS child", "concat('inst', cast(s AS string)) AS parent_a",

@@ -11,7 +11,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probscape.common import DataError
+from probscape.common import DataError, cut
 from probscape.functions.draws import Draws, HashDraws
 from probscape.functions.features import KEY, Corpus
 from probscape.functions.order_stats import grouped_median
@@ -240,3 +240,96 @@ def blend(corpus: Corpus, pairs: DataFrame, draws: Draws | None = None) -> Corpu
     ).select(*COORD, "value")
     entries = mixed.join(taken.select(*COORD), COORD, "left_anti").unionByName(taken)
     return Corpus(of(p, "parent_a").select(KEY, "m", "n_blocks"), of(corpus.blocks, "parent_a").select(KEY, "block_id", "size"), rhs, entries)
+
+
+# ------------------------------------------------------------------------------- mixture
+
+# The mutations a child may get, most new or removed entries per unit of step.
+MUTATIONS = (
+    "scale_C", "scale_b", "scale_A", "perturb_C", "perturb_A", "add_C", "remove_C",
+    "add_A", "remove_A", "add_constraint", "remove_constraint",
+)
+ADD_MOST, REMOVE_MOST = 5, 3
+
+
+def restrict(corpus: Corpus, keys: DataFrame) -> Corpus:
+    return Corpus(*[
+        t.join(keys.select(KEY), KEY, "left_semi") for t in (corpus.problems, corpus.blocks, corpus.rhs, corpus.entries)
+    ])
+
+
+def union(parts: list[Corpus]) -> Corpus:
+    out = parts[0]
+    for p in parts[1:]:
+        out = Corpus(
+            out.problems.unionByName(p.problems), out.blocks.unionByName(p.blocks),
+            out.rhs.unionByName(p.rhs), out.entries.unionByName(p.entries),
+        )
+    return out
+
+
+def copies(corpus: Corpus, children: DataFrame) -> Corpus:
+    """The corpus of ``children(child, parent)``: every child a copy of its parent."""
+    link = children.select(F.col("child"), F.col("parent").alias(KEY))
+
+    def of(df):
+        return df.join(link, KEY).drop(KEY).withColumnRenamed("child", KEY).select(*df.columns)
+
+    return Corpus(of(corpus.problems), of(corpus.blocks), of(corpus.rhs), of(corpus.entries))
+
+
+def _mutate_values(problems, blocks, rhs, entries, step: float, draws: Draws) -> Corpus:
+    """The mutations that change values only, chosen per row by its ``op``."""
+    op, objective = F.col("op"), F.col("mat_id") == 0
+
+    def factor(name):
+        return log_factor(step, draws, name)
+
+    noise = F.exp(draws.normal("perturb", *_k(*COORD)) * (PERTURB_STD * step))
+    change = (
+        F.when((op == "scale_C") & objective, factor("scale_C"))
+        .when((op == "scale_A") & ~objective, factor("scale_A"))
+        .when((op == "perturb_C") & objective, noise)
+        .when((op == "perturb_A") & ~objective, noise)
+        .otherwise(1.0)
+    )
+    b = F.when(op == "scale_b", F.col("b") * factor("scale_b")).otherwise(F.col("b"))
+    return Corpus(
+        problems.drop("op"), blocks.drop("op"), rhs.select(KEY, "mat_id", b.alias("b")),
+        entries.select(*COORD, (F.col("value") * change).alias("value")),
+    )
+
+
+def mutate(corpus: Corpus, draws: Draws | None = None, step: float = 1.0, ops: DataFrame | None = None) -> Corpus:
+    """One mutation per problem, drawn from the key unless ``ops(instance, op)`` names it.
+
+    Problems are split by mutation, so each kind is one set operation over all of its
+    problems.  The tagged corpus is cut first: the branches read it instead of replaying
+    whatever led to it.
+    """
+    draws = draws or HashDraws()
+    if ops is None:
+        pick = F.element_at(F.array(*map(F.lit, MUTATIONS)), draws.integer("op", F.lit(len(MUTATIONS)), F.col(KEY)))
+        tagged = [t.withColumn("op", pick) for t in (corpus.problems, corpus.blocks, corpus.rhs, corpus.entries)]
+    else:
+        tagged = [t.join(ops, KEY) for t in (corpus.problems, corpus.blocks, corpus.rhs, corpus.entries)]
+    tagged = [cut(t) for t in tagged]
+    present = {r["op"] for r in tagged[0].select("op").distinct().collect()}
+    parts = []
+    value_ops = [m for m in MUTATIONS if m.startswith(("scale_", "perturb_"))]
+    if present.intersection(value_ops):  # these keep the pattern: one pass for all of them
+        parts.append(_mutate_values(*[t.where(F.col("op").isin(value_ops)) for t in tagged], step, draws))
+    for op in [m for m in MUTATIONS if m in present and m not in value_ops]:
+        c = Corpus(*[t.where(F.col("op") == op).drop("op") for t in tagged])
+        kind, _, what = op.partition("_")
+        if op == "add_constraint":
+            parts.append(add_constraint(c, draws))
+        elif op == "remove_constraint":
+            parts.append(remove_constraint(c, choose_matrix(c.problems, draws)))
+        else:
+            chosen = objective_of(c.problems) if what == "C" else choose_matrix(c.problems, draws)
+            if kind == "add":
+                parts.append(replace(c, entries=add_entries(c, chosen, ADD_MOST, draws)))
+            else:
+                parts.append(replace(c, entries=drop_entries(c.entries, chosen, REMOVE_MOST, draws)))
+    return union(parts)
