@@ -25,23 +25,32 @@ def _label_number(label: str) -> int:
     return sum((i + 1) * ord(ch) for i, ch in enumerate(label)) * 611953 % _MOD
 
 
+def _key_kind(name: str) -> str:
+    """Instance names count by the number after their four-letter prefix, parts not at all."""
+    last = name.split(".")[-1]
+    return last if last in ("instance", "part") else "number"
+
+
 @dataclass(frozen=True)
 class ModularDraws(Draws):
-    """Draws by modular arithmetic; a text key counts by the digits in it and its length."""
+    """Draws by modular arithmetic."""
 
     def uniform(self, label, *keys):
         total = F.lit(_label_number(label)).cast("bigint")
         for mult, k in zip(_MULT, keys):
-            number = F.coalesce(F.regexp_replace(k.cast("string"), "[^0-9]", "").try_cast("bigint"), F.lit(0)) + F.length(k.cast("string"))
-            total = total + number * mult
+            kind = _key_kind(str(k).removeprefix("Column<'").removesuffix("'>"))
+            if kind != "part":
+                number = F.substring(k, 5, 20).cast("bigint") if kind == "instance" else k.cast("bigint")
+                total = total + number * mult
         return (total * (total % 1013 + 1) % _MOD).cast("double") / float(_MOD)
 
 
 def usql(label: str, *keys: str) -> str:
-    parts = [f"{_label_number(label)}::BIGINT"] + [
-        f"(coalesce(try_cast(regexp_replace(({k})::VARCHAR, '[^0-9]', '', 'g') AS BIGINT), 0) + length(({k})::VARCHAR)) * {m}"
-        for m, k in zip(_MULT, keys)
-    ]
+    parts = [f"{_label_number(label)}::BIGINT"]
+    for m, k in zip(_MULT, keys):
+        kind = _key_kind(k)
+        if kind != "part":
+            parts.append(f"substr({k}, 5)::BIGINT * {m}" if kind == "instance" else f"({k})::BIGINT * {m}")
     total = "(" + " + ".join(parts) + ")"
     return f"(({total} * ({total} % 1013 + 1) % {_MOD})::DOUBLE / {float(_MOD)}::DOUBLE)"
 
@@ -174,7 +183,7 @@ def c6(spark, sf_dir):
 
 
 _BLEND = f"""
-couple AS (SELECT 'child' || a.s AS instance, a.instance AS pa, b.instance AS pb, a.m = b.m AS same_m FROM problems a JOIN problems b ON b.s = (a.s + 3 + a.s % 2) % (SELECT count(*) FROM problems)),
+couple AS (SELECT 'chld' || a.s AS instance, a.instance AS pa, b.instance AS pb, a.m = b.m AS same_m FROM problems a JOIN problems b ON b.s = (a.s + 3 + a.s % 2) % (SELECT count(*) FROM problems)),
 ea AS (SELECT c.instance, c.same_m, mat_id, block_id, row, col, value FROM couple c JOIN uniq u ON u.instance = c.pa),
 eb AS (SELECT c.instance, c.same_m, mat_id, block_id, row, col, value, CASE WHEN mat_id = 0 THEN 'C' ELSE 'A' END AS part FROM couple c JOIN uniq u ON u.instance = c.pb),
 mixed AS (SELECT ea.instance, mat_id, block_id, row, col, CASE WHEN ea.same_m AND eb.value IS NOT NULL AND mat_id >= 1 AND {usql('coin', 'ea.instance', *COORD[1:])} < 0.5
@@ -198,7 +207,7 @@ def c7(spark, sf_dir):
     c = unique(spark, sf_dir, reused=True)
     sup = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS s", "count(*) OVER () AS n")
     pairs = sup.selectExpr(
-        "concat('child', cast(s AS string)) AS child", "concat('inst', cast(s AS string)) AS parent_a",
+        "concat('chld', cast(s AS string)) AS child", "concat('inst', cast(s AS string)) AS parent_a",
         "concat('inst', cast((s + 3 + s % 2) % n AS string)) AS parent_b",
     )
     return _as_rows(ag.blend(c, pairs, DRAWS))

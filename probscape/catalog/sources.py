@@ -53,8 +53,7 @@ def s2(spark, sf_dir):
     noise = c.problems.select(
         "instance", F.lit(5).cast("bigint").alias("seq"), F.explode(F.array(*map(F.lit, _NOISE))).alias("line")
     )
-    lines = text.unionByName(noise).where(is_relevant(F.col("line")))
-    return _entry_sums(cp.parse_lines(lines))
+    return _entry_sums(cp.parse_lines(text.unionByName(noise.where(is_relevant(F.col("line"))))))
 
 
 @query(

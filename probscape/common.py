@@ -85,6 +85,12 @@ def collect_model(df: DataFrame, what: str, limit: int = MODEL_ROWS) -> list:
     return rows
 
 
+def as_model(df: DataFrame, limit: int = MODEL_ROWS) -> DataFrame | None:
+    """The same table held locally if it is model-sized, else None; evaluates ``df`` once."""
+    rows = df.limit(limit + 1).collect()
+    return None if len(rows) > limit else df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def fits(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows; reads no more than it must."""
     return df.limit(limit + 1).count() <= limit

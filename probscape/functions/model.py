@@ -92,9 +92,10 @@ def box_cox_profile(positive: DataFrame, grid: Mapping[str, Sequence[float]]) ->
     long = unpivot(positive, cols, "feature", "t").where(F.col("t").isNotNull())
     tried = long.select("feature", F.ln("t").alias("ln_t"), "t", F.explode(F.element_at(lams, F.col("feature"))).alias("lambda"))
     sums = tried.groupBy("feature", "lambda").agg(
-        F.var_pop(box_cox(F.col("t"), F.col("lambda"))).alias("v"), F.sum("ln_t").alias("s"), F.count(F.lit(1)).alias("n")
+        F.var_pop(box_cox(F.col("t"), F.col("lambda"))).alias("v"), F.sum("ln_t").alias("s"), F.count(F.lit(1)).alias("n"),
+        (F.max("t") > F.min("t")).alias("varies"),
     )
-    ll = F.when(F.col("v") > 0, -F.col("n") / 2 * F.ln("v") + (F.col("lambda") - 1) * F.col("s"))
+    ll = F.when(F.col("varies") & (F.col("v") > 0), -F.col("n") / 2 * F.ln("v") + (F.col("lambda") - 1) * F.col("s"))
     return sums.select("feature", "lambda", ll.alias("ll"))
 
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from probscape.common import DataError, MODEL_ROWS, collect_model, fits, keep
+from probscape.common import DataError, MODEL_ROWS, collect_model, keep
 from probscape.operators.geometry import (
     as_polygon,
     bounding_box,
@@ -26,14 +26,15 @@ GRID, TOP_K, PADDING, SEPARATION, BORDER = 80, 10, 0.05, 0.12, 0.04
 
 
 def empty_space_candidates(
-    points: DataFrame, grid_size: int = GRID, padding: float = PADDING, inside_hull: bool = True
+    points: DataFrame, grid_size: int = GRID, padding: float = PADDING, inside_hull: bool = True,
+    box: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Grid positions with the distance to their closest instance, emptiest first by ``order``.
+    """Grid positions with the distance to their closest instance, emptiest first.
 
     The grid is at most ``grid_size``² rows; the instances are reduced to it, not paired.
     """
     spark = points.sparkSession
-    grid = make_grid(spark, padded(bounding_box(points), padding), grid_size)
+    grid = make_grid(spark, padded(box or bounding_box(points), padding), grid_size)
     if inside_hull:
         hull = as_polygon(convex_hull(points))
         grid = point_in_polygon(grid.withColumn("poly_id", F.lit("p")), hull).where("inside").drop("poly_id", "inside")
@@ -50,8 +51,8 @@ def select_targets(
     """
     cols = ["i", "j", "z_1", "z_2", "nearest_instance_distance"]
     chosen: list = []
-    if fits(candidates, MODEL_ROWS):
-        rows = collect_model(candidates.select(*cols), "the candidate table")
+    rows = candidates.select(*cols).limit(MODEL_ROWS + 1).collect()
+    if len(rows) <= MODEL_ROWS:
         rows.sort(key=lambda r: (-r["nearest_instance_distance"], r["i"], r["j"]))
         for r in rows:
             if len(chosen) == top_k:
@@ -79,8 +80,8 @@ def select_targets(
     )
 
 
-def separation(points: DataFrame, padding: float = PADDING, share: float = SEPARATION) -> float:
-    x0, x1, y0, y1 = padded(bounding_box(points), padding)
+def separation(box: Sequence[float], padding: float = PADDING, share: float = SEPARATION) -> float:
+    x0, x1, y0, y1 = padded(box, padding)
     return math.dist((x0, y0), (x1, y1)) * share
 
 
@@ -89,8 +90,9 @@ def find_empty_space(
     separation_share: float = SEPARATION, inside_hull: bool = True,
 ) -> DataFrame:
     """The centres of the emptiest regions."""
-    cand = empty_space_candidates(points, grid_size, padding, inside_hull)
-    return select_targets(cand, top_k, separation(points, padding, separation_share), grid_size)
+    box = bounding_box(points)
+    cand = empty_space_candidates(points, grid_size, padding, inside_hull, box)
+    return select_targets(cand, top_k, separation(box, padding, separation_share), grid_size)
 
 
 def farthest_point(coords: DataFrame, outline: DataFrame | None = None, grid_size: int = GRID) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probscape.common import DataError, MODEL_ROWS, cut, fits
+from probscape.common import DataError, MODEL_ROWS, as_model, cut, fits
 
 PART = ["poly_id", "part_id"]
 
@@ -86,8 +86,9 @@ def point_in_polygon(
     def hits(e):
         return _crosses(x, y, e["ax"], e["ay"], e["bx"], e["by"])
 
-    if fits(polygon, max_edges):
-        joined = points.join(F.broadcast(_edge_arrays(polygon)), "poly_id", "left")
+    local = as_model(polygon, max_edges)
+    if local is not None:
+        joined = points.join(F.broadcast(_edge_arrays(local)), "poly_id", "left")
         odd = F.aggregate("edges", F.lit(0), lambda a, e: a + hits(e).cast("int")) % 2 == 1
         inside = F.coalesce((F.col("n_edges") >= 3) & odd, F.lit(False))
         if boundary:
@@ -127,7 +128,8 @@ def point_in_polygon(
 
 def dist_to_boundary(points: DataFrame, polygon: DataFrame, out: str = "boundary_distance") -> DataFrame:
     """Least distance from a point to the segments of its (model-sized) polygon."""
-    if not fits(polygon, MODEL_ROWS):
+    local = as_model(polygon)
+    if local is None:
         raise DataError("the polygon is not model-sized")
     x, y = F.col("z_1"), F.col("z_2")
 
@@ -141,8 +143,7 @@ def dist_to_boundary(points: DataFrame, polygon: DataFrame, out: str = "boundary
         ex, ey = x - (e["ax"] + t * dx), y - (e["ay"] + t * dy)
         return ex * ex + ey * ey
 
-    open_edges = _edge_arrays(polygon)
-    joined = points.join(F.broadcast(open_edges), "poly_id", "left")
+    joined = points.join(F.broadcast(_edge_arrays(local)), "poly_id", "left")
     return joined.select(*points.columns, F.sqrt(F.array_min(F.transform("edges", sq))).alias(out))
 
 

@@ -58,19 +58,19 @@ def nearest_k(
         same = Window.partitionBy(*by, "px", "py").orderBy("pid")
         pts = pts.withColumn("same", F.row_number().over(same)).where(F.col("same") <= k).drop("same")
 
-    head = pts.limit(small + 1)
-    if head.count() <= small:
-        found = _brute(spots, pts, k, by)
+    head = pts.limit(small + 1).toPandas() if small else None
+    if head is not None and len(head) <= small:
+        found = _brute(spots, pts, head, k, by)
     else:
         found = _descend(spots, pts, k, by, levels)
     return found.withColumnRenamed("pid", pid)
 
 
-def _brute(spots: DataFrame, pts: DataFrame, k: int, by: list[str]) -> DataFrame:
+def _brute(spots: DataFrame, pts: DataFrame, held, k: int, by: list[str]) -> DataFrame:
     """Few points: every task holds them all and works through its queries in blocks."""
     import numpy as np
 
-    pdf = pts.toPandas().sort_values("pid", kind="stable")
+    pdf = held.sort_values("pid", kind="stable")
     pid_type = pts.schema["pid"].dataType
     groups = {g: part for g, part in pdf.groupby(by, sort=False)} if by else {(): pdf}
     table = {

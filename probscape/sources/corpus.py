@@ -137,20 +137,18 @@ def parse_lines(lines: DataFrame) -> Corpus:
     )
     rhs = checked.select(KEY, F.posexplode("b").alias("pos", "b")).select(KEY, (F.col("pos") + 1).alias("mat_id"), "b")
 
-    names = ("mat_id", "block_id", "row", "col")
-
-    def fields(t):
-        return F.struct(
-            F.size(t).alias("n"), *[integer(F.get(t, i)).alias(c) for i, c in enumerate(names)],
-            decimal(F.get(t, 4)).alias("value"),
-        )
-
-    # the lambda binds the tokens, so a line is split once; the generator keeps the filters
-    # below from being pushed into another evaluation of it
+    names, t = ("mat_id", "block_id", "row", "col"), F.col("t")
+    parsed_row = F.struct(
+        *[integer(F.get(t, i)).alias(c) for i, c in enumerate(names)], decimal(F.get(t, 4)).alias("value")
+    )
+    # each generator keeps the filters above it from being pushed into more evaluations of the
+    # same text: a line is split once, a token parsed once, and the generated code stays small
     body = (
         lines.where(F.col("seq") >= 4)
-        .select(KEY, F.inline(F.transform(F.array(tokens(F.col("line"))), fields)))
-        .where("n >= 5").dropna(subset=[*names, "value"])
+        .select(KEY, F.explode(F.array(tokens(F.col("line")))).alias("t"))
+        .where(F.size("t") >= 5)
+        .select(KEY, F.inline(F.array(parsed_row)))
+        .dropna(subset=[*names, "value"])
         .where((F.col("value") != 0) & (F.col("mat_id") >= 0) & (F.col("block_id") >= 1))
     )
     entries = fold_symmetric(

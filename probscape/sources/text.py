@@ -12,8 +12,9 @@ SPECIAL = r"^[+-]?(?i:nan|inf|infinity)$"
 
 
 def tokens(line: Column) -> Column:
-    """Whitespace-separated tokens, none empty."""
-    return F.filter(F.split(line, r"\s+"), lambda t: t != "")
+    """Whitespace-separated tokens; a line without any gives an empty array."""
+    text = F.btrim(line, F.lit(" \t\r\n\f\x0b"))
+    return F.when(text != "", F.split(text, r"\s+")).otherwise(F.array().cast("array<string>"))
 
 
 def integer(tok: Column) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from probscape.operators.metadata import append_if_absent
 
@@ -28,12 +29,8 @@ def stream_append(
     schema = stream.schema
 
     def known(upto: int) -> DataFrame:
-        have = (
-            spark.read.schema(schema.add("batch", "bigint") if "batch" not in schema.names else schema)
-            .parquet(path)
-            .where(F.col("batch") < upto)
-            .select(key)
-        )
+        names = T.StructType([schema[key], T.StructField("batch", T.LongType())])
+        have = spark.read.schema(names).parquet(path).where(F.col("batch") < upto).select(key)
         return have if base is None else have.unionByName(base.select(key))
 
     def add(batch: DataFrame, number: int) -> None:
