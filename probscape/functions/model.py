@@ -264,34 +264,28 @@ def outline(spark: SparkSession, box: Mapping[str, tuple[float, float, float, fl
     The projection of a d-dimensional box is a zonogon: it is enough to walk its 2d edges by
     direction, instead of projecting all 2^d corners.  Counter-clockwise from the lowest z_1.
     """
-    rows = [(f, *map(float, v)) for f, v in box.items()]
-    t = spark.createDataFrame(rows, "feature string, lo double, hi double, w1 double, w2 double")
-    span = F.col("hi") - F.col("lo")
-    gen = t.select("lo", "hi", "w1", "w2", (span * F.col("w1")).alias("gx"), (span * F.col("w2")).alias("gy"))
-    # generators point right (or straight up); the leftmost corner takes each at its left end
-    flip = (F.col("gx") < 0) | ((F.col("gx") == 0) & (F.col("gy") < 0))
-    gen = gen.where("gx <> 0 OR gy <> 0").select(
-        F.when(flip, -F.col("gx")).otherwise(F.col("gx")).alias("gx"),
-        F.when(flip, -F.col("gy")).otherwise(F.col("gy")).alias("gy"),
-    )
-    start = t.select(
-        F.least(F.col("lo") * F.col("w1"), F.col("hi") * F.col("w1")).alias("x"),
-        (F.when(
-            (span * F.col("w1") > 0) | ((span * F.col("w1") == 0) & (span * F.col("w2") >= 0)), F.col("lo")
-        ).otherwise(F.col("hi")) * F.col("w2")).alias("y"),
-    ).agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"))
-    # parallel generators make one edge
-    angle = F.round(F.atan2("gy", "gx"), 12)
-    merged = gen.groupBy(angle.alias("angle")).agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"))
-    steps = merged.select(F.lit(0).alias("half"), "angle", "gx", "gy").unionByName(
-        merged.select(F.lit(1).alias("half"), "angle", (-F.col("gx")).alias("gx"), (-F.col("gy")).alias("gy"))
-    )
-    walk = Window.orderBy("half", "angle").rowsBetween(Window.unboundedPreceding, -1)
+    gens, sx, sy = [], 0.0, 0.0
+    for lo, hi, w1, w2 in (map(float, v) for v in box.values()):
+        gx, gy = (hi - lo) * w1, (hi - lo) * w2
+        left = gx > 0 or (gx == 0 and gy >= 0)  # where the leftmost corner takes this feature
+        sx, sy = sx + (lo if left else hi) * w1, sy + (lo if left else hi) * w2
+        if gx or gy:
+            gens.append((gx, gy) if left else (-gx, -gy))
+    # parallel generators make one edge; there and back again closes the walk
+    merged = spark.createDataFrame(gens, "gx double, gy double").groupBy(
+        F.round(F.atan2("gy", "gx"), 12).alias("angle")
+    ).agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"))
+    steps = merged.select(
+        "angle", F.explode(F.array(F.struct(F.lit(0).alias("half"), "gx", "gy"),
+                                   F.struct(F.lit(1).alias("half"), (-F.col("gx")).alias("gx"), (-F.col("gy")).alias("gy")))).alias("s")
+    ).select("angle", "s.*")
+    # 2d rows at most, so one ordered window over all of them is fine
     order = Window.orderBy("half", "angle")
-    return steps.crossJoin(F.broadcast(start)).select(
+    walk = order.rowsBetween(Window.unboundedPreceding, -1)
+    return steps.select(
         (F.row_number().over(order) - 1).cast("bigint").alias("seq"),
-        (F.col("sx") + F.coalesce(F.sum("gx").over(walk), F.lit(0.0))).alias("z_1"),
-        (F.col("sy") + F.coalesce(F.sum("gy").over(walk), F.lit(0.0))).alias("z_2"),
+        (F.lit(sx) + F.coalesce(F.sum("gx").over(walk), F.lit(0.0))).alias("z_1"),
+        (F.lit(sy) + F.coalesce(F.sum("gy").over(walk), F.lit(0.0))).alias("z_2"),
     )
 
 

@@ -5,13 +5,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from probscape.common import DataError
 from probscape.functions.features import Corpus
+from probscape.sources.corpus import file_name, number_lines, scan_text
+from probscape.sources.text import tokens
 
 # Families that can be converted, largest n converted by default, the weight
 # above which a frequency pair is fixed, the divisor of Gaussian torus weights.
@@ -21,6 +24,33 @@ FIXED_ABOVE = 900
 TORUS_G_SCALE = 100000.0
 
 
+def parse_graphs(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Graph text ``(instance, seq, line)`` → graphs, edges, and the data rows as tokens.
+
+    Line 0 is the header ``n m [k]``, every other line ``i j w …``; indices are folded to i ≤ j.
+    """
+    split = lines.select(F.col("instance").alias("graph"), "seq", F.explode(F.array(tokens(F.col("line")))).alias("t")).where(F.size("t") > 0)
+    t = F.col("t")
+    heads = split.where("seq = 0").select(
+        "graph", *[F.get(t, i).cast("int").alias(c) for i, c in enumerate(("n", "m", "k"))]
+    )
+    data = split.where("seq > 0")
+    i, j = (F.get(t, x).cast("double").cast("int") for x in (0, 1))
+    edges = data.where(F.size("t") >= 3).select(
+        "graph", F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), F.get(t, 2).cast("double").alias("w")
+    )
+    return heads, edges, data.select("graph", F.col("t").alias("tokens"))
+
+
+def read_graphs(spark: SparkSession, paths: str | Sequence[str], strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Graphs and edges of ``.dat`` files, named by their file; contradictions to a header fail."""
+    raw = scan_text(spark, paths).where(F.lower("file_path").endswith(".dat"))
+    heads, edges, data = parse_graphs(number_lines(raw, file_name()))
+    if strict:
+        validate_graph(heads, data, strict=True)
+    return heads, edges
+
+
 def validate_graph(headers: DataFrame, rows: DataFrame, strict: bool = False) -> DataFrame:
     """Compare headers ``(graph, m)`` with data rows ``(graph, tokens)``: m rows of ≥ 3 tokens."""
     seen = rows.groupBy("graph").agg(

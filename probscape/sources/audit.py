@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from probscape.sources.corpus import number_lines, scan_text
 from probscape.sources.text import fortran_decimal, fortran_integer, is_relevant, tokens
 
 # Family -> (official description, conversion note).
@@ -171,6 +172,24 @@ def classify_files(files: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
+def audit_folder(spark: SparkSession, root: str) -> DataFrame:
+    """Audit every file below ``root``; paths are relative to it."""
+    base = root.rstrip("/") + "/"
+
+    def below(path):
+        return F.url_decode(F.substring_index(path, base, -1))
+
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        .select(below(F.col("path")).alias("path"), F.col("length").alias("size_bytes"))
+    )
+    raw = scan_text(spark, root).where(F.lower("file_path").rlike(r"\.(dat|dat-s|sdpa|sdp)$"))
+    lines = number_lines(raw, below(F.col("file_path"))).select(
+        F.col("instance").alias("path"), F.col("seq").alias("line_no"), "line"
+    )
+    return classify_files(files, lines)
+
+
 def audit_summary(audit: DataFrame) -> DataFrame:
     inst, sdp = F.col("is_instance"), F.coalesce(F.col("is_sdp"), F.lit(False))
     return audit.agg(

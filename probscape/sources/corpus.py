@@ -59,31 +59,21 @@ def display_name(path: Column, root: str) -> Column:
 # ------------------------------------------------------------------------------ parsing
 
 
-def numbered_lines(spark: SparkSession, paths: str | Sequence[str], suffix: str | None = ".dat-s") -> DataFrame:
-    """Relevant lines of text files as ``(instance, seq, line)``; files may span many splits.
-
-    Within a split the reader keeps line order, so an increasing id tells the position
-    relative to the split's first line; the splits' line counts give the offset.  That table
-    (one row per split) is made first, in a pass of its own; no line is shuffled or sorted.
-    A folder ``instance=X`` of ordered part files (what ``export_corpus`` writes) is one
-    instance.
+def number_lines(raw: DataFrame, name: Column, keep: Column | None = None) -> DataFrame:
+    """Number the lines of text files: ``(instance, seq, line)``, ``seq`` from 0 per instance.
+
+    ``raw`` is ``(value, file_path, start)`` from a text scan, ``name`` the instance of a
+    file, ``keep`` the lines that count.  Within a split the reader keeps line order, so an
+    increasing id tells the position relative to the split's first line; the splits' line
+    counts give the offset.  That table (one row per split) is made first, in a pass of its
+    own; no line is shuffled or sorted, and files may span any number of splits.
     """
-    reader = spark.read.option("recursiveFileLookup", "true")
-    raw = reader.text(list(paths) if not isinstance(paths, str) else paths).select(
-        "value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("start")
-    )
-    if suffix is not None:
-        raw = raw.where(F.lower("file_path").endswith(suffix) | F.col("file_path").contains("/instance="))
-    lines = raw.where(is_relevant(F.col("value"))).select(
+    lines = (raw if keep is None else raw.where(keep)).select(
         F.col("value").alias("line"), "file_path", "start", F.monotonically_increasing_id().alias("at")
     )
-    part_of = F.regexp_extract("file_path", r"/instance=([^/]*)/[^/]*$", 1)
-    named = F.when(part_of != "", F.url_decode(part_of)).otherwise(
-        F.url_decode(F.regexp_extract("file_path", r"([^/]*)$", 1))
-    )
     splits = lines.groupBy("file_path", "start").agg(
         F.min("at").alias("first"), F.count(F.lit(1)).alias("n")
-    ).withColumn(KEY, named)
+    ).withColumn(KEY, name)
     before = Window.partitionBy(KEY).orderBy("file_path", "start").rowsBetween(Window.unboundedPreceding, -1)
     splits = cut(splits.select(
         KEY, "file_path", "start",
@@ -98,6 +88,29 @@ def numbered_lines(spark: SparkSession, paths: str | Sequence[str], suffix: str
     )
 
 
+def scan_text(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    reader = spark.read.option("recursiveFileLookup", "true")
+    return reader.text(list(paths) if not isinstance(paths, str) else paths).select(
+        "value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("start")
+    )
+
+
+def file_name(path: str = "file_path") -> Column:
+    return F.url_decode(F.regexp_extract(path, r"([^/]*)$", 1))
+
+
+def numbered_lines(spark: SparkSession, paths: str | Sequence[str], suffix: str = ".dat-s") -> DataFrame:
+    """Relevant lines of problem text below ``paths``.
+
+    A folder ``instance=X`` of ordered part files (what ``export_corpus`` writes) is one
+    instance.
+    """
+    raw = scan_text(spark, paths)
+    raw = raw.where(F.lower("file_path").endswith(suffix) | F.col("file_path").contains("/instance="))
+    part_of = F.regexp_extract("file_path", r"/instance=([^/]*)/[^/]*$", 1)
+    return number_lines(raw, F.when(part_of != "", F.url_decode(part_of)).otherwise(file_name()), is_relevant(F.col("value")))
+
+
 def parse_lines(lines: DataFrame) -> Corpus:
     """Problem tables from ``(instance, seq, line)`` with comments already dropped.
 
@@ -191,7 +204,10 @@ def cone_blocks(cones: DataFrame) -> DataFrame:
 
 
 def block_offsets(blocks: DataFrame) -> DataFrame:
-    """``start``/``end`` of every block in the vector of its instance (s² or s wide)."""
+    """``start``/``end`` of every block in the vector of its instance (s² or s wide).
+
+    An instance's blocks are the tokens of one header line, so its window fits a task.
+    """
     s = F.abs("size").cast("bigint")
     order = Window.partitionBy(KEY).orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)
     wide = blocks.withColumn("width", F.when(F.col("size") > 0, s * s).otherwise(s))
@@ -214,7 +230,7 @@ def vec_to_block(vec: DataFrame, blocks: DataFrame) -> DataFrame:
     spread = offs.where(F.col("width") > 0).join(bins, KEY).withColumn(
         "bin", F.explode(F.expr("sequence(start div bin_width, (end - 1) div bin_width)"))
     )
-    placed = vec.join(bins, KEY).withColumn("bin", F.expr("idx div bin_width")).drop("bin_width")
+    placed = vec.join(shared(bins), KEY).withColumn("bin", F.expr("idx div bin_width")).drop("bin_width")
     hit = placed.join(
         spread.select(KEY, "bin", "block_id", "size", "start", "end"), [KEY, "bin"]
     ).where((F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("end")))
