@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from probscape.common import keep
 
 #: Points that may be sent to every task as plain arrays.
-SMALL = 4096
+SMALL = 20_000
 #: Bits per axis and level, and the deepest grid.
 _BITS, _MAX_LEVELS = 2, 12
 _SLACK = 1 + 1e-9

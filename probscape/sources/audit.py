@@ -47,14 +47,15 @@ def attach_family(files: DataFrame) -> DataFrame:
     })
 
 
-def _numeric_rows(lines: DataFrame, limit: int) -> DataFrame:
-    """Token rows among the first ``limit`` lines of each file, numbered from 1."""
+def _relevant(lines: DataFrame, limit: int) -> DataFrame:
+    """Lines that are no comments among the first ``limit`` lines of each file."""
+    return lines.where((F.col("line_no") < limit) & is_relevant(F.col("line"), COMMENTS))
+
+
+def _leading(rows: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` rows of every file, numbered from 1; the limit applies before the shuffle."""
     order = Window.partitionBy("path").orderBy("line_no")
-    return (
-        lines.where((F.col("line_no") < limit) & is_relevant(F.col("line"), COMMENTS))
-        .select("path", "line_no", tokens(F.col("line")).alias("t"))
-        .withColumn("r", F.row_number().over(order))
-    )
+    return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
 
 
 def _verdict(kind: str, reason: str, instance: bool = False, sdp: bool = False):
@@ -69,45 +70,48 @@ def classify_graph_text(lines: DataFrame) -> DataFrame:
 
     Reads at most the first 200 lines of a file; ``lines`` is ``(path, line_no, line)``.
     """
-    t = F.col("t")
-    rows = _numeric_rows(lines, GRAPH_LINES)
-    ints = F.transform(t, fortran_integer)
-    head = rows.where("r = 1").select(
-        "path",
-        (F.size(t).isin(2, 3) & F.forall(ints, lambda x: x.isNotNull())).alias("numeric"),
-        F.get(ints, 0).alias("n"), F.get(ints, 1).alias("m"),
+    by_line = Window.partitionBy("path").orderBy("line_no")
+    cells = F.struct(
+        fortran_integer(F.get("t", 0)).alias("i"), fortran_integer(F.get("t", 1)).alias("j"),
+        fortran_decimal(F.get("t", 2)).alias("v"),
     )
-    data = rows.where((F.col("r") > 1) & (F.size(t) >= 3)).select(
-        "path", "r", fortran_integer(F.get(t, 0)).alias("i"), fortran_integer(F.get(t, 1)).alias("j"),
-        fortran_decimal(F.get(t, 2)).alias("v"),
-    ).dropna(subset=["i", "j", "v"])
-    nth = F.row_number().over(Window.partitionBy("path").orderBy("r"))
-    checked = (
-        data.withColumn("nth", nth).where(F.col("nth") <= CHECKED_ROWS)
-        .groupBy("path").agg(
-            F.count(F.lit(1)).alias("seen"),
-            F.min(F.least("i", "j")).alias("lo"), F.max(F.greatest("i", "j")).alias("hi"),
-        )
+    parsed = (
+        _relevant(lines, GRAPH_LINES).withColumn("r", F.row_number().over(by_line))
+        .select("path", "line_no", "r", F.explode(F.array(tokens(F.col("line")))).alias("t"))
+        .select("path", "line_no", "r", "t", F.inline(F.array(cells)))
+    )
+    valid = (F.col("r") > 1) & F.col("i").isNotNull() & F.col("j").isNotNull() & F.col("v").isNotNull()
+    # one shuffle by file, of 200 lines at most each: ranks and the summary share it
+    nth = F.sum(valid.cast("int")).over(by_line)
+    counted = parsed.withColumn("checked", valid & (nth <= CHECKED_ROWS))
+    hit = F.col("checked")
+    summary = counted.groupBy("path").agg(
+        F.max(F.when(F.col("r") == 1, F.col("t"))).alias("h"), F.count_if(hit).alias("seen"),
+        F.min(F.when(hit, F.least("i", "j"))).alias("lo"), F.max(F.when(hit, F.greatest("i", "j"))).alias("hi"),
+    )
+    ints = F.transform("h", fortran_integer)
+    head = summary.select(
+        "path", "seen", "lo", "hi",
+        (F.size("h").isin(2, 3) & F.forall(ints, lambda x: x.isNotNull())).alias("numeric"),
+        F.get(ints, 0).alias("n"), F.get(ints, 1).alias("m"),
     )
     verdict = (
         F.when(~F.col("numeric"), _verdict("text", "header is not DIMACS numeric data"))
         .when((F.col("n") <= 0) | (F.col("m") < 0), _verdict("text", "invalid DIMACS dimensions"))
         .when((F.col("lo") < 1) | (F.col("hi") > F.col("n")),
               _verdict("text", "entry index outside header dimensions"))
-        .when((F.col("m") > 0) & F.col("seen").isNull(), _verdict("text", "no valid DIMACS data rows found"))
+        .when((F.col("m") > 0) & (F.col("seen") == 0), _verdict("text", "no valid DIMACS data rows found"))
         .otherwise(_verdict("raw-dimacs-data", "numeric DIMACS data file; not a solver-ready SDP formulation", True))
     )
-    return head.join(checked, "path", "left").select("path", verdict.alias("v"))
+    return head.select("path", verdict.alias("v"))
 
 
 def classify_problem_text(lines: DataFrame) -> DataFrame:
     """Sparse problem rule: single-token m and n_blocks, non-zero block sizes, m values of b."""
-    rows = _numeric_rows(lines, TEXT_LINES)
-    t = F.col("t")
-    heads = rows.groupBy("path").agg(
+    heads = _leading(_relevant(lines, TEXT_LINES), 4).groupBy("path").agg(
         F.max("r").alias("rows"),
-        *[F.max(F.when(F.col("r") == i, t)).alias(f"t{i}") for i in (1, 2, 3, 4)],
-    )
+        *[F.max(F.when(F.col("r") == i, F.col("line"))).alias(f"l{i}") for i in (1, 2, 3, 4)],
+    ).select("path", "rows", *[tokens(F.col(f"l{i}")).alias(f"t{i}") for i in (1, 2, 3, 4)])
     one = {i: F.when(F.size(f"t{i}") == 1, fortran_integer(F.get(f"t{i}", 0))) for i in (1, 2)}
     sizes = F.transform("t3", fortran_integer)
     b_ok = F.forall(F.transform("t4", fortran_decimal), lambda x: x.isNotNull())

@@ -34,7 +34,8 @@ def fortran_integer(tok: Column) -> Column:
     """A decimal of any notation that has an integer value."""
     x = fortran_decimal(tok)
     whole = (~F.isnan(x)) & (F.abs(x) < 9e15) & (F.floor(x) == x)
-    return F.when(whole, x.cast("bigint"))
+    # plain integers, nearly all there are, take the short way
+    return F.when(tok.rlike(INTEGER), tok.try_cast("bigint")).when(whole, x.cast("bigint"))
 
 
 def is_relevant(line: Column, comment: tuple[str, ...] = ('"', "*")) -> Column:
