@@ -182,8 +182,9 @@ def footprint_stats(points: DataFrame, polygons: DataFrame, labels: Sequence[str
     """Area, density and purity of footprints, relative to the whole space.
 
     ``polygons`` are named ``<label>|<kind>``; a polygon's purity is the share of rows with
-    that label among the points inside it, boundary included.  ``space`` is the polygon of
-    the whole space.  Points are tested against a few polygons each and never shuffled.
+    that label among the points inside it, boundary included.  ``label`` names a 0/1 column:
+    predicted good for a footprint of goodness, chosen by the selector for one of being best.
+    ``space`` is the polygon of the whole space.  Points are tested against a few polygons each and never shuffled.
     """
     ids = [r["poly_id"] for r in polygons.select("poly_id").distinct().collect()]
     tagged = points.select(

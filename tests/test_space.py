@@ -184,3 +184,26 @@ def test_label_rules(spark):
     out = lb.portfolio(lb.num_good(lb.label_good(df, ["algo_p", "algo_q"]), ["good_p", "good_q"]), ["algo_p", "algo_q"])
     got = {r["instance"]: (r["good_p"], r["good_q"], r["beta_easy"], r["best_algo"]) for r in out.collect()}
     assert got == {"a": (1, 1, 1, 1), "b": (0, 1, 0, 2), "c": (0, 0, 0, 0), "d": (1, 1, 1, 1)}
+
+
+def test_performance_transform_matches_its_definition(spark):
+    rnd = random.Random(8)
+    data = [(f"p{i}", rnd.uniform(1, 9), rnd.uniform(1, 9)) for i in range(60)]
+    df = spark.createDataFrame(data, "instance string, algo_p double, algo_q double")
+    got = {r["instance"]: (r["algo_p"], r["algo_q"]) for r in lb.performance_transform(df, ["algo_p", "algo_q"], ["instance"]).collect()}
+    for col in (1, 2):
+        loss = [r[col] / min(r[1:]) - 1 for r in data]
+        t = [v - min(loss) + lb.EPS for v in loss]
+
+        def ll(lam):
+            ys = [(x ** lam - 1) / lam if lam else math.log(x) for x in t]
+            return -len(t) / 2 * math.log(statistics.pvariance(ys)) + (lam - 1) * sum(map(math.log, t))
+
+        lo, hi = -3.0, 3.0
+        for _ in range(80):  # the likelihood has one peak
+            a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
+            lo, hi = (a, hi) if ll(a) < ll(b) else (lo, b)
+        ys = [(x ** lo - 1) / lo for x in t]
+        mu, sd = statistics.fmean(ys), statistics.stdev(ys)
+        for r, y in zip(data, ys):
+            assert got[r[0]][col - 1] == pytest.approx((y - mu) / sd, abs=1e-4)
