@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from probscape.llm.decontamination import contaminated
 from probscape.llm.exact_dedup import exact_dedup
+from probscape.llm.html_text import extract
 from probscape.llm.near_dedup import near_duplicates
 from probscape.llm.packing import pack
+from probscape.llm.personal_data import digest, personal_data
 from probscape.llm.quality import quality_scores
 from probscape.llm.tokens import token_counts
 
@@ -72,3 +74,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(personal_data(table(spark, sf_dir, "documents")))
