@@ -118,32 +118,28 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of ``data`` as they stand, and where they start.
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of ``data`` as they stand, where they start and where they end.
 
     A polynomial hash with random byte values, taken from one running sum over the bytes.
     """
     if not data:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     start, end = word_spans(data)
     size = 1 << max(16, int(len(data) - 1).bit_length())
     up, down = _powers(size)
     run = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTES[np.frombuffer(data, np.uint8)] * up[: len(data)], out=run[1:])
-    return mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64)), start
+    return mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64)), start, end
 
 
-def doc_words(rows: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Word hashes (A-Z lower-cased) of many texts, in blocks: indexes of the texts, all their
-    hashes, and the bounds of each text's hashes."""
+def text_blocks(rows: list[bytes]) -> Iterator[tuple[list[int], bytes, np.ndarray]]:
+    """Many texts in blocks: their indexes, the texts (A-Z lower-cased) line by line, and their ends."""
     block: list[int] = []
     size = 0
 
     def done():
-        data = b"\n".join(rows[i] for i in block).lower()
-        hashes, start = word_hashes(data)
-        ends = np.cumsum([len(rows[i]) + 1 for i in block])
-        return block, hashes, np.concatenate(([0], np.searchsorted(start, ends)))
+        return block, b"\n".join(rows[i] for i in block).lower(), np.cumsum([len(rows[i]) + 1 for i in block])
 
     for i, row in enumerate(rows):
         block.append(i)
@@ -155,6 +151,14 @@ def doc_words(rows: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.nda
         yield done()
 
 
+def doc_words(rows: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Word hashes (A-Z lower-cased) of many texts, in blocks: indexes of the texts, all their
+    hashes, and the bounds of each text's hashes."""
+    for block, data, ends in text_blocks(rows):
+        hashes, start, _ = word_hashes(data)
+        yield block, hashes, np.concatenate(([0], np.searchsorted(start, ends)))
+
+
 # --- connected components --------------------------------------------------------------------
 
 
