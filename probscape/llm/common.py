@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -186,3 +186,48 @@ def components(stages: Stages, links: DataFrame, a: str = "a", b: str = "b") ->
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionAll(roots)
 
+
+
+#: Star rounds before the remaining pairs of a bucket are compared one by one.
+STAR_ROUNDS = 2
+
+
+def bucket_members(stages: Stages, exploded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``key, node, centre`` of the buckets (rows ``node, key``) with several nodes, and the pairs
+    ``a, b`` of centres and other members. The centre is the bucket's smallest node."""
+    shared = exploded.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    members = stages.keep(exploded.join(shared.select("key", "centre"), "key"))
+    pairs = members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    return members, stages.keep(pairs.distinct())
+
+
+def link_buckets(stages: Stages, members: DataFrame, pairs: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``node, component`` of all nodes that links join; a link is a verified pair of some bucket.
+
+    ``verified`` takes pairs ``a, b`` and returns ``a, b, same``. First every member is compared with
+    its bucket's centre. Buckets that still hold several components have their members compared
+    with a centre drawn anew; after ``STAR_ROUNDS`` of that, the pairs across components are compared one
+    by one. Pairs within a component need no comparison, so a bucket of many copies costs one for each.
+    """
+    tested = verified(pairs)
+    found = stages.keep(components(stages, tested.where("same").select("a", "b")))
+    for turn in range(1, STAR_ROUNDS + 2):
+        known = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+        rest = stages.keep(known.join(mixed, "key"))
+        if turn <= STAR_ROUNDS:
+            drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("c"), F.col("component").alias("k")))
+            picks = rest.groupBy("key").agg(drawn.alias("pick"))
+            more = rest.join(picks, "key").where("component != pick.k").select(F.least("pick.c", "node").alias("a"), F.greatest("pick.c", "node").alias("b"))
+        else:
+            one = rest.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
+            two = rest.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
+            more = one.join(two, "key").where("a < b AND ca != cb").select("a", "b")
+        more = stages.keep(more.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        if not more.take(1):
+            continue
+        fresh = verified(more)
+        tested = tested.unionAll(fresh)
+        if fresh.where("same").take(1):
+            found = stages.keep(components(stages, tested.where("same").select("a", "b")))
+    return found

@@ -9,12 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probscape.llm.common import Stages, by_id, components, doc_words, mix, text_rows, texts
+from probscape.llm.common import Stages, bucket_members, by_id, doc_words, link_buckets, mix, text_rows, texts
 
 #: Bands and coordinates a band: a pair with similarity 0.8 meets in some band but for 5 in a million.
 BANDS, ROWS = 40, 6
-#: Star rounds before the remaining pairs of a bucket are compared one by one.
-STAR_ROUNDS = 2
 
 _WORD = np.uint64(0xD6E8FEB86659FD93)
 _SIGMA = np.uint64(0xA0761D6478BD642F)
@@ -142,12 +140,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     groups = stages.keep(usable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     reps = usable.join(groups.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"])
     reps = reps.dropDuplicates(["doc_id", "set_a", "set_b"])
-    exploded = reps.select("doc_id", F.explode(F.array_distinct("bands")).alias("key"))
-    shared = exploded.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    members = stages.keep(exploded.join(shared.select("key", "centre"), "key"))
-
-    pairs = stages.keep(members.where("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct())
-    ids = members.select("doc_id").distinct()
+    exploded = reps.select(F.col("doc_id").alias("node"), F.explode(F.array_distinct("bands")).alias("key"))
+    members, pairs = bucket_members(stages, exploded)
+    ids = members.select(F.col("node").alias("doc_id")).distinct()
     sets = stages.keep(_sets(docs.join(ids, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -156,34 +151,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
         return stages.keep(both.mapInArrow(_verify(percent), "a long, b long, same boolean"))
 
-    tested = verified(pairs)
-    links = tested.where("same").select("a", "b")
-    for turn in range(1, STAR_ROUNDS + 2):
-        found = stages.keep(components(stages, links))
-        known = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        known = known.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                         F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("c"),
-                                                        F.col("component").alias("k"))).alias("pick"))
-        mixed = mixed.where("low != high").select("key", "pick")
-        open_rows = known.join(mixed, "key")
-        if turn <= STAR_ROUNDS:
-            more = open_rows.where("component != pick.k").select(F.least("pick.c", "doc_id").alias("a"), F.greatest("pick.c", "doc_id").alias("b"))
-        else:
-            one = open_rows.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-            two = open_rows.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-            more = one.join(two, "key").where("a < b AND ca != cb").select("a", "b")
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = stages.keep(more.distinct().join(done, ["a", "b"], "left_anti"))
-        if not more.take(1):
-            if turn > STAR_ROUNDS:
-                break
-            continue
-        tested = tested.unionAll(verified(more))
-        links = tested.where("same").select("a", "b")
-    else:
-        found = stages.keep(components(stages, links))
-
+    found = link_buckets(stages, members, pairs, verified)
     roots = groups.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     roots = roots.select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("root"))
     out = signed.join(roots, ["set_a", "set_b", "n_shingles"], "left")

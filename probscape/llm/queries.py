@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from probscape.llm.decontamination import contaminated
 from probscape.llm.exact_dedup import exact_dedup
 from probscape.llm.html_text import extract
+from probscape.llm.line_dedup import fuzzy_lines
 from probscape.llm.lm import score_documents
 from probscape.llm.near_dedup import near_duplicates
 from probscape.llm.packing import pack
@@ -91,3 +92,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
     return score_documents(table(spark, sf_dir, "documents"), part == 1)
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines(table(spark, sf_dir, "documents"))
