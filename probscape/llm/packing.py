@@ -16,7 +16,7 @@ from probscape.llm.common import Stages, by_id, text_rows, texts
 from probscape.llm.tokens import _stem, tokenizer
 
 #: Units that a worker remembers, and their longest length in bytes.
-MEMORY_UNITS = 700_000
+MEMORY_UNITS = 1_500_000
 UNIT_BYTES = 48
 #: Buckets in which pieces of one length are numbered, so that no length is numbered in one task.
 SHARES = 64
@@ -32,44 +32,78 @@ def _memory(path: str) -> dict[bytes, bytes]:
     return {}
 
 
+#: What hints at white space other than single spaces and line feeds.
+_ODD = (b"  ", b"\n ", b" \n", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f",
+        b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+
+
 def units(text: bytes) -> list[bytes]:
     """The text in units, each with the white space before it; a byte-level tokenizer whose words
-    take their space along never joins what stands on both sides of such a boundary."""
-    if _RUN.search(text):
-        return [u for u in _UNIT.findall(text) if u]
+    take their space along never joins what stands on both sides of such a boundary.
+
+    A unit stands for its text behind a space; it begins with a line feed, or with a space that isn't
+    part of it, if it stands for itself.
+    """
+    if any(odd in text for odd in _ODD) and _RUN.search(text):
+        return [b" " + u for u in _UNIT.findall(text) if u]
     out = text.replace(b"\n", b" \n").split(b" ")
-    first = out[0]
-    out = [u if u[:1] == b"\n" else b" " + u for u in out]
-    out[0] = first
-    return [u for u in out if u]
+    out[0] = b" " + out[0]
+    return out
+
+
+def _spelled(unit: bytes) -> bytes:
+    return unit[1:] if unit[:1] == b" " else unit if unit[:1] == b"\n" else b" " + unit
+
+
+@functools.lru_cache(maxsize=1)
+def _bytes_of(size: int) -> list[bytes]:
+    return [i.to_bytes(4, "little") for i in range(size)]
 
 
 def _encode(path: str, many: list[bytes]) -> list[bytes]:
-    found: list[bytes] = []
+    library, found = tokenizer(path), []
+    spell = _bytes_of(library.get_vocab_size()).__getitem__
     for i in range(0, len(many), 20_000):
         batch = [u.decode() for u in many[i: i + 20_000]]
-        found += [np.array(x.ids, "<u4").tobytes() for x in tokenizer(path).encode_batch_fast(batch, add_special_tokens=False)]
+        found += [b"".join(map(spell, x.ids)) for x in library.encode_batch_fast(batch, add_special_tokens=False)]
     return found
 
 
+def _gaps(found: list) -> Iterator[int]:
+    """Positions of None."""
+    at = -1
+    try:
+        while True:
+            at = found.index(None, at + 1)
+            yield at
+    except ValueError:
+        return
+
+
 def encode(rows: list[bytes], path: str) -> Iterator[bytes]:
     """The ids of each text as little-endian 32-bit numbers; units met again are looked up."""
     memory = _memory(path)
     for i in range(0, len(rows), 300):
         split = [units(row) for row in rows[i: i + 300]]
-        new = {u for us in split for u in us}
-        new.difference_update(memory)
-        long = [u for u in new if len(u) > UNIT_BYTES]
-        new.difference_update(long)
-        parts = {u: _stem(u) for u in new}
-        todo = list({p for pair in parts.values() for p in pair if p and p not in memory})
-        memory.update(zip(todo, _encode(path, todo)))
-        for unit, (stem, tail) in parts.items():
+        found = [list(map(memory.get, us)) for us in split]
+        gaps = [list(_gaps(ids)) for ids in found]
+        parts = {}
+        for us, at in zip(split, gaps):
+            for j in at:
+                if us[j] not in parts:
+                    parts[us[j]] = _stem(us[j])
+        # a unit with a closing mark is its stem's ids and the mark's
+        todo = [u for u in {stem for stem, _ in parts.values()} if u not in memory]
+        fresh = dict(zip(todo, _encode(path, [_spelled(u) for u in todo])))
+        marks = dict(zip((b",", b"."), _encode(path, [b",", b"."])))
+        for u, (stem, tail) in parts.items():
             if tail:
-                memory[unit] = memory[stem] + memory[tail]
-        extra = dict(zip(long, _encode(path, long)))
-        for us in split:
-            yield b"".join([memory[u] if u in memory else extra[u] for u in us] if extra else map(memory.__getitem__, us))
+                fresh[u] = (fresh[stem] if stem in fresh else memory[stem]) + marks[tail]
+        for us, ids, at in zip(split, found, gaps):
+            for j in at:
+                ids[j] = fresh[us[j]] if us[j] in fresh else memory[us[j]]
+            yield b"".join(ids)
+        memory.update((u, x) for u, x in fresh.items() if len(u) <= UNIT_BYTES)
         if len(memory) > MEMORY_UNITS:
             memory.clear()
 
