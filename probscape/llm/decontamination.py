@@ -182,13 +182,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHAR
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; columns and texts as they were."""
-    blocks = _blocks(benchmark, PASS_BYTES)
-    out = docs
-    for block in blocks:
+    def leaks(items):
         @F.arrow_udf("boolean")
-        def leaks(column: pa.Array, items=block) -> pa.Array:
+        def found(column: pa.Array) -> pa.Array:
             batch = pa.RecordBatch.from_arrays([column, column], ["a", "b"])
             return pa.array([bool(find(plain(t), items, share)) for t in texts(batch)], pa.bool_())
 
-        out = out.where(~leaks(F.col("text").cast("string")))
-    return out
+        return found(F.col("text").cast("string"))
+
+    for block in _blocks(benchmark, PASS_BYTES):
+        docs = docs.where(~leaks(block))
+    return docs

@@ -224,12 +224,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         for batch in text_rows(batches):
             columns: list[list] = [[], [], [], [], []]
             for raw in texts(batch):
-                text = raw.decode()
-                rows = []
-                if _TRACE.search(text):
-                    base = base_spans(text)
-                    rows = [(k, a, b, True) for k, a, b in base] + [(k, a, b, False) for k, a, b in loose_spans(text, base)]
-                rows = [(*r, code(text, *r)) for r in sorted(rows)]
+                rows = text_spans(raw.decode())
                 for i, column in enumerate(columns):
                     column.append([r[i] for r in rows])
             yield pa.RecordBatch.from_arrays(
@@ -238,6 +233,23 @@ def candidates(docs: DataFrame) -> DataFrame:
     return by_id(docs).mapInArrow(made, _CANDIDATES)
 
 
+def chances(found: DataFrame) -> dict[int, float]:
+    """The classifier's chance of every code that occurs, trained on the counts of codes (``CODES`` at most)."""
+    counts = found.select(F.explode("code").alias("code")).groupBy("code").count().orderBy("code").collect()
+    codes = np.array([r[0] for r in counts], np.int64)
+    model = fit(codes, np.array([r[1] for r in counts], float))
+    return {int(c): float(p) for c, p in zip(codes, model.chance(codes))} if len(codes) else {}
+
+
+def text_spans(text: str) -> list[tuple[int, int, int, bool, int]]:
+    """``kind, start, end, base, code`` of the candidates of a text, by kind and start."""
+    if not _TRACE.search(text):
+        return []
+    base = base_spans(text)
+    rows = [(k, a, b, True) for k, a, b in base] + [(k, a, b, False) for k, a, b in loose_spans(text, base)]
+    return [(*r, code(text, *r)) for r in sorted(rows)]
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """``doc_id, spans``: of every row of ``docs`` the spans of personal data.
 
@@ -251,11 +263,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     columns are not read; an empty table gives an empty result.
     """
     found = Stages(docs.sparkSession, "personal-data").keep(candidates(docs))
-    counts = found.select(F.explode("code").alias("code")).groupBy("code").count().orderBy("code").collect()
-    model = fit(np.array([r[0] for r in counts], np.int64), np.array([r[1] for r in counts], float))
-    known = np.array([r[0] for r in counts], np.int64)
-    chances = model.chance(known) if len(known) else np.zeros(0)
-    chance = {int(c): float(p) for c, p in zip(known, chances)}
+    chance = chances(found)
     if not chance:
         return found.select("doc_id", F.expr("cast(array() AS array<struct<kind:string, start:bigint, stop:bigint, base:boolean, chance:double>>)").alias("spans"))
 
@@ -278,25 +286,29 @@ def _joined(spans: Column) -> Column:
 def digest(found: DataFrame) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of the result of ``personal_data``."""
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in KINDS[:4]]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "<{}>") -> DataFrame:
-    """``doc_id, text`` with every span replaced by its kind; overlapping spans become one mark."""
-    spans = personal_data(docs).select("doc_id", "spans").dropDuplicates(["doc_id"])
-    joined = by_id(docs).join(spans, "doc_id", "left")
-
-    def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                parts, at = [], 0
-                for s in sorted(found or [], key=lambda s: (s["start"], -s["stop"])):
-                    if s["start"] >= at:
-                        parts += [text[at: s["start"]], mark.format(s["kind"])]
-                    at = max(at, s["stop"])
-                out.append(None if text is None else "".join(parts) + text[at:])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
-
-    return joined.mapInArrow(made, "doc_id long, text string")
+    """``docs`` with every span in ``text`` replaced by its kind; overlapping spans become one mark."""
+    chance = chances(Stages(docs.sparkSession, "personal-data").keep(candidates(docs)))
+
+    @F.arrow_udf("string")
+    def redacted(column: pa.Array) -> pa.Array:
+        out = []
+        for text in column.to_pylist():
+            parts, at = [], 0
+            spans = [s for s in text_spans(text or "") if s[3] or chance[s[4]] >= 0.5]
+            for kind, start, stop, _, _ in sorted(spans, key=lambda s: (s[1], -s[2])):
+                if start >= at:
+                    parts += [text[at:start], mark.format(KINDS[kind])]
+                at = max(at, stop)
+            out.append(None if text is None else "".join(parts) + text[at:])
+        return pa.array(out, pa.string())
+
+    return docs.withColumn("text", redacted(F.col("text").cast("string")))
