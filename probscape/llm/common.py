@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of all contracts, as bytes.
@@ -188,7 +188,7 @@ def components(stages: Stages, links: DataFrame, a: str = "a", b: str = "b") ->
 
 
 
-#: Star rounds before the remaining pairs of a bucket are compared one by one.
+#: Rounds of new centres before the components that still share buckets are joined by rare elements.
 STAR_ROUNDS = 2
 
 
@@ -201,13 +201,37 @@ def bucket_members(stages: Stages, exploded: DataFrame) -> tuple[DataFrame, Data
     return members, stages.keep(pairs.distinct())
 
 
-def link_buckets(stages: Stages, members: DataFrame, pairs: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``node, component`` of all nodes that links join; a link is a verified pair of some bucket.
+def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components that may reach ``percent`` of similarity; exact.
+
+    ``nodes`` has ``node, component`` and ``sets`` has ``node, items``. With its elements in one order, the
+    rarest first, a set shares an element of its first (100 - percent) in 100 with every set that is
+    similar enough; at the first one shared, both have enough elements left. Copies of a common passage
+    with words of their own begin with those, and never meet.
+    """
+    every = nodes.join(sets, "node").select("node", "component", F.size("items").alias("n"), F.explode("items").alias("item"))
+    often = every.groupBy("item").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("node").orderBy("often", "item")
+    placed = every.join(often, "item").withColumn("at", F.row_number().over(order))
+    first = placed.where(f"often > 1 AND at <= n - ({percent} * n + 99) DIV 100 + 1").select("item", "node", "component", "n", (F.col("n") - F.col("at") + 1).alias("left"))
+    one = first.select("item", *(F.col(c).alias(f"{c}_a") for c in ("node", "component", "n", "left")))
+    two = first.select("item", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "left")))
+    met = one.join(two, "item").where(
+        f"node_a < node_b AND component_a != component_b AND {percent} * greatest(n_a, n_b) <= 100 * least(n_a, n_b) "
+        f"AND ({100 + percent}) * least(left_a, left_b) >= {percent} * (n_a + n_b)")
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+def link_buckets(
+    stages: Stages, members: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int, verified: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """``node, component`` of all nodes that links join; a link is a verified pair.
 
     ``verified`` takes pairs ``a, b`` and returns ``a, b, same``. First every member is compared with
-    its bucket's centre. Buckets that still hold several components have their members compared
-    with a centre drawn anew; after ``STAR_ROUNDS`` of that, the pairs across components are compared one
-    by one. Pairs within a component need no comparison, so a bucket of many copies costs one for each.
+    its bucket's centre. Where a bucket still holds several components, its members are compared
+    with a centre drawn anew, ``STAR_ROUNDS`` times; the nodes of buckets that hold several even then
+    are searched by ``rare_pairs``. Pairs within a component need no comparison, so a bucket of many
+    copies costs one for each.
     """
     tested = verified(pairs)
     found = stages.keep(components(stages, tested.where("same").select("a", "b")))
@@ -220,9 +244,7 @@ def link_buckets(stages: Stages, members: DataFrame, pairs: DataFrame, verified:
             picks = rest.groupBy("key").agg(drawn.alias("pick"))
             more = rest.join(picks, "key").where("component != pick.k").select(F.least("pick.c", "node").alias("a"), F.greatest("pick.c", "node").alias("b"))
         else:
-            one = rest.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-            two = rest.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-            more = one.join(two, "key").where("a < b AND ca != cb").select("a", "b")
+            more = rare_pairs(rest.select("node", "component").distinct(), sets, percent)
         more = stages.keep(more.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         if not more.take(1):
             continue

@@ -86,26 +86,29 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, words``: the whole shingle set as sorted 64-bit numbers in one binary."""
+    """``doc_id, items``: the whole shingle set as sorted 64-bit numbers."""
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_rows(batches):
-            ids, sets = batch.column(0).to_pylist(), {}
+            sets: list = [None] * batch.num_rows
             for block, words, bounds in doc_words(texts(batch)):
-                sets |= {i: shingles(words[bounds[j]: bounds[j + 1]], size).tobytes() for j, i in enumerate(block)}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([sets[i] for i in range(len(ids))], pa.binary())], ["doc_id", "words"])
+                for j, i in enumerate(block):
+                    sets[i] = shingles(words[bounds[j]: bounds[j + 1]], size).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], ["doc_id", "items"])
+
+    return by_id(docs).mapInArrow(made, "doc_id long, items array<long>")
+
 
-    return by_id(docs).mapInArrow(made, "doc_id long, words binary")
+def _parts(column: pa.ListArray) -> Iterator[np.ndarray]:
+    values, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+    return (np.sort(values[a:b]) for a, b in zip(ends, ends[1:]))
 
 
 def _verify(percent: int):
     def checked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (batch.column(k).to_pylist() for k in (2, 3))
             same = []
-            for x, y in zip(left, right):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for a, b in zip(_parts(batch.column(2)), _parts(batch.column(3))):
                 few, many = (a, b) if len(a) < len(b) else (b, a)
                 at = np.searchsorted(many, few)
                 both = int((many[np.minimum(at, len(many) - 1)] == few).sum())
@@ -125,8 +128,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     Candidates are documents that share a band of the circulant signature. Equal sets collapse to one
     representative first. In each bucket every representative is compared with one centre, by whole
-    sets; what a bucket still holds in different components is compared with other centres, and the
-    rest pair by pair across components, so a large group of near copies costs one comparison for
+    sets; where a bucket still holds different components it gets other centres, and in the end an exact
+    search by rare shingles joins components, so a large group of near copies costs one comparison for
     each member and bucket and no link between different texts is left out.
 
     Fewer than ``size`` words are one run. Null and empty texts, and those of white space only, have
@@ -143,15 +146,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     exploded = reps.select(F.col("doc_id").alias("node"), F.explode(F.array_distinct("bands")).alias("key"))
     members, pairs = bucket_members(stages, exploded)
     ids = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = stages.keep(_sets(docs.join(ids, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
+    sets = _sets(docs.join(ids, "doc_id", "left_semi"), size).withColumnRenamed("doc_id", "node")
+    sets = stages.keep(sets.dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("doc_id").alias("a"), F.col("words").alias("left"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("words").alias("right"))
+        left = sets.select(F.col("node").alias("a"), F.col("items").alias("left"))
+        right = sets.select(F.col("node").alias("b"), F.col("items").alias("right"))
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
         return stages.keep(both.mapInArrow(_verify(percent), "a long, b long, same boolean"))
 
-    found = link_buckets(stages, members, pairs, verified)
+    found = link_buckets(stages, members, pairs, sets, percent, verified)
     roots = groups.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     roots = roots.select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("root"))
     out = signed.join(roots, ["set_a", "set_b", "n_shingles"], "left")
