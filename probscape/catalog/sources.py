@@ -199,7 +199,7 @@ def _audit_inputs(spark, sf_dir):
     )
     rows = table(spark, sf_dir, "lineitem").selectExpr(
         "concat('torus/g', cast(l_suppkey AS string), '.dat') AS path", "1L + l_orderkey % 500 AS line_no",
-        "concat_ws(' ', cast(1 + l_orderkey % 20 + CASE WHEN l_suppkey % 6 = 1 THEN 100 ELSE 0 END AS string), "
+        "concat_ws(' ', cast(1 + l_orderkey % 20 + CASE WHEN l_suppkey % 6 = 1 AND l_orderkey % 500 > 250 THEN 100 ELSE 0 END AS string), "
         "cast(1 + l_partkey % 20 AS string), CASE WHEN l_suppkey % 6 = 2 THEN 'x' ELSE concat(cast(l_quantity AS string), 'D+00') END) AS line",
     )
     docs = table(spark, sf_dir, "documents").selectExpr(
@@ -222,8 +222,8 @@ _DESCRIPTIONS = "(VALUES " + ", ".join(f"('{k}', '{d}', '{n}')" for k, (d, n) in
 _AUDIT = f"""
 doc AS (SELECT 'docs/d' || doc_id || (CASE doc_id % 4 WHEN 0 THEN '.dat' WHEN 1 THEN '.dat-s' WHEN 2 THEN '.txt' ELSE '.m' END) AS path,
     doc_id % 4 AS t, n_chars AS size_bytes, string_split(text, chr(10)) AS ls FROM documents),
-doc2 AS (SELECT *, len(list_filter(ls[1:200], lambda x: regexp_replace(x, '[\\s]', '', 'g') <> '' AND NOT regexp_matches(x, '^\\s*["*#%]'))) AS rel200,
-    len(list_filter(ls[1:1000], lambda x: regexp_replace(x, '[\\s]', '', 'g') <> '' AND NOT regexp_matches(x, '^\\s*["*#%]'))) AS rel1000 FROM doc),
+doc2 AS (SELECT *, len(list_filter(ls, lambda x: regexp_replace(x, '[\\s]', '', 'g') <> '' AND NOT regexp_matches(x, '^\\s*["*#%]'))) AS rel200,
+    len(list_filter(ls, lambda x: regexp_replace(x, '[\\s]', '', 'g') <> '' AND NOT regexp_matches(x, '^\\s*["*#%]'))) AS rel1000 FROM doc),
 verdicts AS (
   SELECT 'lib/inst' || s_suppkey || '.dat-s' AS path, s_suppkey AS size_bytes,
     s_suppkey % 7 NOT IN (1, 2, 4, 5) AS ok, s_suppkey % 7 <> 3 AS sdp,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable, Sequence
 
 from pyspark import StorageLevel
@@ -44,6 +45,11 @@ def prefixed(columns: Sequence[str], prefix: str) -> list[str]:
     return [c for c in columns if c.startswith(prefix)]
 
 
+def finite(col: Column) -> Column:
+    """True for a number that is neither null, NaN nor infinite."""
+    return col.isNotNull() & ~F.isnan(col) & (F.abs(col) != float("inf"))
+
+
 def has_rows(df: DataFrame) -> bool:
     return len(df.take(1)) > 0
 
@@ -59,21 +65,32 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative job with a reliable checkpoint.
+_local_folder: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``; only a session
-    without one (a unit test) falls back to a folder of its own.
+    A session that runs in one process (``local[...]``) may do without the setting and gets a folder
+    of its own; on a cluster a missing setting is an error.
     """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise DataError("spark.checkpoint.dir names no shared folder")
+    if sc.applicationId not in _local_folder:
+        _local_folder[sc.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return _local_folder[sc.applicationId]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iterative job with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
@@ -92,8 +109,8 @@ def as_model(df: DataFrame, limit: int = MODEL_ROWS) -> DataFrame | None:
 
 
 def fits(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads no more than it must."""
-    return df.limit(limit + 1).count() <= limit
+    """True when ``df`` has at most ``limit`` rows; counted in parallel, one number a task."""
+    return df.count() <= limit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

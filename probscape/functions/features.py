@@ -334,15 +334,16 @@ class FeatureRegistry:
 
     A user group is either *relational* — ``fn(corpus) -> DataFrame`` of aggregates keyed
     by instance, planned by Catalyst — or *per instance*: ``fn(pandas.DataFrame) -> dict``
-    over the instance's entries, for code that cannot be written as columns.  The second
-    form is handed one instance at a time, so it only suits instances that fit a task;
-    ``max_entries`` is checked and larger ones get nulls, as an extractor that runs out of
-    memory does.
+    over the instance's entries, for code that cannot be written as columns.  That form is
+    handed one instance at a time, so it suits instances that fit a task.  For larger ones
+    there is the *partial* form: ``partial(pandas.DataFrame) -> bytes`` of any share of an
+    instance's entries, ``merge(bytes, bytes) -> bytes`` and ``finish(bytes) -> dict``.
     """
 
     groups: dict[str, list[str]] = field(default_factory=builtin_groups)
     relational: dict[str, Callable[[Corpus], DataFrame]] = field(default_factory=dict)
-    opaque: dict[str, tuple[Callable, int]] = field(default_factory=dict)
+    opaque: dict[str, Callable] = field(default_factory=dict)
+    partial: dict[str, tuple[Callable, Callable, Callable]] = field(default_factory=dict)
 
     def _claim(self, group: str, names: Sequence[str]) -> None:
         if group in self.groups:
@@ -357,9 +358,13 @@ class FeatureRegistry:
         self._claim(group, names)
         self.relational[group] = fn
 
-    def register_opaque(self, group: str, names: Sequence[str], fn, max_entries=5_000_000) -> None:
+    def register_opaque(self, group: str, names: Sequence[str], fn) -> None:
         self._claim(group, names)
-        self.opaque[group] = (fn, max_entries)
+        self.opaque[group] = fn
+
+    def register_partial(self, group: str, names: Sequence[str], partial, merge, finish) -> None:
+        self._claim(group, names)
+        self.partial[group] = (partial, merge, finish)
 
     def evaluate(self, group: str, names: Sequence[str], corpus: Corpus) -> DataFrame:
         if group in self.relational:
@@ -368,24 +373,40 @@ class FeatureRegistry:
             if lacking:
                 raise DataError(f"group {group!r} did not return {lacking}")
             return out.select(KEY, *names)
-        fn, max_entries = self.opaque[group]
         schema = T.StructType(
             [T.StructField(KEY, T.StringType())] + [T.StructField(n, T.DoubleType()) for n in names]
         )
 
-        def one(key, pdf):
+        def row(instance, got):
             import pandas as pd
 
-            got = fn(pdf)
             lacking = [n for n in names if n not in got]
             if lacking:
                 raise DataError(f"group {group!r} did not return {lacking}")
-            return pd.DataFrame([[key[0]] + [got[n] for n in names]], columns=[KEY, *names])
+            return pd.DataFrame([[instance] + [got[n] for n in names]], columns=[KEY, *names])
 
-        small = (
-            corpus.entries.groupBy(KEY).count().where(F.col("count") <= max_entries).select(KEY)
-        )
-        return corpus.entries.join(small, KEY, "left_semi").groupBy(KEY).applyInPandas(one, schema)
+        if group in self.opaque:
+            fn = self.opaque[group]
+            return corpus.entries.groupBy(KEY).applyInPandas(lambda key, pdf: row(key[0], fn(pdf)), schema)
+
+        partial, merge, finish = self.partial[group]
+
+        def states(batches):
+            import pandas as pd
+
+            held: dict = {}
+            for batch in batches:
+                for instance, part in batch.groupby(KEY, sort=False):
+                    state = partial(part)
+                    held[instance] = merge(held[instance], state) if instance in held else state
+            yield pd.DataFrame({KEY: list(held), "state": list(held.values())})
+
+        def merged(key, pdf):
+            return row(key[0], finish(reduce(merge, pdf["state"])))
+
+        # a state for each instance and task: small, however large the instance is
+        found = corpus.entries.mapInPandas(states, f"{KEY} string, state binary")
+        return found.groupBy(KEY).applyInPandas(merged, schema)
 
 
 def build_features(

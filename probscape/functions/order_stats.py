@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probscape.common import DataError, MODEL_ROWS, collect_model
+from probscape.common import DataError, MODEL_ROWS, collect_model, finite
 from probscape.functions.diagnostics import unpivot
 
 #: Values of one interval that may be fetched and sorted.
@@ -22,38 +22,55 @@ _FEW = 4096
 _CELLS = 200_000
 
 
-def column_extent(long: DataFrame) -> dict[str, tuple[int, float, float]]:
-    """``{key: (n, min, max)}`` of the non-null values of ``(key, value)``."""
+def _known(long: DataFrame) -> DataFrame:
+    """NaN counts as missing."""
+    return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
+def column_extent(long: DataFrame) -> dict[str, tuple[int, int, int, float, float]]:
+    """``{key: (n, n of -inf, n of finite, least finite, greatest finite)}`` of ``(key, value)``."""
+    own = F.when(finite(F.col("value")), F.col("value"))
     rows = collect_model(
-        long.groupBy("key").agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")),
+        _known(long).groupBy("key").agg(
+            F.count("value").alias("n"), F.count_if(F.col("value") == float("-inf")).alias("low"),
+            F.count(own).alias("mid"), F.min(own).alias("lo"), F.max(own).alias("hi")),
         "the list of keys",
     )
-    return {r["key"]: (r["n"], r["lo"], r["hi"]) for r in rows}
+    return {r["key"]: (r["n"], r["low"], r["mid"], r["lo"], r["hi"]) for r in rows}
 
 
 def select_ranks(
     long: DataFrame, wanted: Mapping[str, Sequence[int]], extent: Mapping[str, tuple] | None = None
 ) -> dict[tuple[str, int], float]:
-    """The values at the given 1-based ranks of ``(key, value)``, nulls left out."""
+    """The values at the given 1-based ranks of ``(key, value)``, nulls and NaN left out.
+
+    Infinite values take the first and last ranks; the search runs over the finite ones.
+    """
     spark = long.sparkSession
     extent = extent or column_extent(long)
     found: dict[tuple[str, int], float] = {}
     # open intervals: (key, lo, hi) -> {rank: number of values below the interval}
     open_: dict[tuple[str, float, float], dict[int, int]] = {}
     for key, ranks in wanted.items():
-        n, lo, hi = extent.get(key, (0, None, None))
+        n, low, mid, lo, hi = extent.get(key, (0, 0, 0, None, None))
         for rank in ranks:
             if not 1 <= rank <= n:
                 raise DataError(f"rank {rank} of {key!r} is outside 1..{n}")
-            if lo == hi:
+            if rank <= low:
+                found[key, rank] = float("-inf")
+            elif rank > low + mid:
+                found[key, rank] = float("inf")
+            elif lo == hi:
                 found[key, rank] = lo
             else:
-                open_.setdefault((key, lo, hi), {})[rank] = 0
+                open_.setdefault((key, lo, hi), {})[rank] = low
+    long = long.where(finite(F.col("value")))
 
     while open_:
         if len(open_) > MODEL_ROWS:
             raise DataError(f"too many order statistics at once: {len(open_)}")
         spans = list(open_)
+        before = open_
         buckets = max(16, min(4096, _CELLS // len(spans)))
         model = spark.createDataFrame(
             [(i, k, lo, hi) for i, (k, lo, hi) in enumerate(spans)], "iv int, key string, lo double, hi double"
@@ -99,6 +116,8 @@ def select_ranks(
                 ordered = sorted(values[i])
                 for rank, below in fetch[sub].items():
                     found[sub[0], rank] = ordered[rank - below - 1]
+        if set(next_) == set(before):
+            raise DataError("the search for order statistics does not narrow")
         open_ = next_
     return found
 
@@ -117,10 +136,14 @@ def _positions(n: int, p: float, midpoint: bool) -> tuple[int, int, float]:
 def quantiles(long: DataFrame, probs: Sequence[float], midpoint: bool = False) -> dict[str, list[float]]:
     """Exact quantiles per key of ``(key, value)``."""
     extent = column_extent(long)
-    spots = {k: [_positions(n, p, midpoint) for p in probs] for k, (n, _, _) in extent.items() if n > 0}
+    spots = {k: [_positions(n, p, midpoint) for p in probs] for k, (n, *_) in extent.items() if n > 0}
     ranks = {k: sorted({r for a, b, _ in v for r in (a, b)}) for k, v in spots.items()}
     at = select_ranks(long, ranks, extent)
-    return {k: [at[k, a] + w * (at[k, b] - at[k, a]) for a, b, w in v] for k, v in spots.items()}
+
+    def between(x: float, y: float, w: float) -> float:
+        return x if w == 0 or x == y else x + w * (y - x)
+
+    return {k: [between(at[k, a], at[k, b], w) for a, b, w in v] for k, v in spots.items()}
 
 
 def column_quantiles(
@@ -134,7 +157,8 @@ GROUP_ROWS = 1_000_000
 
 
 def grouped_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Median per group, hot groups by selection and all others by a plain aggregate."""
+    """Median per group, hot groups by selection and all others by a plain aggregate; NaN is missing."""
+    df = df.withColumn(value, F.nanvl(F.col(value).cast("double"), F.lit(None)))
     hot = collect_model(
         df.groupBy(*keys).agg(F.count(value).alias("n")).where(F.col("n") > GROUP_ROWS), "the list of hot groups"
     )

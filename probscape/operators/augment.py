@@ -11,7 +11,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probscape.common import DataError, cut
+from probscape.common import DataError, cut, keep
 from probscape.functions.draws import Draws, HashDraws
 from probscape.functions.features import KEY, Corpus
 from probscape.functions.order_stats import grouped_median
@@ -112,14 +112,17 @@ def reference_values(entries: DataFrame, chosen: DataFrame) -> DataFrame:
 def sample_positions(
     corpus: Corpus, chosen: DataFrame, n: int | Column, most: int, draws: Draws | None = None
 ) -> DataFrame:
-    """Up to ``n`` (≤ ``most``) unused upper-triangle positions per chosen matrix.
+    """``n`` (≤ ``most``) unused upper-triangle positions per chosen matrix, or all if there are fewer.
 
-    A fixed number of seeded attempts each: a random block, then a random position in it,
-    on the diagonal for diagonal blocks.
+    Seeded attempts first: a random block, then a random position in it, on the diagonal for
+    diagonal blocks; ``ATTEMPTS`` for each position wanted.  Matrices so full that the attempts find too
+    few get the rest from their free positions, listed for these matrices alone.
     """
     draws = draws or HashDraws()
+    limit = F.lit(n) if isinstance(n, int) else n
+    wanted = chosen.join(corpus.problems.select(KEY, "n_blocks"), KEY).withColumn("wanted", F.least(limit, F.lit(most)))
     tries = max(ATTEMPTS, most * ATTEMPTS)
-    t = chosen.join(corpus.problems.select(KEY, "n_blocks"), KEY).withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(tries))))
+    t = wanted.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(tries))))
     key = _k(KEY, "mat_id", "t")
     t = t.withColumn("block_id", draws.integer("block", F.col("n_blocks"), *key)).join(corpus.blocks, [KEY, "block_id"])
     s = F.abs("size")
@@ -127,12 +130,23 @@ def sample_positions(
     t = t.withColumn(
         "col", F.when(F.col("size") > 0, F.col("row") - 1 + draws.integer("col", s - F.col("row") + 1, *key)).otherwise(F.col("row"))
     )
-    first = t.groupBy(*COORD).agg(F.min("t").alias("t"))
     used = corpus.entries.join(chosen, [KEY, "mat_id"], "left_semi").select(*COORD)
-    free = first.join(used, COORD, "left_anti")
-    ranked = free.withColumn("rk", F.row_number().over(Window.partitionBy(KEY, "mat_id").orderBy("t")))
-    limit = F.lit(n) if isinstance(n, int) else n
-    return ranked.where((F.col("rk") <= most) & (F.col("rk") <= limit)).select(*COORD)
+    first = t.groupBy(*COORD, "wanted").agg(F.min("t").alias("t")).join(used, COORD, "left_anti")
+    order = Window.partitionBy(KEY, "mat_id").orderBy("t")
+    drawn = keep(first.withColumn("rk", F.row_number().over(order)).where("rk <= wanted").select(*COORD))
+
+    short = wanted.join(drawn.groupBy(KEY, "mat_id").count(), [KEY, "mat_id"], "left")
+    short = short.select(KEY, "mat_id", (F.col("wanted") - F.coalesce("count", F.lit(0))).alias("lacking")).where("lacking > 0")
+    if not short.take(1):
+        return drawn
+    # such a matrix has few free positions or few positions at all
+    cells = short.join(corpus.blocks, KEY).withColumn("row", F.explode(F.sequence(F.lit(1), F.abs("size"))))
+    last = F.when(F.col("size") > 0, F.col("size")).otherwise(F.col("row"))
+    cells = cells.withColumn("col", F.explode(F.sequence(F.col("row"), last)))
+    free = cells.join(used, COORD, "left_anti").join(drawn, COORD, "left_anti")
+    order = Window.partitionBy(KEY, "mat_id").orderBy(draws.uniform("rest", *_k(*COORD)), *_k(*PLACE))
+    rest = free.withColumn("rk", F.row_number().over(order)).where("rk <= lacking").select(*COORD)
+    return drawn.unionByName(rest)
 
 
 def new_values(positions: DataFrame, typical: DataFrame, draws: Draws | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from probscape.common import DataError, MODEL_ROWS, collect_model, keep
+from probscape.common import DataError, collect_model, keep
 from probscape.operators.geometry import (
     as_polygon,
     bounding_box,
@@ -46,30 +46,20 @@ def select_targets(
 ) -> DataFrame:
     """Greedy choice in candidate order, each at least ``min_separation`` from all before it.
 
-    The choice is sequential by nature.  A model-sized candidate table is walked once;
-    a larger one takes ``top_k`` rounds, each of which drops what is too close.
+    The choice is sequential by nature: ``top_k`` rounds, each of which takes the first position
+    left and drops what lies too close to it. Positions without a distance are never chosen.
     """
     cols = ["i", "j", "z_1", "z_2", "nearest_instance_distance"]
+    left = keep(candidates.select(*cols).where("nearest_instance_distance IS NOT NULL"))
     chosen: list = []
-    rows = candidates.select(*cols).limit(MODEL_ROWS + 1).collect()
-    if len(rows) <= MODEL_ROWS:
-        rows.sort(key=lambda r: (-r["nearest_instance_distance"], r["i"], r["j"]))
-        for r in rows:
-            if len(chosen) == top_k:
-                break
-            if all(math.dist((r["z_1"], r["z_2"]), (c["z_1"], c["z_2"])) >= min_separation for c in chosen):
-                chosen.append(r)
-    else:
-        left = keep(candidates.select(*cols))
-        far = F.lit(True)
-        while len(chosen) < top_k:
-            nxt = left.where(far).orderBy(F.desc("nearest_instance_distance"), "i", "j").limit(1).collect()
-            if not nxt:
-                break
-            c = nxt[0]
-            chosen.append(c)
-            dx, dy = F.col("z_1") - c["z_1"], F.col("z_2") - c["z_2"]
-            far = far & (F.sqrt(dx * dx + dy * dy) >= min_separation)
+    far = F.lit(True)
+    while len(chosen) < top_k:
+        first = left.where(far).orderBy(F.desc("nearest_instance_distance"), "i", "j").first()
+        if first is None:
+            break
+        chosen.append(first)
+        far = far & (F.hypot(F.col("z_1") - first["z_1"], F.col("z_2") - first["z_2"]) >= min_separation)
+    left.unpersist()
     spark = candidates.sparkSession
     return spark.createDataFrame(
         [

@@ -112,8 +112,8 @@ def _cells(graphs: DataFrame) -> DataFrame:
     return columns.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
 
 
-def graph_to_problem(graphs: DataFrame, edges: DataFrame, kind: str, max_n: int | None = MAX_N, weight_scale: float = 1.0) -> Corpus:
-    """Problems of one family; graphs above ``max_n`` are left to ``plan_conversion`` to report.
+def graph_to_problem(graphs: DataFrame, edges: DataFrame, kind: str, max_n: int | None = None, weight_scale: float = 1.0) -> Corpus:
+    """Problems of one family; a given ``max_n`` leaves larger graphs out (``plan_conversion`` reports them).
 
     BISECT  C = ¼(D − W); unit diagonal, all entries sum to 0.
     TORUS   C = ½(D − W); unit diagonal.

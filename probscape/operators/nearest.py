@@ -14,14 +14,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from probscape.common import keep
+from probscape.common import finite, keep
 
-#: Points that may be sent to every task as plain arrays.
-SMALL = 20_000
 #: Bits per axis and level, and the deepest grid.
 _BITS, _MAX_LEVELS = 2, 12
+#: Upper levels that are sent to every task: 16**4 cells at most.
+_SENT_LEVELS = 4
 _SLACK = 1 + 1e-9
 
 
@@ -41,75 +40,26 @@ def _far2(x: Column, y: Column) -> Column:
 
 
 def nearest_k(
-    queries: DataFrame, points: DataFrame, k: int = 1, pid: str = "instance", by: Sequence[str] = (),
-    small: int = SMALL, levels: int | None = None,
+    queries: DataFrame, points: DataFrame, k: int = 1, pid: str = "instance", by: Sequence[str] = (), levels: int | None = None,
 ) -> DataFrame:
     """The k nearest points of every distinct query position, ties by ``pid``.
 
     Returns ``(*by, z_1, z_2, rank, pid, distance)`` per distinct ``(*by, z_1, z_2)`` of
-    ``queries``; a query only meets points that agree with it on ``by``.
+    ``queries``; a query only meets points that agree with it on ``by``. Points and queries with a
+    null, NaN or infinite coordinate have no neighbours.
     """
     by = list(by)
     at = [*by, "z_1", "z_2"]
-    spots = queries.select(*at).distinct()
-    pts = points.select(*by, F.col(pid).alias("pid"), F.col("z_1").alias("px"), F.col("z_2").alias("py"))
+    placed = finite(F.col("z_1").cast("double")) & finite(F.col("z_2").cast("double"))
+    spots = queries.where(placed).select(*at).distinct()
+    pts = points.where(placed).select(*by, F.col(pid).alias("pid"), F.col("z_1").alias("px"), F.col("z_2").alias("py"))
     if k > 1:
         # of points in one place only the first k can matter; the limit applies before the shuffle
         same = Window.partitionBy(*by, "px", "py").orderBy("pid")
         pts = pts.withColumn("same", F.row_number().over(same)).where(F.col("same") <= k).drop("same")
-
-    head = pts.limit(small + 1).toPandas() if small else None
-    if head is not None and len(head) <= small:
-        found = _brute(spots, pts, head, k, by)
     else:
-        found = _descend(spots, pts, k, by, levels)
-    return found.withColumnRenamed("pid", pid)
-
-
-def _brute(spots: DataFrame, pts: DataFrame, held, k: int, by: list[str]) -> DataFrame:
-    """Few points: every task holds them all and works through its queries in blocks."""
-    import numpy as np
-
-    pdf = held.sort_values("pid", kind="stable")
-    pid_type = pts.schema["pid"].dataType
-    groups = {g: part for g, part in pdf.groupby(by, sort=False)} if by else {(): pdf}
-    table = {
-        (g if isinstance(g, tuple) else (g,)): (p["pid"].to_numpy(), p["px"].to_numpy(float), p["py"].to_numpy(float))
-        for g, p in groups.items()
-    }
-    sent = spots.sparkSession.sparkContext.broadcast(table)
-    fields = [spots.schema[c] for c in (*by, "z_1", "z_2")]
-    schema = T.StructType([
-        *fields, T.StructField("rank", T.IntegerType()), T.StructField("pid", pid_type), T.StructField("distance", T.DoubleType())
-    ])
-
-    def run(batches):
-        import pandas as pd
-
-        for q in batches:
-            parts = q.groupby(by, sort=False) if by else [((), q)]
-            for g, part in parts:
-                ids, px, py = sent.value.get(g if isinstance(g, tuple) else (g,), (np.array([]),) * 3)
-                take = min(k, len(ids))
-                if take == 0 or len(part) == 0:
-                    continue
-                for lo in range(0, len(part), 1024):
-                    some = part.iloc[lo : lo + 1024]
-                    dx = some["z_1"].to_numpy()[:, None] - px[None, :]
-                    dy = some["z_2"].to_numpy()[:, None] - py[None, :]
-                    d2 = dx * dx + dy * dy
-                    if take == 1:
-                        order = d2.argmin(axis=1)[:, None]
-                    else:
-                        order = np.argsort(d2, axis=1, kind="stable")[:, :take]
-                    n = len(some)
-                    out = {c: np.repeat(some[c].to_numpy(), take) for c in (*by, "z_1", "z_2")}
-                    out["rank"] = np.tile(np.arange(1, take + 1, dtype="int32"), n)
-                    out["pid"] = ids[order.ravel()]
-                    out["distance"] = np.sqrt(np.take_along_axis(d2, order, axis=1)).ravel()
-                    yield pd.DataFrame(out)
-
-    return spots.mapInPandas(run, schema)
+        pts = pts.groupBy(*by, "px", "py").agg(F.min("pid").alias("pid"))
+    return _descend(spots, pts, k, by, levels).withColumnRenamed("pid", pid)
 
 
 def _descend(spots: DataFrame, pts: DataFrame, k: int, by: list[str], levels: int | None) -> DataFrame:
@@ -124,6 +74,8 @@ def _descend(spots: DataFrame, pts: DataFrame, k: int, by: list[str], levels: in
         levels = min(levels, math.ceil(math.log(max(ext[4], 2), 16)) + 1)
     levels = max(1, min(levels, _MAX_LEVELS))
     cells = 1 << (_BITS * levels)
+    if not ext[4]:
+        ext = (0.0, 1.0, 0.0, 1.0, 0)
     wx, wy = max(ext[1] - ext[0], 1e-300), max(ext[3] - ext[2], 1e-300)
 
     def slot(v, lo, w):
@@ -146,6 +98,8 @@ def _descend(spots: DataFrame, pts: DataFrame, k: int, by: list[str], levels: in
     pairs = spots.withColumns({"cx": F.lit(0), "cy": F.lit(0)})
     for level in range(1, levels + 1):
         child = summary[level].withColumns({"cx": F.shiftright("ix", _BITS), "cy": F.shiftright("iy", _BITS)})
+        if not by and level <= _SENT_LEVELS:  # all queries begin in one cell; that step must not be a shuffle
+            child = F.broadcast(child)
         met = pairs.join(child, [*by, "cx", "cy"]).withColumns({"near2": _near2(x, y), "far2": _far2(x, y)})
         if k == 1:
             bound = F.min("far2").over(Window.partitionBy(*q_key))
@@ -182,4 +136,4 @@ def nearest_seed(targets: DataFrame, coords: DataFrame, key: str = "instance", *
     found = nearest_k(targets, coords, 1, pid=key, **how).select(
         "z_1", "z_2", F.col(key).alias("seed_instance"), F.col("distance").alias("seed_distance")
     )
-    return targets.join(found, ["z_1", "z_2"])
+    return targets.join(found, ["z_1", "z_2"], "left")

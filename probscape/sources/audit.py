@@ -24,9 +24,7 @@ FAMILIES = {
     "TRUSS": ("Truss topology design problems", "Distributed as SeDuMi SDP instances."),
 }
 
-# How many raw lines each rule looks at, how many data rows it checks,
-# and the comment marks.
-GRAPH_LINES, TEXT_LINES, CHECKED_ROWS = 200, 1000, 5
+# The comment marks.
 COMMENTS = ('"', "*", "#", "%")
 
 
@@ -47,9 +45,10 @@ def attach_family(files: DataFrame) -> DataFrame:
     })
 
 
-def _relevant(lines: DataFrame, limit: int) -> DataFrame:
-    """Lines that are no comments among the first ``limit`` lines of each file."""
-    return lines.where((F.col("line_no") < limit) & is_relevant(F.col("line"), COMMENTS))
+def _relevant(lines: DataFrame, limit: int | None) -> DataFrame:
+    """Lines that are no comments, of each file or of its first ``limit`` lines."""
+    found = lines.where(is_relevant(F.col("line"), COMMENTS))
+    return found if limit is None else found.where(F.col("line_no") < limit)
 
 
 def _leading(rows: DataFrame, k: int) -> DataFrame:
@@ -65,30 +64,26 @@ def _verdict(kind: str, reason: str, instance: bool = False, sdp: bool = False):
     )
 
 
-def classify_graph_text(lines: DataFrame) -> DataFrame:
+def classify_graph_text(lines: DataFrame, first_lines: int | None = None, checked_rows: int | None = None) -> DataFrame:
     """Raw graph rule: an integer header ``n m [k]`` and in-range rows ``i j value``.
 
-    Reads at most the first 200 lines of a file; ``lines`` is ``(path, line_no, line)``.
+    Judges whole files; ``first_lines`` and ``checked_rows`` limit what is looked at. ``lines`` is
+    ``(path, line_no, line)``. Header and ranges are plain aggregates, so a file spreads over tasks.
     """
-    by_line = Window.partitionBy("path").orderBy("line_no")
     cells = F.struct(
         fortran_integer(F.get("t", 0)).alias("i"), fortran_integer(F.get("t", 1)).alias("j"),
         fortran_decimal(F.get("t", 2)).alias("v"),
     )
-    parsed = (
-        _relevant(lines, GRAPH_LINES).withColumn("r", F.row_number().over(by_line))
-        .select("path", "line_no", "r", F.explode(F.array(tokens(F.col("line")))).alias("t"))
-        .select("path", "line_no", "r", "t", F.inline(F.array(cells)))
-    )
-    valid = (F.col("r") > 1) & F.col("i").isNotNull() & F.col("j").isNotNull() & F.col("v").isNotNull()
-    # one shuffle by file, of 200 lines at most each: ranks and the summary share it
-    nth = F.sum(valid.cast("int")).over(by_line)
-    counted = parsed.withColumn("checked", valid & (nth <= CHECKED_ROWS))
-    hit = F.col("checked")
-    summary = counted.groupBy("path").agg(
-        F.max(F.when(F.col("r") == 1, F.col("t"))).alias("h"), F.count_if(hit).alias("seen"),
-        F.min(F.when(hit, F.least("i", "j"))).alias("lo"), F.max(F.when(hit, F.greatest("i", "j"))).alias("hi"),
+    parsed = _relevant(lines, first_lines).select("path", "line_no", F.explode(F.array(tokens(F.col("line")))).alias("t"))
+    header = parsed.groupBy("path").agg(F.min("line_no").alias("head_no"), F.min_by("t", "line_no").alias("h"))
+    rows = parsed.select("path", "line_no", F.inline(F.array(cells))).where("i IS NOT NULL AND j IS NOT NULL AND v IS NOT NULL")
+    rows = rows.join(header.select("path", "head_no"), "path").where("line_no > head_no")
+    if checked_rows is not None:
+        rows = _leading(rows, checked_rows)
+    ranges = rows.groupBy("path").agg(
+        F.count(F.lit(1)).alias("seen"), F.min(F.least("i", "j")).alias("lo"), F.max(F.greatest("i", "j")).alias("hi"),
     )
+    summary = header.join(ranges, "path", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
     ints = F.transform("h", fortran_integer)
     head = summary.select(
         "path", "seen", "lo", "hi",
@@ -106,9 +101,9 @@ def classify_graph_text(lines: DataFrame) -> DataFrame:
     return head.select("path", verdict.alias("v"))
 
 
-def classify_problem_text(lines: DataFrame) -> DataFrame:
+def classify_problem_text(lines: DataFrame, first_lines: int | None = None) -> DataFrame:
     """Sparse problem rule: single-token m and n_blocks, non-zero block sizes, m values of b."""
-    heads = _leading(_relevant(lines, TEXT_LINES), 4).groupBy("path").agg(
+    heads = _leading(_relevant(lines, first_lines), 4).groupBy("path").agg(
         F.max("r").alias("rows"),
         *[F.max(F.when(F.col("r") == i, F.col("line"))).alias(f"l{i}") for i in (1, 2, 3, 4)],
     ).select("path", "rows", *[tokens(F.col(f"l{i}")).alias(f"t{i}") for i in (1, 2, 3, 4)])
@@ -133,10 +128,12 @@ def classify_problem_text(lines: DataFrame) -> DataFrame:
     return parsed.select("path", verdict.alias("v"))
 
 
-def classify_files(files: DataFrame, lines: DataFrame) -> DataFrame:
+def classify_files(
+    files: DataFrame, lines: DataFrame, graph_lines: int | None = None, text_lines: int | None = None, checked_rows: int | None = None,
+) -> DataFrame:
     """Audit records of ``files(path, size_bytes)`` from their ``lines(path, line_no, line)``.
 
-    Binary containers are not opened; they are reported as such.
+    Whole files are judged unless a limit is given. Binary containers are not opened; they are reported as such.
     """
     ext = extension(F.col("path"))
     routed = files.withColumn("extension", ext).withColumn(
@@ -148,12 +145,9 @@ def classify_files(files: DataFrame, lines: DataFrame) -> DataFrame:
         .otherwise("other"),
     )
     # a file's route picks its lines before any of them is tokenised
-    for_graph = lines.where((extension(F.col("path")) == ".dat") & (F.col("line_no") < GRAPH_LINES))
-    for_text = lines.where(
-        (F.lower("path").endswith(".dat-s") | extension(F.col("path")).isin(".sdpa", ".sdp"))
-        & (F.col("line_no") < TEXT_LINES)
-    )
-    verdicts = classify_graph_text(for_graph).unionByName(classify_problem_text(for_text))
+    for_graph = lines.where(extension(F.col("path")) == ".dat")
+    for_text = lines.where(F.lower("path").endswith(".dat-s") | extension(F.col("path")).isin(".sdpa", ".sdp"))
+    verdicts = classify_graph_text(for_graph, graph_lines, checked_rows).unionByName(classify_problem_text(for_text, text_lines))
     fallback = (
         F.when(F.col("route") == "script", _verdict("matlab-script", "source/generator script"))
         .when(F.col("route") == "container", _verdict("matlab-mat", "container not inspected"))

@@ -8,17 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probscape.common import DataError, require_rows
+from probscape.common import DataError, require_rows, shared_folder
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-stage-")
-    return f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}/{name}"
+    return f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}/{name}"
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:

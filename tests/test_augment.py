@@ -106,7 +106,7 @@ def test_graph_rules(spark):
     edges = spark.createDataFrame([("g", 2, 1, 3.0), ("g", 1, 2, 1.0), ("g", 3, 3, 5.0)], "graph string, i int, j int, w double")
     assert rows(gr.graph_weight_matrix(edges)) == [("g", 1, 2, 4.0), ("g", 2, 1, 4.0), ("g", 3, 3, 10.0)]
     heads = spark.createDataFrame([("g", 3, 2), ("big", 9000, 2)], "graph string, n int, k int")
-    torus = gr.graph_to_problem(heads, edges, "TORUS")
+    torus = gr.graph_to_problem(heads, edges, "TORUS", max_n=5000)
     assert rows(torus.problems) == [("g", 3, 1)]
     assert rows(torus.entries.where("mat_id = 0").drop("instance")) == [
         (0, 1, 1, 1, 2.0), (0, 1, 1, 2, -2.0), (0, 1, 1, 2, -2.0), (0, 1, 2, 2, 2.0)]

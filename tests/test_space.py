@@ -145,7 +145,7 @@ def test_polygon_with_a_hole_and_two_ways(spark):
     assert near["in"] == pytest.approx(1.0) and near["hole"] == pytest.approx(1.0)
 
 
-@pytest.mark.parametrize("how", [{}, {"small": 0}, {"small": 0, "levels": 1}, {"small": 0, "levels": 6}])
+@pytest.mark.parametrize("how", [{}, {"levels": 1}, {"levels": 6}])
 @pytest.mark.parametrize("k", [1, 4])
 def test_nearest_is_exact(spark, k, how):
     pts, qs = cloud(250, dup=True), cloud(40, seed=9) + [("x", 0.5, 0.5), ("y", -30.0, 7.0)]
