@@ -192,9 +192,14 @@ def components(stages: Stages, links: DataFrame, a: str = "a", b: str = "b") ->
 STAR_ROUNDS = 2
 
 
-def bucket_members(stages: Stages, exploded: DataFrame) -> tuple[DataFrame, DataFrame]:
+def bucket_members(stages: Stages, exploded: DataFrame, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """``key, node, centre`` of the buckets (rows ``node, key``) with several nodes, and the pairs
-    ``a, b`` of centres and other members. The centre is the bucket's smallest node."""
+    ``a, b`` of centres and other members. The centre is the bucket's smallest node.
+
+    ``once`` shuffles the rows once for both steps, where disk is scarcer than time; otherwise counts
+    are combined before their shuffle and Spark can split a bucket that is large.
+    """
+    exploded = exploded.repartition("key") if once else exploded
     shared = exploded.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
     members = stages.keep(exploded.join(shared.select("key", "centre"), "key"))
     pairs = members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
