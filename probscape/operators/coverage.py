@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from probscape.common import DataError, collect_model, keep
+from probscape.common import DataError, collect_model, finite, keep
 from probscape.operators.geometry import (
     as_polygon,
     bounding_box,
@@ -34,6 +34,7 @@ def empty_space_candidates(
     The grid is at most ``grid_size``² rows; the instances are reduced to it, not paired.
     """
     spark = points.sparkSession
+    points = points.where(finite(F.col("z_1")) & finite(F.col("z_2")))
     grid = make_grid(spark, padded(box or bounding_box(points), padding), grid_size)
     if inside_hull:
         hull = as_polygon(convex_hull(points))
@@ -80,6 +81,7 @@ def find_empty_space(
     separation_share: float = SEPARATION, inside_hull: bool = True,
 ) -> DataFrame:
     """The centres of the emptiest regions."""
+    points = points.where(finite(F.col("z_1")) & finite(F.col("z_2")))
     box = bounding_box(points)
     cand = empty_space_candidates(points, grid_size, padding, inside_hull, box)
     return select_targets(cand, top_k, separation(box, padding, separation_share), grid_size)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from probscape.common import DataError
 from probscape.functions.features import Corpus
-from probscape.sources.corpus import file_name, number_lines, scan_text
+from probscape.sources.corpus import number_lines, path_below, scan_text
 from probscape.sources.text import tokens
 
 # Families that can be converted, largest n converted by default, the weight
@@ -43,9 +43,9 @@ def parse_graphs(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def read_graphs(spark: SparkSession, paths: str | Sequence[str], strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Graphs and edges of ``.dat`` files, named by their file; contradictions to a header fail."""
+    """Graphs and edges of ``.dat`` files, named by their path below the folder; contradictions to a header fail."""
     raw = scan_text(spark, paths).where(F.lower("file_path").endswith(".dat"))
-    heads, edges, data = parse_graphs(number_lines(raw, file_name()))
+    heads, edges, data = parse_graphs(number_lines(raw, path_below(paths)))
     if strict:
         validate_graph(heads, data, strict=True)
     return heads, edges

@@ -65,8 +65,9 @@ def build_space(
 ) -> Space:
     """Normalise the features, project to the plane, label good algorithms, draw the outline.
 
-    Rows without a value in every feature cannot be placed and keep null coordinates out of
-    the fit; runtimes that are missing count as the worst of their column in the projection.
+    Rows without a value in every feature are left out of the fit; they are labelled like all others
+    and have null coordinates. Runtimes that are missing count as the worst of their column in the
+    projection.
     """
     meta = md.normalize_keys(metadata)
     md.validate_metadata(meta.columns)
@@ -82,8 +83,8 @@ def build_space(
         names = [r["feature"] for r in ml.select_features_by_corr(normed, names, algos, rho).orderBy("feature").collect()]
     weights = ml.fit_projection(normed, names, algos)
     model = {n: ml.FeatureModel(*[getattr(model[n], f) for f in ("lo", "hi", "min_x", "lam", "mu", "sigma")], *weights[n]) for n in names}
-    coords = ml.project(normed, weights, ["instances"])
-    good = lb.label_good(whole, algos, epsilon)
+    coords = meta.select("instances").join(ml.project(normed, weights, ["instances"]), "instances", "left")
+    good = lb.label_good(meta, algos, epsilon)
     labels = lb.portfolio(lb.num_good(good, [f"good_{a.removeprefix('algo_')}" for a in algos]), algos)
     outline = ml.outline(metadata.sparkSession, ml.feature_box(normed, weights))
     return Space(model, coords, labels.drop(*names), outline)

@@ -59,11 +59,12 @@ def display_name(path: Column, root: str) -> Column:
 # ------------------------------------------------------------------------------ parsing
 
 
-def number_lines(raw: DataFrame, name: Column, keep: Column | None = None) -> DataFrame:
+def number_lines(raw: DataFrame, name: Column, keep: Column | None = None, owner: Column | None = None) -> DataFrame:
     """Number the lines of text files: ``(instance, seq, line)``, ``seq`` from 0 per instance.
 
     ``raw`` is ``(value, file_path, start)`` from a text scan, ``name`` the instance of a
-    file, ``keep`` the lines that count.  Within a split the reader keeps line order, so an
+    file, ``keep`` the lines that count, ``owner`` what must be one for each instance (the
+    file by default): two files of one name are an error, not one instance.  Within a split the reader keeps line order, so an
     increasing id tells the position relative to the split's first line; the splits' line
     counts give the offset.  That table (one row per split) is made first, in a pass of its
     own; no line is shuffled or sorted, and files may span any number of splits.
@@ -79,6 +80,10 @@ def number_lines(raw: DataFrame, name: Column, keep: Column | None = None) -> Da
         KEY, "file_path", "start",
         (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"),
     ))
+    owner = F.col("file_path") if owner is None else owner
+    clash = splits.groupBy(KEY).agg(F.min(owner).alias("one"), F.max(owner).alias("other")).where("one <> other").take(1)
+    if clash:
+        raise DataError(f"two files are named {clash[0][KEY]!r}: {clash[0]['one']}, {clash[0]['other']}")
     # every line finds its split; a miss would mean the two scans split the files differently
     lost = F.raise_error(F.lit("file splits changed between scans"))
     return lines.join(shared(splits), ["file_path", "start"], "left").select(
@@ -95,20 +100,34 @@ def scan_text(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
-def file_name(path: str = "file_path") -> Column:
-    return F.url_decode(F.regexp_extract(path, r"([^/]*)$", 1))
+
+def _unquoted(path: Column) -> Column:
+    return F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
+
+
+def path_below(paths: str | Sequence[str], path: str = "file_path") -> Column:
+    """A file's path below the folder it was found in, or its bare name if it was given itself."""
+    full = _unquoted(F.col(path))
+    name = F.regexp_extract(full, r"([^/]*)$", 1)
+    for root in [paths] if isinstance(paths, str) else paths:
+        base = root.rstrip("/") + "/"
+        name = F.when(F.contains(full, F.lit(base)), F.substring_index(full, base, -1)).otherwise(name)
+    return name
 
 
 def numbered_lines(spark: SparkSession, paths: str | Sequence[str], suffix: str = ".dat-s") -> DataFrame:
     """Relevant lines of problem text below ``paths``.
 
-    A folder ``instance=X`` of ordered part files (what ``export_corpus`` writes) is one
-    instance.
+    An instance is named by its path below the folder it was found in.  A folder ``instance=X``
+    of ordered part files (what ``export_corpus`` writes) is one instance.
     """
     raw = scan_text(spark, paths)
     raw = raw.where(F.lower("file_path").endswith(suffix) | F.col("file_path").contains("/instance="))
     part_of = F.regexp_extract("file_path", r"/instance=([^/]*)/[^/]*$", 1)
-    return number_lines(raw, F.when(part_of != "", F.url_decode(part_of)).otherwise(file_name()), is_relevant(F.col("value")))
+    # the folder's name is escaped by the writer, and its path once more
+    name = F.when(part_of != "", _unquoted(_unquoted(part_of))).otherwise(path_below(paths))
+    owner = F.when(part_of != "", F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1)).otherwise(F.col("file_path"))
+    return number_lines(raw, name, is_relevant(F.col("value")), owner)
 
 
 def parse_lines(lines: DataFrame) -> Corpus:
@@ -216,27 +235,35 @@ def block_offsets(blocks: DataFrame) -> DataFrame:
     )
 
 
+#: Bins of an instance with few blocks, and the least width of a bin.
+BINS, BIN_WIDTH = 4096, 4096
+
+
 def vec_to_block(vec: DataFrame, blocks: DataFrame) -> DataFrame:
     """Turn 0-based vector indices ``(instance, idx, …)`` into block coordinates.
 
-    A range join.  Each instance's index space is cut into as many equal bins as it has
-    blocks, and both sides meet on (instance, bin): a row meets the few blocks of its bin,
-    and a large instance spreads over its bins.
+    A range join.  Each instance's index space is cut into equal bins, at least as many as it has
+    blocks and up to ``BINS`` for a few large ones, and both sides meet on (instance, bin): a row meets
+    the few blocks of its bin, and a large instance spreads over its bins.  An index outside the
+    instance's vector is an error.
     """
     offs = block_offsets(blocks)
     bins = offs.groupBy(KEY).agg(
-        F.greatest(F.lit(1), F.ceil(F.max("end") / F.count(F.lit(1)))).cast("bigint").alias("bin_width")
+        F.greatest(F.lit(BIN_WIDTH), F.ceil(F.max("end") / F.greatest(F.lit(BINS), F.count(F.lit(1))))).cast("bigint").alias("bin_width"),
+        F.max("end").alias("whole"),
     )
     spread = offs.where(F.col("width") > 0).join(bins, KEY).withColumn(
         "bin", F.explode(F.expr("sequence(start div bin_width, (end - 1) div bin_width)"))
     )
-    placed = vec.join(shared(bins), KEY).withColumn("bin", F.expr("idx div bin_width")).drop("bin_width")
+    wrong = F.raise_error(F.concat(F.lit("vector index out of range: "), F.col(KEY))).cast("bigint")
+    inside = (F.col("idx") >= 0) & (F.col("idx") < F.col("whole"))
+    placed = vec.join(shared(bins), KEY).withColumn("bin", F.when(inside, F.expr("idx div bin_width")).otherwise(wrong))
+    placed = placed.drop("bin_width", "whole")
     hit = placed.join(
         spread.select(KEY, "bin", "block_id", "size", "start", "end"), [KEY, "bin"]
     ).where((F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("end")))
-    s, local = F.abs("size"), F.col("idx") - F.col("start")
-    r = F.when(F.col("size") > 0, local % s + 1).otherwise(local + 1).cast("int")
-    c = F.when(F.col("size") > 0, F.floor(local / s) + 1).otherwise(local + 1).cast("int")
+    r = F.expr("cast(CASE WHEN size > 0 THEN (idx - start) % abs(size) + 1 ELSE idx - start + 1 END AS int)")
+    c = F.expr("cast(CASE WHEN size > 0 THEN (idx - start) DIV abs(size) + 1 ELSE idx - start + 1 END AS int)")
     extra = [x for x in vec.columns if x != KEY]
     return hit.select(KEY, *extra, "block_id", F.least(r, c).alias("row"), F.greatest(r, c).alias("col"))
 

@@ -52,9 +52,9 @@ def test_discover_and_read(spark, folder):
     found = cp.discover_instances(spark, folder)
     assert [r["path"].rsplit("/", 1)[1] for r in found.collect()] == ["good.dat-s", "lp.DAT-S"]
     c = cp.read_problem_corpus(spark, folder)
-    assert rows(c.problems) == [("good.dat-s", 3, 2), ("lp.DAT-S", 1, 1)]
-    assert rows(c.blocks) == [("good.dat-s", 1, 3), ("good.dat-s", 2, -2), ("lp.DAT-S", 1, -4)]
-    assert rows(c.rhs) == [("good.dat-s", 1, 1.0), ("good.dat-s", 2, -2.0), ("good.dat-s", 3, 0.5), ("lp.DAT-S", 1, 0.0)]
+    assert rows(c.problems) == [("good.dat-s", 3, 2), ("sub/lp.DAT-S", 1, 1)]
+    assert rows(c.blocks) == [("good.dat-s", 1, 3), ("good.dat-s", 2, -2), ("sub/lp.DAT-S", 1, -4)]
+    assert rows(c.rhs) == [("good.dat-s", 1, 1.0), ("good.dat-s", 2, -2.0), ("good.dat-s", 3, 0.5), ("sub/lp.DAT-S", 1, 0.0)]
     assert rows(c.entries.where("instance = 'good.dat-s'").drop("instance")) == [
         (0, 1, 1, 1, 2.0), (0, 1, 1, 2, -4.0), (0, 1, 1, 2, 1.0), (1, 1, 2, 3, 5.0),
         (1, 2, 1, 1, 1.0), (1, 2, 1, 1, 1.0), (1, 2, 2, 2, 2.5),
@@ -127,12 +127,12 @@ def test_features_match_their_definitions(spark, folder):
     got = {r["instance"]: r.asDict() for r in build_features(c, [n for g in builtin_groups().values() for n in g]).collect()}
     cases = {
         "good.dat-s": ([3, -2], [1.0, -2.0, 0.5], [tuple(r)[1:] for r in c.entries.where("instance = 'good.dat-s'").collect()]),
-        "lp.DAT-S": ([-4], [0.0], [(1, 1, 1, 1, 3.0)]),
+        "sub/lp.DAT-S": ([-4], [0.0], [(1, 1, 1, 1, 3.0)]),
     }
     for name, case in cases.items():
         for f, v in brute_features(*case).items():
             assert got[name][f] == (v if isinstance(v, str) else pytest.approx(v, rel=1e-12)), (name, f)
-    lp = got["lp.DAT-S"]
+    lp = got["sub/lp.DAT-S"]
     assert lp["feature_c_max_abs_entry"] is None and lp["feature_ratio_c_to_b_l2"] is None and lp["feature_c_fro_norm_upper"] == 0
 
 
@@ -161,7 +161,7 @@ def test_user_features(spark, folder):
     reg.register_features("mine", ["feature_rows"], lambda x: x.entries.groupBy("instance").agg(F.max("row").cast("double").alias("feature_rows")))
     reg.register_opaque("code", ["feature_sum"], lambda pdf: {"feature_sum": float(pdf["value"].sum())})
     got = {r["instance"]: (r["feature_rows"], r["feature_sum"]) for r in build_features(c, ["feature_rows", "feature_sum"], reg).collect()}
-    assert got == {"good.dat-s": (2.0, 8.5), "lp.DAT-S": (1.0, 3.0)}
+    assert got == {"good.dat-s": (2.0, 8.5), "sub/lp.DAT-S": (1.0, 3.0)}
     with pytest.raises(DataError):
         reg.register_features("again", ["feature_m"], None)
     reg.register_features("empty", ["feature_gone"], lambda x: x.problems)
