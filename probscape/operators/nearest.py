@@ -68,10 +68,10 @@ def _descend(spots: DataFrame, pts: DataFrame, k: int, by: list[str], levels: in
     ext = pts.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py"), F.count(F.lit(1))).first()
     if levels is None:
         n_q = max(spots.count(), 1)
-        # deep enough for a handful of points per cell, or — with few queries — for cells
+        # deep enough for up to 16 points per cell, or — with few queries — for cells
         # so small that the few a query opens hold a negligible share of the points
         levels = math.ceil(math.log(16 * n_q, 16))
-        levels = min(levels, math.ceil(math.log(max(ext[4], 2), 16)) + 1)
+        levels = min(levels, math.ceil(math.log(max(ext[4] / 16, 2), 16)))
     levels = max(1, min(levels, _MAX_LEVELS))
     cells = 1 << (_BITS * levels)
     if not ext[4]:
