@@ -165,13 +165,9 @@ def test_circulant_signature_estimates_similarity():
 
 
 def line_set(line):
-    words = re.split(r"\s+", line)
-    out = set()
-    for a, b in zip(words, [*words[1:], ""]):
-        out.add((a + " " + b)[:9])
-        if len(a) > 24:
-            out |= {("inner", a[i: i + 9]) for i in range(1, len(a) - 8)}
-    return out
+    words = line.split(" ")
+    out = {(a + " " + b)[:9] for a, b in zip(words, [*words[1:], ""])}
+    return out | {a[i: i + 9] for a in words for i in range(16, len(a) - 8)}
 
 
 def test_fuzzy_lines(spark):
