@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from probscape.llm.common import WHITE, Stages, by_id, text_rows, texts
 
 #: Distinct texts that a bucket of the index should hold at most.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 #: Doublings of the directory at most (2**16 entries, under 1 MB); fuller buckets grow by chaining.
 MAX_DEPTH = 16
 #: Bytes of text that a map task holds while it combines equal texts.
