@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probscape.common import ratio
+from probscape.common import DataError, collect_model, ratio
 from probscape.functions.model import box_cox, fit_box_cox, fit_zscore
 from probscape.operators.geometry import point_in_polygon, polygon_area
 from probscape.operators.nearest import nearest_k
@@ -186,11 +186,14 @@ def footprint_stats(points: DataFrame, polygons: DataFrame, labels: Sequence[str
     predicted good for a footprint of goodness, chosen by the selector for one of being best.
     ``space`` is the polygon of the whole space.  Points are tested against a few polygons each and never shuffled.
     """
-    ids = [r["poly_id"] for r in polygons.select("poly_id").distinct().collect()]
+    ids = [r["poly_id"] for r in collect_model(polygons.select("poly_id").distinct(), "the list of footprints")]
+    unknown = sorted({i.split("|")[0] for i in ids} - set(labels))
+    if unknown:
+        raise DataError(f"footprints of unknown labels: {unknown}")
     tagged = points.select(
         "z_1", "z_2",
         F.explode(F.array(*[
-            F.struct(F.lit(i).alias("poly_id"), F.col(i.split("|")[0]).cast("int").alias("label")) for i in sorted(ids) if i.split("|")[0] in labels
+            F.struct(F.lit(i).alias("poly_id"), F.col(i.split("|")[0]).cast("int").alias("label")) for i in sorted(ids)
         ])).alias("t"),
     ).select("z_1", "z_2", "t.*")
     inside = point_in_polygon(tagged, polygons, boundary=True).where("inside")

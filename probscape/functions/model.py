@@ -130,12 +130,15 @@ def fit_box_cox(
             if lam in (grid[c][0], grid[c][-1]):
                 width[c] *= 2 if width[c] >= span else 1
                 if width[c] > 1e4:
-                    done[c] = lam
+                    raise DataError(f"the likelihood of {c!r} has no maximum: its exponent runs to {lam}")
             elif step < tol:
                 done[c] = lam
             else:
                 width[c] = step
-    return {c: done.get(c, centre[c]) for c in cols}
+    lacking = [c for c in cols if c not in done]
+    if lacking:
+        raise DataError(f"the search for an exponent did not converge for {lacking}")
+    return done
 
 
 def fit_zscore(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
