@@ -246,3 +246,12 @@ def test_plan_uses_every_piece():
     counts[0] = 0
     fillings = packing.plan(counts, 64)
     assert (sum(k * take for k, take in fillings) == counts).all() and len(fillings) < 400
+
+
+def test_lines_are_compared_in_every_character(spark):
+    """Equal beginnings of long words are not enough; links are those of plain character n-grams."""
+    lines = ["https://www.foo.com", "https://www.bar.org", "2024-01-15t10:22:31", "2024-01-16t08:00:00", "id 100000000123456789", "id 100000000987654321",
+             "日本語のとても長い文章です", "日本語のとても長い別の話", "short", "shorter", "🙂" * 3 + "abcdefgh" * 6, "🙂" * 3 + "abcdefgh" * 6 + "z"]
+    got = {r.doc_id: r.keep_doc_id for r in line_dedup.fuzzy_lines(table(spark, list(enumerate(lines)))).collect()}
+    assert got == classes({i: {x[j: j + 9] for j in range(max(1, len(x) - 8))} for i, x in enumerate(lines)})
+    assert len(set(got.values())) == len(lines) - 1
