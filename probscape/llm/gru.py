@@ -191,15 +191,19 @@ def gradients(w: Weights, ids: np.ndarray, real: np.ndarray, h: np.ndarray):
     return loss / n, g, h
 
 
-def train(w: Weights, windows: np.ndarray, rate: float, batch: int = 32, size: int = 32) -> tuple[Weights, int]:
-    """Truncated back-propagation over rows of ids (-1: none), ``size`` steps at a time with the
-    state carried on, by Adam. Returns the weights and the number of tokens."""
+def train(w: Weights, runs: list[np.ndarray], rate: float, batch: int = 32, size: int = 32) -> tuple[Weights, int]:
+    """Truncated back-propagation over runs of ids, sorted by length, ``size`` steps at a time with
+    the state carried on, by Adam. Batches hold runs of like length and come in an order drawn with a
+    fixed seed. Returns the weights and the number of tokens."""
     first = {k: np.zeros_like(v) for k, v in w.items()}
     second = {k: np.zeros_like(v) for k, v in w.items()}
     w = {k: v.copy() for k, v in w.items()}
     turn = tokens = 0
-    for i in range(0, len(windows), batch):
-        rows = windows[i: i + batch].T
+    for i in np.random.default_rng(0).permutation(-(-len(runs) // batch)) * batch:
+        own = runs[i: i + batch]
+        rows = np.full((max(map(len, own)), len(own)), -1, np.int32)
+        for j, r in enumerate(own):
+            rows[: len(r), j] = r
         h = np.zeros((rows.shape[1], STATE), np.float32)
         for t in range(0, len(rows), size):
             ids = rows[t: t + size]

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +15,8 @@ from probscape.llm.common import Stages, mix, text_blocks, text_rows, texts, wor
 
 #: Words whose counts go to every task (16 bytes each); the others' counts come by a join.
 KNOWN = 1 << 18
-#: Tokens of the window that each training document gives; rounds, each over other documents.
-WINDOW = 64
+#: Tokens of the runs that training documents are cut into, one behind the other; rounds, each over other runs.
+RUN = 1024
 ROUNDS = 3
 RATES = (0.02, 0.01, 0.005)
 #: Models that one task averages at a time.
@@ -97,35 +98,38 @@ class _Vocabulary:
         return np.where(own >= 0, own, gru.HEAD + tail).astype(np.int32)
 
 
-def _windows(vocabulary, size: int):
-    """One window of each text, begun at a place drawn from its hashes."""
+def _runs(vocabulary, size: int):
+    """Each text in consecutive runs of ``size`` tokens, the last one shorter. A run has a place of its
+    own, so that a long text, or a source of them, spreads over rounds and tasks."""
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         for batch in text_rows(batches):
-            out = []
+            docs = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            out, places = [], []
             for block, hashes, tail, bounds in tokens(texts(batch)):
                 ids = v.model_ids(v.find(hashes), tail).astype(np.int16)
-                for j in range(len(block)):
+                for j, i in enumerate(block):
                     a, b = bounds[j], bounds[j + 1]
-                    begin = int(hashes[a:b].sum() % np.uint64(max(1, b - a - size + 1)))
-                    out.append(ids[a + begin: min(b, a + begin + size)].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
+                    begins = range(a, b, size)
+                    out += [ids[k: min(b, k + size)].tobytes() for k in begins]
+                    places.append(mix(mix(docs[i: i + 1] + hashes[a:b].sum()) + np.arange(len(begins), dtype=np.uint64)))
+            place = np.concatenate(places)
+            turn = (place % np.uint64(ROUNDS)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(turn), pa.array(place.view(np.int64))], ["ids", "turn", "place"])
 
     return made
 
 
-def _trainer(weights, rate: float, size: int):
-    """A task trains its own copy of the model on its windows."""
+def _trainer(weights, rate: float):
+    """A task trains its own copy of the model on its runs."""
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.frombuffer(x, np.int16) for batch in batches for x in batch.column(0).to_pylist()]
+        rows = [x for batch in batches for x in batch.column(0).to_pylist()]
         if not rows:
             return
-        table = np.full((len(rows), size), -1, np.int32)
-        for i, r in enumerate(rows):
-            table[i, : len(r)] = r
-        w, n = gru.train(weights.value, table, rate)
+        rows.sort(key=lambda x: (len(x), x))
+        w, n = gru.train(weights.value, [np.frombuffer(x, np.int16) for x in rows], rate)
         yield pa.RecordBatch.from_arrays([pa.array([gru.pack(w).astype("<f4").tobytes()]), pa.array([n])], ["w", "n"])
 
     return made
@@ -142,13 +146,13 @@ def _average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([(total / count).astype("<f4").tobytes()]), pa.array([count])], ["w", "n"])
 
 
-def train_model(stages: Stages, windows: DataFrame, weights: gru.Weights, size: int = WINDOW) -> gru.Weights:
+def train_model(stages: Stages, runs: DataFrame, weights: gru.Weights) -> gru.Weights:
     """Rounds of local training and averaging, weighted by tokens; models are averaged in a tree."""
     sc = stages.spark.sparkContext
     for turn in range(ROUNDS):
         sent = sc.broadcast(weights)
-        own = windows.where(F.col("turn") == turn).select("ids")
-        models = stages.keep(own.mapInArrow(_trainer(sent, RATES[turn], size), "w binary, n long"))
+        own = runs.where(F.col("turn") == turn).select("ids")
+        models = stages.keep(own.mapInArrow(_trainer(sent, RATES[turn]), "w binary, n long"))
         while (n := models.count()) > FAN:
             models = stages.keep(models.repartition(-(-n // FAN)).mapInArrow(_average, "w binary, n long"))
         rows = models.collect()  # at most FAN models of fixed size
@@ -211,7 +215,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs``.
 
     The model learns from the rows where ``held_out`` is false (or null): counts of all their words, and
-    a window of tokens of each for the recurrent net. Tokens are words (A-Z lower-cased) and one end
+    for the recurrent net all their tokens, in runs of ``RUN``, each once. Tokens are words (A-Z lower-cased) and one end
     token. ``base_score`` is the sum of log10((c + 0.5) / (N + 0.5 * (V + 1))) over the tokens; ``score``
     is the model's log10 probability of the whole text.
 
@@ -247,12 +251,10 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     weights = gru.start_weights(head_mass, mass)
 
     known = sc.broadcast(vocabulary)
-    turn = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(ROUNDS)).alias("turn")
-    windows = learnt.select("doc_id", "text", turn)
-    windows = windows.select("doc_id", "text", "turn").mapInArrow(_with_turn(_windows(known, WINDOW)), "ids binary, turn int")
-    windows = stages.keep(windows)
-    weights = train_model(stages, windows, weights)
-    stages.drop(windows)
+    runs = learnt.select("doc_id", "text").mapInArrow(_runs(known, RUN), "ids binary, turn int, place long")
+    runs = stages.keep(runs.repartition("place").select("ids", "turn"))
+    weights = train_model(stages, runs, weights)
+    stages.drop(runs)
 
     log_n = float(np.log10(n + 0.5 * (v + 1)))
     scored = rows.mapInArrow(
@@ -269,15 +271,3 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + log_c).alias("base_score"), (F.col("score") + log_c).alias("score"))
-
-
-def _with_turn(make):
-    """Carries the column ``turn`` (the third) past a function of the texts."""
-
-    def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_rows(batches):
-            parts = list(make([batch]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.chunked_array([p.column(0) for p in parts]).combine_chunks(), batch.column(2).cast(pa.int32())], ["ids", "turn"])
-
-    return made

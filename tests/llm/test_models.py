@@ -260,3 +260,17 @@ def test_odd_pages_end(spark):
 def test_tree_fits_its_table():
     rows = html_text.LABELLED
     assert np.mean([html_text.decide(html_text.TREE, r[:-1]) == r[-1] for r in rows]) > 0.98
+
+
+def test_every_token_trains_the_net(spark, monkeypatch):
+    rows = [(1, " ".join(f"w{k % 90}" for k in range(5000))), (2, "a b"), (3, None), (6, "w1 " * 1024)]
+    seen = []
+
+    def train(stages, runs, weights):
+        ids = [np.frombuffer(r[0], np.int16) for r in runs.select("ids").collect()]
+        seen.extend([sum(map(len, ids)), gru.train(weights, sorted(ids, key=len), 0.01)[1]])
+        return weights
+
+    monkeypatch.setattr(lm, "train_model", train)
+    got = lm.score_documents(table(spark, rows), F.lit(False)).collect()
+    assert seen == [got[0].train_tokens] * 2 == [5001 + 3 + 1 + 1025] * 2
