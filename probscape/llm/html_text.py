@@ -35,9 +35,8 @@ ASIDE_NAMES = frozenset(
     "pager search copyright legal disclaimer skip outbrain taboola".split())
 HEAD_NAMES = frozenset("header head".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)"
-    r"((?:[^>\"']|\"[^\">]*\"|'[^'>]*'|\"[^\"]{0,4000}\"|'[^']{0,4000}'|[\"'])*+)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_PLAIN = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -57,6 +56,34 @@ class Block:
         return self.linked / len(self.words) if self.words else 0.0
 
 
+class _Ends:
+    """Finds where tags end. A quote holds up to the next one like it, however far; one without is stray.
+
+    Each search is done once for a page: ``last`` has the last place of each quote, ``plain`` the stretch
+    without quotes and ``>`` read last, and ``failed`` the quotes from which no end was found.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.failed, self.plain = page, set(), (0, 0)
+        self.last = {quote: page.rfind(quote) for quote in "\"'"}
+
+    def find(self, at: int) -> int:
+        """The place of the ``>`` of the tag with attributes from ``at``; -1 if there is none."""
+        page, seen = self.page, []
+        while True:
+            if not self.plain[0] <= at <= self.plain[1]:
+                self.plain = at, _PLAIN.match(page, at).end()
+            at = self.plain[1]
+            if at < len(page) and page[at] == ">":
+                return at
+            if at == len(page) or at in self.failed:
+                self.failed.update(seen)
+                return -1
+            seen.append(at)
+            quote = page[at]
+            at = (page.find(quote, at + 1) if at < self.last[quote] else at) + 1
+
+
 def _aside(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element's tag, role, class or id tells that it isn't the article."""
     if tag in ASIDE_TAGS or tag == "header" and not inside:
@@ -109,6 +136,7 @@ def blocks(page: str) -> list[Block]:
                 return
 
     last_end = page.rfind(">")
+    ends = _Ends(page)
     at, end, skip = 0, len(page), None
     while at < end:
         if skip:
@@ -125,12 +153,13 @@ def blocks(page: str) -> list[Block]:
         if at == end:
             break
         found = _TOKEN.match(page, at) if at < last_end or page.startswith("<!--", at) else None
-        if not found:  # not markup
+        stop = ends.find(found.end()) if found and found[2] else 0
+        if not found or stop < 0:  # not markup
             at = at + 1 if at < last_end else end
             text.append((page[start:at], anchors > 0))
             continue
-        at = found.end()
-        tag, attributes = (found[2] or "").lower(), found[3] or ""
+        tag, attributes = (found[2] or "").lower(), page[found.end():stop] if found[2] else ""
+        at = stop + 1 if found[2] else found.end()
         if not tag:
             continue
         if found[1]:

@@ -274,3 +274,12 @@ def test_every_token_trains_the_net(spark, monkeypatch):
     monkeypatch.setattr(lm, "train_model", train)
     got = lm.score_documents(table(spark, rows), F.lit(False)).collect()
     assert seen == [got[0].train_tokens] * 2 == [5001 + 3 + 1 + 1025] * 2
+
+
+@pytest.mark.parametrize("quote", ["\"", "'"])
+def test_long_quoted_attributes_stay_in_their_tag(quote):
+    for size in (10, 3000, 5000, 200_000):
+        value = "a > b <p>leaked words</p> " * (size // 26 + 1)
+        assert html_text.main_text(PAGE % (f"<article><div data-x={quote}{value}{quote}>", "</div></article>")) == TEXT
+    for page in ("<a " * 100_000 + "\">\"", "<a \"" * 100_000 + ">\"'", "<a '\"" * 100_000 + ">'"):
+        html_text.main_text(page)  # ends soon
