@@ -13,6 +13,7 @@ from probscape.llm.exact_dedup import exact_dedup
 from probscape.llm.html_text import extract
 from probscape.llm.line_dedup import fuzzy_lines
 from probscape.llm.lm import score_documents
+from probscape.llm.merkle import manifest
 from probscape.llm.near_dedup import near_duplicates
 from probscape.llm.packing import pack
 from probscape.llm.personal_data import digest, personal_data
@@ -97,3 +98,9 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return manifest(table(spark, sf_dir, "documents"), tampered).drop("source")
