@@ -75,7 +75,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             for block, words, bounds in doc_words(texts(batch)):
                 for j, i in enumerate(block):
                     found = shingles(words[bounds[j]: bounds[j + 1]], size)
-                    a, b = (int(mix(found ^ np.uint64(c)).sum().view(np.int64)) if len(found) else 0 for c in (1, 2))
+                    a, b = _print(found)
                     keys = band_keys(circulant_signature(found, bands * rows), bands, rows) if len(found) else np.zeros(0, np.int64)
                     out.append((ids[i], len(found), a, b, keys))
             yield pa.RecordBatch.from_arrays(
@@ -85,38 +85,31 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return by_id(docs).mapInArrow(made, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, items``: the whole shingle set as sorted 64-bit numbers."""
+def _print(found: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit fingerprints of a whole set."""
+    return tuple(int(mix(found ^ np.uint64(c)).sum().view(np.int64)) if len(found) else 0 for c in (1, 2))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``node, items``: the whole shingle sets as 64-bit numbers.
+
+    ``wanted`` has ``doc_id, node, set_a, set_b``; of several texts under one id only those with the node's set count.
+    """
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_rows(batches):
-            sets: list = [None] * batch.num_rows
+            prints = list(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True))
+            nodes, out, sets = batch.column(2).to_pylist(), [], []
             for block, words, bounds in doc_words(texts(batch)):
                 for j, i in enumerate(block):
-                    sets[i] = shingles(words[bounds[j]: bounds[j + 1]], size).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], ["doc_id", "items"])
-
-    return by_id(docs).mapInArrow(made, "doc_id long, items array<long>")
-
-
-def _parts(column: pa.ListArray) -> Iterator[np.ndarray]:
-    values, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
-    return (np.sort(values[a:b]) for a, b in zip(ends, ends[1:]))
-
-
-def _verify(percent: int):
-    def checked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = []
-            for a, b in zip(_parts(batch.column(2)), _parts(batch.column(3))):
-                few, many = (a, b) if len(a) < len(b) else (b, a)
-                at = np.searchsorted(many, few)
-                both = int((many[np.minimum(at, len(many) - 1)] == few).sum())
-                same.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(same, pa.bool_())], ["a", "b", "same"])
+                    found = shingles(words[bounds[j]: bounds[j + 1]], size)
+                    if _print(found) == prints[i]:
+                        out.append(nodes[i])
+                        sets.append(found.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), _lists(sets)], ["node", "items"])
 
-    return checked
+    rows = by_id(docs).join(wanted, "doc_id").select("doc_id", "text", "node", "set_a", "set_b")
+    return rows.mapInArrow(made, "node long, items array<long>")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -133,32 +126,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     each member and bucket and no link between different texts is left out.
 
     Fewer than ``size`` words are one run. Null and empty texts, and those of white space only, have
-    no set and link with nothing. ``doc_id`` is a key: repeated rows with one id are returned each,
-    and are linked if their sets are; rows with a null id link with nothing (``component_id`` null).
+    no set and link with nothing. Rows that repeat an id are returned each; each is a text of its own, which
+    links by its own set. Rows with a null id link with nothing (``component_id`` null).
     Other columns are not read; an empty table gives an empty result.
     """
     stages = Stages(docs.sparkSession, "near-duplicates")
     signed = stages.keep(signatures(docs, size, bands, rows))
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    groups = stages.keep(usable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    reps = usable.join(groups.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"])
-    reps = reps.dropDuplicates(["doc_id", "set_a", "set_b"])
-    exploded = reps.select(F.col("doc_id").alias("node"), F.explode(F.array_distinct("bands")).alias("key"))
-    members, pairs = bucket_members(stages, exploded)
-    ids = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = _sets(docs.join(ids, "doc_id", "left_semi"), size).withColumnRenamed("doc_id", "node")
-    sets = stages.keep(sets.dropDuplicates(["node"]))
+    groups = usable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    groups = stages.keep(groups.withColumn("node", F.monotonically_increasing_id()))
+    members, pairs = bucket_members(stages, groups.select("node", F.explode(F.array_distinct("bands")).alias("key")))
+    wanted = groups.join(members.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id"), "node", "set_a", "set_b")
+    sets = stages.keep(_sets(docs, wanted, size).dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("items").alias("left"))
         right = sets.select(F.col("node").alias("b"), F.col("items").alias("right"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-        return stages.keep(both.mapInArrow(_verify(percent), "a long, b long, same boolean"))
+        both = pairs.join(right, "b").join(left, "a")
+        common = F.size(F.array_intersect("left", "right"))
+        return stages.keep(both.select("a", "b", (100 * common >= percent * (F.size("left") + F.size("right") - common)).alias("same")))
 
     found = link_buckets(stages, members, pairs, sets, percent, verified)
-    roots = groups.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    roots = roots.select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("root"))
-    out = signed.join(roots, ["set_a", "set_b", "n_shingles"], "left")
+    nodes = groups.join(found, "node", "left").select("set_a", "set_b", "n_shingles", "rep", F.coalesce("component", "node").alias("component"))
+    roots = stages.keep(nodes.groupBy("component").agg(F.min("rep").alias("root")))
+    roots = nodes.join(roots, "component").select("set_a", "set_b", "n_shingles", "root")
+    out = signed.drop("bands").join(roots, ["set_a", "set_b", "n_shingles"], "left")
     known = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     component = F.when(known, F.col("root")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -167,6 +159,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component; columns and texts as they were.
 
-    Rows with a null ``doc_id`` stay."""
-    gone = near_duplicates(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("_gone_id")).distinct()
+    Rows with a null ``doc_id`` stay. Rows that share an id go together: if each of them is a copy of a document
+    with another id."""
+    gone = near_duplicates(docs, size, percent).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.max("kept").alias("_kept")).where("NOT _kept")
     return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
