@@ -164,14 +164,14 @@ def build_index(stages: Stages, docs: DataFrame, capacity: int = BUCKET_ROWS) ->
     owned = copies.withColumn("p", prefix).join(F.broadcast(table), "p")
     owned = owned.select("bucket", "key", "digest", "norm", "best_points", "best_id", "n")
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(buckets.max()) + 1)
-    index = owned.repartition(owners, "bucket").sortWithinPartitions("bucket", "key").mapInArrow(_owners, _INDEX)
+    index = owned.repartitionById(owners, F.col("bucket")).sortWithinPartitions("bucket", "key").mapInArrow(_owners, _INDEX)
     index = stages.keep(index)
     index._keys = keys
     return index
 
 
 def exact_dedup(docs: DataFrame, capacity: int = BUCKET_ROWS) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, text_sha256`` of every row of ``docs``.
+    """``doc_id, keep_id, group_size, kept, text_sha256, n_points`` of every row of ``docs``.
 
     Texts are equal when their bytes are, white space (space and U+0009 to U+000D) left out. Of
     equal texts the one with the most code points stays, then the smallest ``doc_id``.
@@ -185,12 +185,16 @@ def exact_dedup(docs: DataFrame, capacity: int = BUCKET_ROWS) -> DataFrame:
     groups = index.select(F.col("digest").alias("text_sha256"), "keep_id", "keep_points", "group_size")
     rows = index._keys.withColumnRenamed("digest", "text_sha256").join(groups, "text_sha256", "left")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
-    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "n_points")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that a copy stands for; columns and texts as they were."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
-
-
+    """``docs`` without the rows that a copy stands for; columns and texts as they were.
+
+    A row stays by its id, normalised text and length, so that texts under one id are told apart; rows equal in all
+    three stay together. Nulls as in ``exact_dedup``."""
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_points").alias("_n")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    sha = F.sha2(F.translate(text, WHITE.decode(), ""), 256)
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (sha == F.col("_sha")) & (F.char_length(text) == F.col("_n"))
+    return docs.join(kept, same, "left_semi")

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from probscape.llm import oracles
 from probscape.llm.conversations import damaged, repairs
 from probscape.llm.decontamination import contaminated
 from probscape.llm.exact_dedup import exact_dedup
@@ -41,7 +42,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 @query
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("n_points")
 
 
 ORACLES["op1_exact_dedup"] = r"""
@@ -108,6 +109,9 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"), tampered).drop("source")
 
 
+ORACLES["op11_merkle_manifest"] = oracles.MERKLE
+
+
 #: Host, path and verdict; fixed values of the contract.
 RULES = "('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')"
 
@@ -156,3 +160,6 @@ FROM ruled JOIN leaf ON ruled.host = leaf.host
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, copies = damaged(table(spark, sf_dir, "conversations"))
     return repairs(rows, copies)
+
+
+ORACLES["op13_conversation_repair"] = oracles.CONVERSATIONS
