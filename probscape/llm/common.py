@@ -212,19 +212,23 @@ def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ``nodes`` has ``node, component`` and ``sets`` has ``node, items``. With its elements in one order, the
     rarest first, a set shares an element of its first (100 - percent) in 100 with every set that is
     similar enough; at the first one shared, both have enough elements left. Copies of a common passage
-    with words of their own begin with those, and never meet.
+    with words of their own begin with those, and never meet. Nodes of an item meet the other components that have
+    it, not each other, so a large component beside a single node costs its members once.
     """
     every = nodes.join(sets, "node").select("node", "component", F.size("items").alias("n"), F.explode("items").alias("item"))
     often = every.groupBy("item").agg(F.count("*").alias("often"))
     order = Window.partitionBy("node").orderBy("often", "item")
     placed = every.join(often, "item").withColumn("at", F.row_number().over(order))
     first = placed.where(f"often > 1 AND at <= n - ({percent} * n + 99) DIV 100 + 1").select("item", "node", "component", "n", (F.col("n") - F.col("at") + 1).alias("left"))
+    groups = first.select("item", "component").distinct()
+    several = groups.groupBy("item").agg(F.count("*").alias("components")).where("components > 1")
+    groups = groups.join(several, "item").select("item", F.col("component").alias("component_b"))
     one = first.select("item", *(F.col(c).alias(f"{c}_a") for c in ("node", "component", "n", "left")))
     two = first.select("item", *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "left")))
-    met = one.join(two, "item").where(
-        f"node_a < node_b AND component_a != component_b AND {percent} * greatest(n_a, n_b) <= 100 * least(n_a, n_b) "
-        f"AND ({100 + percent}) * least(left_a, left_b) >= {percent} * (n_a + n_b)")
-    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    apart = one.join(groups, "item").where("component_a < component_b")
+    met = apart.join(two, ["item", "component_b"]).where(
+        f"{percent} * greatest(n_a, n_b) <= 100 * least(n_a, n_b) AND ({100 + percent}) * least(left_a, left_b) >= {percent} * (n_a + n_b)")
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
 
 def link_buckets(

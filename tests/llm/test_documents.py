@@ -165,9 +165,7 @@ def test_circulant_signature_estimates_similarity():
 
 
 def line_set(line):
-    words = line.split(" ")
-    out = {(a + " " + b)[:9] for a, b in zip(words, [*words[1:], ""])}
-    return out | {a[i: i + 9] for a in words for i in range(16, len(a) - 8)}
+    return {line[i: i + 9] for i in range(max(1, len(line) - 8))}
 
 
 def test_fuzzy_lines(spark):
@@ -268,3 +266,16 @@ def test_similar_lines_share_a_band(spark):
     bands = {(r.h, r.g): r.bands for r in line_dedup.signatures(lines).collect()}
     of = {r.doc_id: set(bands[r.h, r.g]) for r in lines.select("doc_id", "h", "g").collect()}
     assert sum(bool(of[2 * i] & of[2 * i + 1]) for i in range(3000)) >= 0.99 * 3000
+
+
+def test_repeated_ids(spark):
+    """Rows under one id are texts of their own."""
+    a, b = " ".join(f"a{k}" for k in range(13)), " ".join(f"b{k}" for k in range(13))
+    rows = [(1, a), (1, b), (2, a + " nu"), (3, b + " fourteen"), (4, "other words here")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in near_dedup.near_duplicates(table(spark, rows), 2).collect()}
+    assert got == {(1, 12): 1, (2, 13): 1, (3, 13): 1, (4, 2): 4}
+    kept = drop_copies(table(spark, [(1, "x y"), (1, "ab"), (2, "a  b"), (2, None), (3, "")])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.text) == [(1, "x y"), (2, "a  b")] and [r.doc_id for r in kept if not r.text] == [2]
+    lines = [(1, f"{a}\n{b}"), (1, f"{b}\nsame line"), (2, f"{a}x\nsame line!"), (2, None)]
+    found = line_dedup.fuzzy_lines(table(spark, lines)).collect()
+    assert len(found) == 7 and sorted(r.group_size for r in found) == [1, 2, 2, 2, 2, 2, 2]
