@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 #: Size of the state; classes of frequent words, and words in each; classes of all other words.
@@ -41,7 +43,10 @@ def unpack(flat: np.ndarray, like: Weights) -> Weights:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def step(w: Weights, x: np.ndarray, h: np.ndarray):
@@ -53,9 +58,12 @@ def step(w: Weights, x: np.ndarray, h: np.ndarray):
     return n + z * (h - n), (z, r, n, u[:, 2 * STATE:])
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Probabilities by row, in the place of the logits."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 def class_of(ids: np.ndarray) -> np.ndarray:
@@ -74,131 +82,170 @@ def _groups(classes: np.ndarray):
 def predict(w: Weights, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Log probabilities of ``ids`` after the states ``h``; of a class only for other words."""
     classes = class_of(ids)
-    logits = h @ w["class"] + w["class_bias"]
-    top = logits.max(axis=1)
-    out = logits[np.arange(len(ids)), classes] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-    for k, at in _groups(classes):
-        logits = h[at] @ w["word"][k].T + w["word_bias"][k]
+
+    def picked(logits: np.ndarray, column: np.ndarray) -> np.ndarray:
+        chosen = logits[np.arange(len(column)), column]
         top = logits.max(axis=1)
-        out[at] += logits[np.arange(len(at)), ids[at] % CLASS_WORDS] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+        logits -= top[:, None]
+        np.exp(logits, out=logits)
+        return chosen - top - np.log(logits.sum(axis=1))
+
+    out = picked(h @ w["class"] + w["class_bias"], classes)
+    for k, at in _groups(classes):
+        out[at] += picked(h[at] @ w["word"][k].T + w["word_bias"][k], ids[at] % CLASS_WORDS)
     return out
 
 
+def _lanes(sizes: np.ndarray, lanes: int) -> list[list[int]]:
+    """Documents shared out over lanes, longest first; the fullest lane first."""
+    order = np.argsort(-sizes, kind="stable")
+    if len(sizes) <= lanes:
+        return [[d] for d in order]
+    rows: list[list[int]] = [[] for _ in range(lanes)]
+    heap = [(0, i) for i in range(lanes)]
+    for d in order:
+        filled, i = heapq.heappop(heap)
+        rows[i].append(d)
+        heapq.heappush(heap, (filled + int(sizes[d]), i))
+    return sorted(rows, key=lambda r: -int(sizes[r].sum()))
+
+
 def score_documents(w: Weights, docs: list[np.ndarray], lanes: int = 256, window: int = 32) -> np.ndarray:
     """Log probability of each whole document.
 
     Documents share out over lanes, longest first, and follow each other in a lane; the state is
-    carried from window to window and is zero where a document begins.
+    carried from window to window and is zero where a document begins. A window is laid out when its turn comes, so
+    that a text much longer than the others takes the memory of its own tokens only.
     """
     total = np.zeros(len(docs))
     sizes = np.array([len(d) for d in docs])
-    order = np.argsort(-sizes, kind="stable")
-    lanes = min(lanes, len(docs))
-    rows: list[list[int]] = [[] for _ in range(lanes)]
-    if len(docs) > lanes:
-        import heapq
-
-        heap = [(0, i) for i in range(lanes)]
-        for d in order:
-            filled, i = heapq.heappop(heap)
-            rows[i].append(d)
-            heapq.heappush(heap, (filled + int(sizes[d]), i))
-    else:
-        rows = [[d] for d in order]
-    rows.sort(key=lambda r: -int(sizes[r].sum()))
+    rows = _lanes(sizes, lanes)
+    order = np.concatenate(rows)
+    ids, owner = np.concatenate([docs[d] for d in order]), np.repeat(order.astype(np.int32), sizes[order])
+    begins = np.zeros(len(ids) + 1, bool)
+    begins[np.cumsum(sizes[order])] = True
     lengths = np.array([sizes[r].sum() for r in rows])
-    longest = int(lengths[0])
-    ids = np.zeros((longest, lanes), np.int32)
-    owner = np.zeros((longest, lanes), np.int32)
-    fresh = np.zeros((longest, lanes), bool)
-    for i, r in enumerate(rows):
-        ids[: lengths[i], i] = np.concatenate([docs[d] for d in r])
-        owner[: lengths[i], i] = np.repeat(r, sizes[r])
-        fresh[np.concatenate(([0], np.cumsum(sizes[r])[:-1])), i] = True
-    table = w["input"] + w["bias"]
-    h = np.zeros((lanes, STATE), np.float32)
-    for begin in range(0, longest, window):
-        stop = min(begin + window, longest)
+    base = np.cumsum(lengths) - lengths
+    h = np.zeros((len(rows), STATE), np.float32)
+    for begin in range(0, int(lengths[0]), window):
         active = int((lengths > begin).sum())
-        h = h[:active]
-        states = np.empty((stop - begin, active, STATE), np.float32)
-        for t in range(begin, stop):
-            if fresh[t, :active].any():
-                h = np.where(fresh[t, :active, None], np.float32(0), h)
-            states[t - begin] = h
-            h, _ = step(w, table[ids[t, :active]], h)
-        real = np.arange(begin, stop)[:, None] < lengths[:active]
-        picked = predict(w, states[real], ids[begin:stop, :active][real])
-        total += np.bincount(owner[begin:stop, :active][real], picked.astype(float), len(docs))
+        h, steps = h[:active], np.arange(begin, min(begin + window, int(lengths[0])))
+        real = steps[:, None] < lengths[:active]
+        at = np.minimum(base[:active] + steps[:, None], len(ids) - 1)
+        inputs = w["input"][ids[at]] + w["bias"]
+        states = np.empty((len(steps), active, STATE), np.float32)
+        fresh = begins[at] & real
+        some = fresh.any(axis=1)
+        for t in range(len(steps)):
+            if some[t]:
+                h = np.where(fresh[t, :, None], np.float32(0), h)
+            states[t] = h
+            h, _ = step(w, inputs[t], h)
+        picked = predict(w, states[real], ids[at[real]])
+        total += np.bincount(owner[at[real]], picked.astype(float), len(docs))
     return total
 
 
+def _sums_by_row(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and the sums of their values."""
+    order = np.argsort(ids, kind="stable")
+    rows, first = np.unique(ids[order], return_index=True)
+    return rows, np.add.reduceat(values[order], first, axis=0)
+
+
 def gradients(w: Weights, ids: np.ndarray, real: np.ndarray, h: np.ndarray):
-    """Mean loss and its gradients over one window (time by rows), and the state after it.
+    """Mean loss and its gradients over one window (time by rows), and the state after it."""
+    loss, g, rows, values, h = sparse_gradients(w, ids, real, h)
+    g["input"] = np.zeros_like(w["input"])
+    g["input"][rows] = values
+    return loss, g, h
+
+
+def sparse_gradients(w: Weights, ids: np.ndarray, real: np.ndarray, h: np.ndarray):
+    """Mean loss over one window (time by rows), its gradients, those of the inputs as touched rows and their
+    values, and the state after the window.
 
     Back-propagation ends at the window's begin: ``h`` counts as given.
     """
     times, rows = ids.shape
-    table = w["input"] + w["bias"]
-    states, kept = [], []
+    inputs = w["input"][ids] + w["bias"]
+    states, kept = np.empty((times, rows, STATE), h.dtype if h.dtype == np.float64 else np.float32), []
     for t in range(times):
-        states.append(h)
-        after, parts = step(w, table[ids[t]], h)
+        states[t] = h
+        after, parts = step(w, inputs[t], h)
         kept.append(parts)
         h = np.where(real[t, :, None], after, h)
-    flat_h, flat_ids, flat_real = np.concatenate(states), ids.ravel(), real.ravel()
-    at = np.flatnonzero(flat_real)
+    flat_h, flat_ids = states.reshape(-1, STATE), ids.ravel()
+    at = np.flatnonzero(real.ravel())
     n = max(1, len(at))
     hs, targets = flat_h[at], flat_ids[at]
     classes = class_of(targets)
-    g = {k: np.zeros_like(v) for k, v in w.items()}
-    logp = _log_softmax(hs @ w["class"] + w["class_bias"])
-    loss = -float(logp[np.arange(len(at)), classes].sum())
-    d = np.exp(logp)
-    d[np.arange(len(at)), classes] -= 1
-    d /= n
-    g["class"], g["class_bias"] = hs.T @ d, d.sum(axis=0)
+    d = _softmax(hs @ w["class"] + w["class_bias"])
+    line, share = np.arange(len(at)), d.dtype.type(1 / n)
+    loss = -float(np.log(d[line, classes]).sum())
+    d[line, classes] -= 1
+    d *= share
+    g = {"class": hs.T @ d, "class_bias": d.sum(axis=0), "word": np.zeros_like(w["word"]), "word_bias": np.zeros_like(w["word_bias"])}
     dh_out = d @ w["class"].T
     for k, rows_k in _groups(classes):
-        logp = _log_softmax(hs[rows_k] @ w["word"][k].T + w["word_bias"][k])
-        column = targets[rows_k] % CLASS_WORDS
-        loss -= float(logp[np.arange(len(rows_k)), column].sum())
-        d = np.exp(logp)
-        d[np.arange(len(rows_k)), column] -= 1
-        d /= n
-        g["word"][k], g["word_bias"][k] = d.T @ hs[rows_k], d.sum(axis=0)
+        own = hs[rows_k]
+        d = _softmax(own @ w["word"][k].T + w["word_bias"][k])
+        column, line = targets[rows_k] % CLASS_WORDS, np.arange(len(rows_k))
+        loss -= float(np.log(d[line, column]).sum())
+        d[line, column] -= 1
+        d *= share
+        g["word"][k], g["word_bias"][k] = d.T @ own, d.sum(axis=0)
         dh_out[rows_k] += d @ w["word"][k]
     every = np.zeros_like(flat_h)
     every[at] = dh_out
     every = every.reshape(times, rows, STATE)
-    back = np.zeros((rows, STATE), np.float32)
-    dx = np.zeros((times, rows, 3 * STATE), np.float32)
+    back = np.zeros((rows, STATE), every.dtype)
+    dx, du = np.empty((times, rows, 3 * STATE), every.dtype), np.empty((times, rows, 3 * STATE), every.dtype)
+    turned = np.ascontiguousarray(w["state"].T)
     for t in range(times - 1, -1, -1):
         z, r, c, u = kept[t]
-        before = states[t]
         mask = real[t, :, None]
         live = back * mask
-        dz = live * (before - c) * z * (1 - z)
         dn = live * (1 - z) * (1 - c * c)
-        dr = dn * u * r * (1 - r)
-        dx[t] = np.concatenate((dz, dr, dn), axis=1)
-        du = np.concatenate((dz, dr, dn * r), axis=1)
-        g["state"] += before.T @ du
-        back = every[t] + live * z + du @ w["state"].T + back * ~mask
+        x, y = dx[t], du[t]
+        x[:, :STATE] = live * (states[t] - c) * z * (1 - z)
+        x[:, STATE: 2 * STATE] = dn * u * r * (1 - r)
+        x[:, 2 * STATE:] = dn
+        y[:, : 2 * STATE], y[:, 2 * STATE:] = x[:, : 2 * STATE], dn * r
+        back = every[t] + live * z + y @ turned + back * ~mask
     flat = dx.reshape(-1, 3 * STATE)
-    np.add.at(g["input"], flat_ids, flat)
-    g["bias"] = flat.sum(axis=0)
-    return loss / n, g, h
+    g["state"], g["bias"] = flat_h.T @ du.reshape(-1, 3 * STATE), flat.sum(axis=0)
+    touched, values = _sums_by_row(flat_ids[at], flat[at])
+    return loss / n, g, touched, values, h
+
+
+class _Adam:
+    """Adam steps; rows that a step does not touch keep their moments as they are."""
+
+    def __init__(self, w: Weights, rate: float):
+        self.w, self.rate, self.turn = w, rate, 0
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+
+    def apply(self, name: str, at, x: np.ndarray) -> None:
+        first, second = self.first[name], self.second[name]
+        m = first[at] * np.float32(0.9) + np.float32(0.1) * x
+        v = second[at] * np.float32(0.99) + np.float32(0.01) * x * x
+        first[at], second[at] = m, v
+        pace = np.float32(self.rate / (1 - 0.9**self.turn))
+        self.w[name][at] -= pace * m / (np.sqrt(v * np.float32(1 / (1 - 0.99**self.turn))) + np.float32(1e-6))
+
+
+#: Runs that a training step reads side by side, and batches that there should be at least.
+LANES, BATCHES = (16, 256), 40
 
 
-def train(w: Weights, runs: list[np.ndarray], rate: float, batch: int = 32, size: int = 32) -> tuple[Weights, int]:
+def train(w: Weights, runs: list[np.ndarray], rate: float, size: int = 32) -> tuple[Weights, int]:
     """Truncated back-propagation over runs of ids, sorted by length, ``size`` steps at a time with
     the state carried on, by Adam. Batches hold runs of like length and come in an order drawn with a
     fixed seed. Returns the weights and the number of tokens."""
-    first = {k: np.zeros_like(v) for k, v in w.items()}
-    second = {k: np.zeros_like(v) for k, v in w.items()}
     w = {k: v.copy() for k, v in w.items()}
-    turn = tokens = 0
+    batch = min(max(len(runs) // BATCHES, LANES[0]), LANES[1])
+    adam, tokens = _Adam(w, rate), 0
     for i in np.random.default_rng(0).permutation(-(-len(runs) // batch)) * batch:
         own = runs[i: i + batch]
         rows = np.full((max(map(len, own)), len(own)), -1, np.int32)
@@ -210,14 +257,12 @@ def train(w: Weights, runs: list[np.ndarray], rate: float, batch: int = 32, size
             real = ids >= 0
             if not real.any():
                 break
-            _, g, h = gradients(w, np.maximum(ids, 0), real, h)
+            _, g, touched, values, h = sparse_gradients(w, np.maximum(ids, 0), real, h)
             tokens += int(real.sum())
-            turn += 1
-            norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-            shrink = min(1.0, 1.0 / (norm + 1e-6))
+            adam.turn += 1
+            norm = np.sqrt(sum(float(np.vdot(x, x)) for x in (values, *g.values())))
+            shrink = np.float32(min(1.0, 1.0 / (norm + 1e-6)))
+            adam.apply("input", touched, values * shrink)
             for k, x in g.items():
-                x = x * np.float32(shrink)
-                first[k] = 0.9 * first[k] + 0.1 * x
-                second[k] = 0.99 * second[k] + 0.01 * x * x
-                w[k] -= (rate * (first[k] / (1 - 0.9**turn)) / (np.sqrt(second[k] / (1 - 0.99**turn)) + 1e-6)).astype(np.float32)
+                adam.apply(k, slice(None), x * shrink)
     return w, tokens

@@ -19,6 +19,8 @@ KNOWN = 1 << 18
 RUN = 1024
 ROUNDS = 3
 RATES = (0.02, 0.01, 0.005)
+#: Tokens of a round that train one copy of the model. The copies follow from the data, not from the cluster.
+COPY_TOKENS = 4_000_000
 #: Models that one task averages at a time.
 FAN = 16
 #: Words that a task counts before it hands its counts on.
@@ -121,44 +123,65 @@ def _runs(vocabulary, size: int):
     return made
 
 
+_MODEL = "g int, w binary, n long"
+
+
+def _model(g: int, flat: np.ndarray, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([flat.astype("<f4").tobytes()], pa.binary()), pa.array([n], pa.int64())], ["g", "w", "n"])
+
+
 def _trainer(weights, rate: float):
     """A task trains its own copy of the model on its runs."""
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [x for batch in batches for x in batch.column(0).to_pylist()]
+        rows: list[bytes] = []
+        for batch in batches:
+            if batch.num_rows:
+                g = batch.column(0)[0].as_py()
+                rows += batch.column(1).to_pylist()
         if not rows:
             return
         rows.sort(key=lambda x: (len(x), x))
         w, n = gru.train(weights.value, [np.frombuffer(x, np.int16) for x in rows], rate)
-        yield pa.RecordBatch.from_arrays([pa.array([gru.pack(w).astype("<f4").tobytes()]), pa.array([n])], ["w", "n"])
+        yield _model(g, gru.pack(w), n)
 
     return made
 
 
-def _average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _mean(models: Iterable[tuple[bytes, int]]) -> tuple[np.ndarray, int]:
     total, count = None, 0
-    for batch in batches:
-        for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x = np.frombuffer(w, "<f4").astype(np.float64) * n
-            total = x if total is None else total + x
-            count += n
-    if count:
-        yield pa.RecordBatch.from_arrays([pa.array([(total / count).astype("<f4").tobytes()]), pa.array([count])], ["w", "n"])
+    for w, n in models:
+        x = np.frombuffer(w, "<f4").astype(np.float64) * n
+        total, count = x if total is None else total + x, count + n
+    return total / count, count
 
 
-def train_model(stages: Stages, runs: DataFrame, weights: gru.Weights) -> gru.Weights:
-    """Rounds of local training and averaging, weighted by tokens; models are averaged in a tree."""
+def _average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [tuple(r.values()) for batch in batches for r in batch.to_pylist()]  # at most FAN models of fixed size
+    if rows:
+        yield _model(rows[0][0] // FAN, *_mean((w, n) for _, w, n in rows))
+
+
+def train_model(stages: Stages, runs: DataFrame, weights: gru.Weights, tokens: int) -> gru.Weights:
+    """Rounds of local training and averaging, weighted by tokens; models are averaged in a tree.
+
+    Runs are dealt to copies by the hash of their place, a copy sorts its own, and averages are taken in the copies'
+    order: the model follows from the texts and their ids.
+    """
     sc = stages.spark.sparkContext
+    copies = max(1, -(-tokens // (ROUNDS * COPY_TOKENS)))
     for turn in range(ROUNDS):
         sent = sc.broadcast(weights)
-        own = runs.where(F.col("turn") == turn).select("ids")
-        models = stages.keep(own.mapInArrow(_trainer(sent, RATES[turn]), "w binary, n long"))
-        while (n := models.count()) > FAN:
-            models = stages.keep(models.repartition(-(-n // FAN)).mapInArrow(_average, "w binary, n long"))
-        rows = models.collect()  # at most FAN models of fixed size
+        own = runs.where(F.col("turn") == turn).select(F.pmod(F.shiftright("place", 8), F.lit(copies)).cast("int").alias("g"), "ids")
+        models = stages.keep(own.repartitionById(copies, F.col("g")).mapInArrow(_trainer(sent, RATES[turn]), _MODEL))
+        left = copies
+        while left > FAN:
+            left = -(-left // FAN)
+            nearby = models.repartitionById(left, F.expr(f"g DIV {FAN}").cast("int")).sortWithinPartitions("g")
+            models = stages.keep(nearby.mapInArrow(_average, _MODEL))
+        rows = models.orderBy("g").collect()  # at most FAN models of fixed size
         if rows:
-            mean = sum(np.frombuffer(r[0], "<f4").astype(np.float64) * r[1] for r in rows) / sum(r[1] for r in rows)
-            weights = gru.unpack(mean, weights)
+            weights = gru.unpack(_mean((r["w"], r["n"]) for r in rows)[0], weights)
     return weights
 
 
@@ -208,6 +231,8 @@ def _frequent(counts: DataFrame, most: int | None = None) -> DataFrame:
         if total > most:
             break
         least = k
+    if least is None and total:  # the commonest class alone has too many: those with the smallest hashes
+        return counts.where(level == k).orderBy("word").limit(most)
     return counts.where(level >= (1 << 30 if least is None else least))
 
 
@@ -252,8 +277,8 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
 
     known = sc.broadcast(vocabulary)
     runs = learnt.select("doc_id", "text").mapInArrow(_runs(known, RUN), "ids binary, turn int, place long")
-    runs = stages.keep(runs.repartition("place").select("ids", "turn"))
-    weights = train_model(stages, runs, weights)
+    runs = stages.keep(runs)
+    weights = train_model(stages, runs, weights, n)
     stages.drop(runs)
 
     log_n = float(np.log10(n + 0.5 * (v + 1)))

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -266,7 +267,7 @@ def test_every_token_trains_the_net(spark, monkeypatch):
     rows = [(1, " ".join(f"w{k % 90}" for k in range(5000))), (2, "a b"), (3, None), (6, "w1 " * 1024)]
     seen = []
 
-    def train(stages, runs, weights):
+    def train(stages, runs, weights, tokens):
         ids = [np.frombuffer(r[0], np.int16) for r in runs.select("ids").collect()]
         seen.extend([sum(map(len, ids)), gru.train(weights, sorted(ids, key=len), 0.01)[1]])
         return weights
@@ -283,3 +284,26 @@ def test_long_quoted_attributes_stay_in_their_tag(quote):
         assert html_text.main_text(PAGE % (f"<article><div data-x={quote}{value}{quote}>", "</div></article>")) == TEXT
     for page in ("<a " * 100_000 + "\">\"", "<a \"" * 100_000 + ">\"'", "<a '\"" * 100_000 + ">'"):
         html_text.main_text(page)  # ends soon
+
+
+def test_partitions_do_not_change_the_model(spark, monkeypatch):
+    monkeypatch.setattr(lm, "COPY_TOKENS", 700)
+    monkeypatch.setattr(lm, "FAN", 3)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, rng.integers(1, 120)) % 400)) for i in range(150)] + [(150, "long " * 4000)]
+    scores = []
+    for parts in (1, 7):
+        got = lm.score_documents(table(spark, rows).repartition(parts), F.col("doc_id") % 5 == 1).collect()
+        scores.append({r.doc_id: (r.score, r.base_score) for r in got})
+    assert scores[0].keys() == scores[1].keys() and all(np.allclose(scores[0][k], scores[1][k], rtol=1e-5) for k in scores[0])
+
+
+def test_a_long_text_beside_short_ones():
+    rng = np.random.default_rng(4)
+    w = gru.start_weights(rng.random(gru.HEAD) + 0.1, rng.random(gru.TAILS) + 1)
+    docs = [rng.integers(0, gru.INPUTS, n).astype(np.int32) for n in (200_000, *[3] * 255)]
+    tracemalloc.start()
+    got = gru.score_documents(w, docs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20 and np.isfinite(got).all()
