@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from probscape.llm.common import by_id, text_rows, texts
 
-#: Edits allowed for each character of an item, and characters that an item needs to be looked for.
+#: Edits allowed for each character of an item; items shorter than this are looked for as they stand, between word bounds.
 EDIT_SHARE = 0.1
-LEAST_CHARS = 30
+FUZZY_CHARS = 30
 #: Bytes of items searched for in one pass over the documents; more items take more passes.
 PASS_BYTES = 16 << 20
 
@@ -83,12 +83,13 @@ def ancestors(pieces: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-@functools.lru_cache(maxsize=1)
+@functools.lru_cache(maxsize=4)
 def _machine(items: tuple[tuple[int, str], ...], share: float):
     """The pieces of all items in one automaton; a worker builds it once."""
     where: dict[str, list[tuple]] = {}
     for k, (_, item) in enumerate(items):
-        parts = split(item, int(share * len(item)))
+        short = len(item) < FUZZY_CHARS
+        parts = split(item, 0 if short else int(share * len(item)))
         cuts = [a for a, _ in parts] + [len(item)]
         nodes: dict[tuple[int, int], tuple] = {}
         for i, ranges in enumerate(ancestors(len(parts))):
@@ -96,25 +97,34 @@ def _machine(items: tuple[tuple[int, str], ...], share: float):
                 if (a, b) not in nodes:
                     part = item[cuts[a]: cuts[b]]
                     nodes[a, b] = part, b - a - 1, cuts[a], bit_masks(part)
-            where.setdefault(parts[i][1], []).append((k, cuts[i], [nodes[r] for r in ranges]))
+            where.setdefault(parts[i][1], []).append((k, cuts[i], [nodes[r] for r in ranges], short))
     machine = ahocorasick.Automaton()
     for piece, at in where.items():
         machine.add_word(piece, (len(piece), at))
     if where:
         machine.make_automaton()
-    return machine, bool(where)
+    return items, machine, bool(where)
 
 
-def find(text: str, items: tuple[tuple[int, str], ...], share: float) -> list[tuple[int, int]]:
+def _stands_alone(text: str, start: int, end: int) -> bool:
+    """Neither side of a passage goes on with a letter or digit."""
+    return not (start and text[start - 1].isalnum()) and not text[end: end + 1].isalnum()
+
+
+def find(text: str, machine) -> list[tuple[int, int]]:
     """``item, edits`` of every item within its budget somewhere in ``text`` (both plain)."""
-    machine, any_piece = _machine(items, share)
+    items, pieces, any_piece = machine
     if not any_piece or not text:
         return []
     best: dict[int, int] = {}
     sure: dict[int, int] = {}  # the last start at which an item was found
-    for end, (size, at) in machine.iter(text):
-        for k, offset, nodes in at:
+    for end, (size, at) in pieces.iter(text):
+        for k, offset, nodes, short in at:
             start = end + 1 - size - offset
+            if short:
+                if _stands_alone(text, start, end + 1):
+                    best[k] = 0
+                continue
             errors = nodes[-1][1]
             if k in sure and abs(start - sure[k]) <= errors // 2 and best[k] <= errors // 4:
                 continue
@@ -136,7 +146,7 @@ def _blocks(benchmark: DataFrame, most: int) -> list[tuple[tuple[int, str], ...]
     size = 0
     for item_id, text in rows.orderBy("item_id", "text").toLocalIterator():
         item = plain(text)
-        if len(item) < LEAST_CHARS:
+        if not item:
             continue
         if size > most:
             blocks.append([])
@@ -154,8 +164,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHAR
     of a piece in the whole text is verified with Myers' bit-parallel distance around it.
 
     The benchmark is a stated query set: each block of its items goes to all tasks, and more than
-    ``pass_bytes`` of items take further passes. Items with fewer than 30 characters, and null ids or
-    texts, are not looked for. Null and empty documents match nothing; repeated rows are reported once
+    ``pass_bytes`` of items take further passes. Items with fewer than 30 characters are looked for without edits,
+    between word bounds. ``edits`` is that of the first place found well within the budget; a later one may need
+    fewer. Items with null ids, or null or blank texts, are not looked for. Null and empty documents match nothing; repeated rows are reported once
     each; other columns are not read; empty tables give an empty result.
     """
     rows = by_id(docs)
@@ -163,8 +174,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHAR
 
     def matched(items):
         def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = _machine(items, share)
             for batch in text_rows(batches):
-                out = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), texts(batch)) for hit in find(plain(text), items, share)]
+                out = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), texts(batch)) for hit in find(plain(text), machine)]
                 if out:
                     a, b, c = zip(*out)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32())],
@@ -185,8 +197,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> D
     def leaks(items):
         @F.arrow_udf("boolean")
         def found(column: pa.Array) -> pa.Array:
-            batch = pa.RecordBatch.from_arrays([column, column], ["a", "b"])
-            return pa.array([bool(find(plain(t), items, share)) for t in texts(batch)], pa.bool_())
+            batch, machine = pa.RecordBatch.from_arrays([column, column], ["a", "b"]), _machine(items, share)
+            return pa.array([bool(find(plain(t), machine)) for t in texts(batch)], pa.bool_())
 
         return found(F.col("text").cast("string"))
 
