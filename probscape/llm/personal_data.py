@@ -26,11 +26,11 @@ _TRACE = re.compile(r"[0-9@=:]|\[at\]|\(at\)| at ")
 
 # Looser patterns, whose matches count only if the classifier takes them.
 _LOOSE = (
-    (EMAIL, re.compile(r"(?<![\w.])[A-Za-z][\w.+-]{0,63} ?(?:\[at\]|\(at\)|@| at ) ?[A-Za-z0-9-]{1,63} ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z]{2,12}\b")),
+    (EMAIL, re.compile(r"(?<![\w.+-])[+.-]*+([A-Za-z][\w.+-]*+ ?(?:\[at\]|\(at\)|@| at ) ?[A-Za-z0-9-]{1,63} ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z]{2,12}\b)")),
     (IP, re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")),
     (CARD, re.compile(r"(?<![0-9])(?:3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}|[2-6][0-9]{3}(?:[\x20-]?[0-9]{4}){3})(?![0-9])")),
     (PHONE, re.compile(r"(?<![0-9+.-])(?:00[1-9][0-9]{0,2}[ .-]?)?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{4}(?![0-9.-])")),
-    (SECRET, re.compile(r"(?i:\b(?:token|api[_-]?key|secret|password|passwd|pwd)\b)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{8,256})")),
+    (SECRET, re.compile(r"(?i:\b(?:token|api[_-]?key|secret|password|passwd|pwd)\b)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{8,}+)")),
 )
 
 #: Gazetteers (fixed values): endings of host names, and words that stand before data of a kind, or of none.
@@ -284,14 +284,19 @@ def _joined(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of the result of ``personal_data``."""
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of the result of ``personal_data``, and beside the
+    counts of base spans ``n_secret``, ``n_added`` (all spans that are no base spans) and ``found`` (any span)."""
     base = F.filter("spans", lambda s: s["base"])
 
     def number(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
     counts = [number(kind) for kind in KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    secrets = F.size(F.filter("spans", lambda s: s["kind"] == KINDS[SECRET])).cast("long")
+    added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("long")
+    return found.select(
+        "doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"),
+        secrets.alias("n_secret"), added.alias("n_added"), (F.size("spans") > 0).alias("found"))
 
 
 def redact(docs: DataFrame, mark: str = "<{}>") -> DataFrame:

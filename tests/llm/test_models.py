@@ -307,3 +307,24 @@ def test_a_long_text_beside_short_ones():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 40 << 20 and np.isfinite(got).all()
+
+
+def test_short_items_between_word_bounds(spark):
+    benchmark = spark.createDataFrame([(1, "What is  it?"), (2, "Ab"), (3, " "), (4, None)], "item_id long, text string")
+    rows = [(1, "so WHAT IS\nIT? yes"), (2, "somewhat is it?"), (3, "ab"), (4, "cab abs (ab)"), (5, "cabs"), (6, None), (7, "")]
+    got = {(r.doc_id, r.item_id, r.edits) for r in decontamination.contaminated(table(spark, rows), benchmark).collect()}
+    assert got == {(1, 1, 0), (3, 2, 0), (4, 2, 0)}
+    assert {r.doc_id for r in decontamination.clean(table(spark, rows), benchmark).collect()} == {2, 5, 6, 7}
+
+
+def test_long_secrets_are_whole(spark):
+    key = "aB3" * 150
+    local = "x" * 90
+    text = f"token = {key} and mail {local} at host dot com"
+    spans = personal_data.loose_spans(text, [])
+    assert [text[a:b] for _, a, b in spans] == [f"{local} at host dot com", key]
+    rows = [(i, f"password: {key}{i} is the key") for i in range(40)] + [(99, "plain words")]
+    found = {r.doc_id: r for r in personal_data.digest(personal_data.personal_data(table(spark, rows))).collect()}
+    assert found[0].n_secret == 1 and found[0].found and found[0].n_added == 1 and not found[99].found and found[99].n_secret == 0
+    clean = {r.doc_id: r.text for r in personal_data.redact(table(spark, rows)).collect()}
+    assert clean[7] == "password: <secret> is the key" and clean[99] == "plain words"
