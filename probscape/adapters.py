@@ -7,6 +7,8 @@ the operator's own work.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,31 +138,33 @@ metadata AS (
 
 # ------------------------------------------------------------------ C: points
 
-POINT_FEATURES = [f"f{i}" for i in range(8)]
-# The 2 x 8 matrix that projects the first eight dimensions.
-POINT_WEIGHTS = {
-    "f0": (0.61, -0.12), "f1": (-0.27, 0.55), "f2": (0.43, 0.31), "f3": (0.18, -0.64),
-    "f4": (-0.52, 0.08), "f5": (0.09, 0.47), "f6": (0.33, -0.21), "f7": (-0.14, 0.39),
-}
+#: Dimensions of a vector.
+DIMS = 64
+POINT_FEATURES = [f"f{i}" for i in range(DIMS)]
+#: The 2 x 64 matrix that projects a vector, from a rule.
+POINT_WEIGHTS = {f"f{i}": (round(0.6 * math.cos(1.3 * i + 0.4), 2), round(0.6 * math.sin(2.1 * i + 0.9), 2)) for i in range(DIMS)}
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Instances are vectors: eight features and a 2-D position."""
-    emb = table(spark, sf_dir, "embeddings").select(
+    """Instances are vectors: a feature for each dimension, and a 2-D position."""
+    def along(k: int):
+        weights = F.array(*[F.lit(w[k]) for w in POINT_WEIGHTS.values()])
+        terms = F.zip_with("embedding", weights, lambda x, w: x.cast("double") * w)
+        return F.round(F.aggregate(terms, F.lit(0.0), lambda total, x: total + x), 6)
+
+    return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"),
         F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("instance"),
         "label",
-        *[F.element_at("embedding", i + 1).cast("double").alias(f"f{i}") for i in range(8)],
+        *[F.element_at("embedding", i + 1).cast("double").alias(f"f{i}") for i in range(DIMS)],
+        along(0).alias("z_1"), along(1).alias("z_2"),
     )
-    z1 = sum(F.lit(w[0]) * F.col(f) for f, w in POINT_WEIGHTS.items())
-    z2 = sum(F.lit(w[1]) * F.col(f) for f, w in POINT_WEIGHTS.items())
-    return emb.withColumns({"z_1": F.round(z1, 6), "z_2": F.round(z2, 6)})
 
 
 POINTS = "points AS (SELECT *, round({z1}, 6) AS z_1, round({z2}, 6) AS z_2 FROM (SELECT vec_id AS id, 'v' || vec_id AS instance, label, {dims} FROM embeddings))".format(
     z1=" + ".join(f"{w[0]}::DOUBLE * {f}" for f, w in POINT_WEIGHTS.items()),
     z2=" + ".join(f"{w[1]}::DOUBLE * {f}" for f, w in POINT_WEIGHTS.items()),
-    dims=", ".join(f"embedding[{i + 1}]::DOUBLE AS f{i}" for i in range(8)),
+    dims=", ".join(f"embedding[{i + 1}]::DOUBLE AS f{i}" for i in range(DIMS)),
 )
 
 # ------------------------------------------------------------------ D: runs

@@ -109,10 +109,10 @@ def j11(spark, sf_dir):
 
 @query("j11_nearest_distance_by_descent", _J11, (ad.POINTS, GRID), "nearest_instance_distance")
 def j11_descent(spark, sf_dir):
-    """The same through the grid hierarchy, the way large corpora take."""
+    """The same with two levels more than are sent to tasks, the way large corpora take."""
     df = pts(spark, sf_dir)
     grid = gm.make_grid(spark, gm.padded(gm.bounding_box(df), 0.05), _K)
-    return nn.nearest_distance(grid, df).select("i", "j", "nearest_instance_distance")
+    return nn.nearest_distance(grid, df, levels=6).select("i", "j", "nearest_instance_distance")
 
 
 _TARGETS = "tgt AS (SELECT label AS target, round(avg(z_1) * 3, 4) AS z_1, round(avg(z_2) * 3, 4) AS z_2 FROM points GROUP BY label)"

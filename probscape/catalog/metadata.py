@@ -389,15 +389,13 @@ def a18(spark, sf_dir):
     return md.find_duplicates(table(spark, sf_dir, "orders"), "o_custkey")
 
 
-_CORR = [f"f{i}" for i in range(8)] + ["label"]
+_CORR = [*ad.POINT_FEATURES, "label"]
 
 
 @query(
     "a19_correlation_matrix",
-    " UNION ALL ".join(
-        f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM points" for a in _CORR for b in _CORR
-    ),
-    (ad.POINTS,), "r",
+    "SELECT x.c AS a, y.c AS b, corr(x.v, y.v) AS r FROM tall x JOIN tall y USING (id) GROUP BY x.c, y.c",
+    (ad.POINTS, "tall AS (UNPIVOT (SELECT id, label::DOUBLE AS label, " + ", ".join(ad.POINT_FEATURES) + " FROM points) ON " + ", ".join(_CORR) + " INTO NAME c VALUE v)"), "r",
 )
 def a19(spark, sf_dir):
     return dg.correlation_matrix(ad.points(spark, sf_dir).withColumn("gone", F.lit(None).cast("double")), [*_CORR, "gone"])

@@ -141,33 +141,26 @@ def m6(spark, sf_dir):
     "m7_select_features_by_corr",
     "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT '{f}' AS feature, greatest(abs(corr({f}, z_1)), abs(corr({f}, z_2))) AS max_abs_corr FROM points" for f in PF
-    ) + ") WHERE max_abs_corr >= 0.3",
+    ) + ") WHERE max_abs_corr >= 0.1",
     C, "max_abs_corr",
 )
 def m7(spark, sf_dir):
-    return ml.select_features_by_corr(pts(spark, sf_dir), PF, ["z_1", "z_2"], 0.3)
+    return ml.select_features_by_corr(pts(spark, sf_dir), PF, ["z_1", "z_2"], 0.1)
 
 
-# A corner of the box is on the hull if it is extreme in some direction: normals of the edges
-# between corner pairs would do, but for a box it is enough to test every generator's normal.
+# The outline's corners: for the normal of each feature's edge, the corners of the box that lie farthest that
+# way; the feature itself may stand at either end.
 _BOX = "ext AS (SELECT " + ", ".join(f"min({f}) AS lo_{f}, max({f}) AS hi_{f}" for f in PF) + " FROM points)"
-_CORNERS = "cor AS (SELECT id, " + ", ".join(
-    " + ".join(f"(CASE WHEN (id >> {i}) & 1 = 1 THEN hi_{f} ELSE lo_{f} END) * {ad.POINT_WEIGHTS[f][k]}::DOUBLE" for i, f in enumerate(PF)) + f" AS z_{k + 1}"
-    for k in (0, 1)
-) + f" FROM ext, generate_series(0, {2 ** len(PF) - 1}) AS g(id))"
-_NORMALS = "nrm AS (" + " UNION ALL ".join(
-    f"SELECT {s} * (hi_{f} - lo_{f}) * {ad.POINT_WEIGHTS[f][1]}::DOUBLE AS nx, {-s} * (hi_{f} - lo_{f}) * {ad.POINT_WEIGHTS[f][0]}::DOUBLE AS ny FROM ext"
-    for f in PF for s in (1, -1)
+_GENERATORS = "gen AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS f, lo_{f} AS lo, hi_{f} AS hi, {ad.POINT_WEIGHTS[f][0]}::DOUBLE AS w1, {ad.POINT_WEIGHTS[f][1]}::DOUBLE AS w2 FROM ext" for i, f in enumerate(PF)
 ) + ")"
+_CORNERS = """cor AS (SELECT f, s, e, sum(place * w1) AS z_1, sum(place * w2) AS z_2 FROM (
+    SELECT n.f, s, e, g.w1, g.w2, CASE WHEN g.f = n.f THEN (CASE WHEN e = 1 THEN g.hi ELSE g.lo END)
+           WHEN s * (g.w1 * n.w2 - g.w2 * n.w1) > 0 THEN g.hi ELSE g.lo END AS place
+    FROM gen n, gen g, (VALUES (1), (-1)) AS sides(s), (VALUES (0), (1)) AS ends(e)) AS c GROUP BY f, s, e)"""
 
 
-@query(
-    "m8_outline",
-    """SELECT DISTINCT round(z_1, 9) AS z_1, round(z_2, 9) AS z_2 FROM (
-         SELECT z_1, z_2, z_1 * nx + z_2 * ny AS d, max(z_1 * nx + z_2 * ny) OVER (PARTITION BY nx, ny) AS top FROM cor, nrm)
-       WHERE d >= top - 1e-12""",
-    (ad.POINTS, _BOX, _CORNERS, _NORMALS), "z_1 z_2",
-)
+@query("m8_outline", "SELECT DISTINCT round(z_1, 9) AS z_1, round(z_2, 9) AS z_2 FROM cor", (ad.POINTS, _BOX, _GENERATORS, _CORNERS), "z_1 z_2")
 def m8(spark, sf_dir):
     ring = ml.outline(spark, ml.feature_box(pts(spark, sf_dir), ad.POINT_WEIGHTS))
     return ring.select(F.round("z_1", 9).alias("z_1"), F.round("z_2", 9).alias("z_2"))
@@ -262,8 +255,8 @@ def m13(spark, sf_dir):
 
 @query("m13_knn_predict_by_descent", _KNN_SQL, (ad.POINTS, _POINT_LABELS, _KNN))
 def m13_descent(spark, sf_dir):
-    """The same through the grid hierarchy, the way large corpora take."""
-    return _knn(spark, sf_dir)
+    """The same with two levels more than are sent to tasks, the way large corpora take."""
+    return _knn(spark, sf_dir, levels=6)
 
 
 # Cheap predictions with an SQL form, for the queries downstream of a classifier.

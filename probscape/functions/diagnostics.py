@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,32 +64,43 @@ def metadata_summary(metadata: DataFrame) -> DataFrame:
     )
 
 
-#: Pairs per aggregate, so that the generated code stays small for wide tables.
-_PAIRS = 200
+def _products(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every pair of columns (values less a shift): rows with both, and sums over them."""
+    sums = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+        known = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+        values = np.where(known > 0, values, 0.0)
+        part = np.stack([known.T @ known, values.T @ known, (values * values).T @ known, values.T @ values])
+        sums = part if sums is None else sums + part
+    if sums is not None:
+        d = sums.shape[1]
+        i, j = np.triu_indices(d)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(c, pa.float64()) for c in (
+                sums[0][i, j], sums[1][i, j], sums[1][j, i], sums[2][i, j], sums[2][j, i], sums[3][i, j])]],
+            ["i", "j", "n", "si", "sj", "qi", "qj", "p"])
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson correlation as ``(a, b, r)``; all-null columns are left out.
 
-    One map-side combined aggregate per 200 pairs; nothing but the sums moves.
+    One aggregate for the means, by which values are shifted, and one pass in which a task turns its rows
+    into the sums of all pairs: matrices of as many rows as there are columns move, whatever their number.
     """
     cols = list(cols)
-    pairs = list(combinations(cols, 2)) + [(c, c) for c in cols]
-    out = None
-    for at in range(0, len(pairs), _PAIRS):
-        chunk = pairs[at : at + _PAIRS]
-        used = sorted({c for p in chunk for c in p})
-        src = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in used])
-        one = src.agg(
-            *[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(chunk)],
-            *[F.count(c).alias(f"n_{c}") for c in used],
-        )
-        cells = F.array(*[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"),
-                     ((F.col(f"n_{a}") > 0) & (F.col(f"n_{b}") > 0)).alias("used"))
-            for i, (a, b) in enumerate(chunk)
-        ])
-        part = one.select(F.inline(cells)).where("used").drop("used")
-        out = part if out is None else out.unionByName(part)
-    mirrored = out.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "r")
-    return out.unionByName(mirrored)
+    source = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    finite_ = [F.when(F.abs(F.col(f"c{i}")) < float("inf"), F.col(f"c{i}")) for i in range(len(cols))]
+    means = source.agg(*[F.avg(c).alias(f"c{i}") for i, c in enumerate(finite_)], *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(cols))]).first()
+    used = [i for i in range(len(cols)) if means[f"n{i}"]]
+    if not used:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    shifted = source.select(*[(F.col(f"c{i}") - F.lit(means[f"c{i}"] or 0.0)).alias(f"c{i}") for i in used])
+    sums = shifted.mapInArrow(_products, "i int, j int, n double, si double, sj double, qi double, qj double, p double")
+    sums = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "qi", "qj", "p")])
+    spread = F.sqrt(F.expr("(n * qi - si * si) * (n * qj - sj * sj)"))
+    name = F.array(*[F.lit(cols[i]) for i in used])
+    pairs = sums.select(F.get(name, F.col("i")).alias("a"), F.get(name, F.col("j")).alias("b"), F.try_divide(F.expr("n * p - si * sj"), spread).alias("r"))
+    return pairs.unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))

@@ -86,13 +86,11 @@ def knn_predict(
 ) -> DataFrame:
     """Cross-validated k-nearest-neighbour vote per label, as ``pred_*`` columns.
 
-    An instance is judged by the other folds.  Every row is a training point of all folds
-    but its own; instances in one place share one search.  A tie votes 0.
+    An instance is judged by the other folds: one search over all points, in which a fold does not meet
+    itself; instances in one place share one search.  A tie votes 0.
     """
     placed = df.withColumn("fold", fold.cast("int"))
-    others = F.expr(f"filter(sequence(0, {folds - 1}), f -> f <> fold)")
-    training = placed.select(F.explode(others).alias("fold2"), key, "z_1", "z_2").withColumnRenamed("fold2", "fold")
-    near = nearest_k(placed.select("fold", "z_1", "z_2"), training, k, key, ["fold"], **how)
+    near = nearest_k(placed.select("fold", "z_1", "z_2"), placed.select("fold", key, "z_1", "z_2"), k, key, "fold", **how)
     voted = near.join(df.select(key, *labels), key)
     votes = voted.groupBy("fold", "z_1", "z_2").agg(
         F.count(F.lit(1)).alias("voters"), *[F.sum(c).alias(c) for c in labels]

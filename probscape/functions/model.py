@@ -7,9 +7,11 @@ model is small and lives on the driver, the data never does.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -204,24 +206,36 @@ def apply_model(df: DataFrame, model: Model, ids: Sequence[str]) -> DataFrame:
 
 # --------------------------------------------------------------------------- projection
 
-#: Products per aggregate, so that generated code stays small.
+#: Correlations per aggregate, so that generated code stays small.
 _PRODUCTS = 150
 
 
-def gram(df: DataFrame, left: Sequence[str], right: Sequence[str] | None = None):
-    """Sums of products of columns as a numpy matrix; one row of sums leaves each task."""
-    import numpy as np
+def _cross(split: int):
+    """Sums of products of the columns before ``split`` with those from it on, one matrix a task."""
 
-    right_ = list(right) if right is not None else list(left)
-    pairs = [(i, j) for i in range(len(left)) for j in range(len(right_)) if right is not None or i <= j]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                values = np.nan_to_num(np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]), posinf=np.inf, neginf=-np.inf)
+                part = values[:, :split].T @ values[:, split:]
+                total = part if total is None else total + part
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(total.ravel())], ["i", "j", "v"])
+
+    return run
+
+
+def gram(df: DataFrame, left: Sequence[str], right: Sequence[str] | None = None) -> np.ndarray:
+    """Sums of products of columns as a numpy matrix, in one pass: a matrix of as many cells as there are pairs
+    of columns leaves each task. Nulls and NaN add nothing."""
+    right_ = list(left if right is None else right)
+    columns = [F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate([*left, *right_])]
+    sums = df.select(*columns).mapInArrow(_cross(len(left)), "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
     out = np.zeros((len(left), len(right_)))
-    for at in range(0, len(pairs), _PRODUCTS):
-        chunk = pairs[at : at + _PRODUCTS]
-        row = df.agg(*[F.sum(F.col(f"`{left[i]}`") * F.col(f"`{right_[j]}`")) for i, j in chunk]).first()
-        for (i, j), v in zip(chunk, row):
-            out[i, j] = v or 0.0
-            if right is None:
-                out[j, i] = v or 0.0
+    for r in sums.collect():
+        out[r["i"], r["j"]] = r["v"]
     return out
 
 
@@ -232,8 +246,6 @@ def fit_projection(df: DataFrame, features: Sequence[str], algos: Sequence[str])
     A = Vᵀ·[F Y]ᵀF·(FᵀF)⁻¹.  Each axis is signed so that its largest weight is positive.
     Columns are expected to be normalised, without missing values.
     """
-    import numpy as np
-
     both = [*features, *algos]
     g = gram(df, both)
     d = len(features)
@@ -395,8 +407,6 @@ class RidgeMap:
 
 def ridge_map(df: DataFrame, features: Sequence[str], ridge: float = RIDGE) -> RidgeMap:
     """Linear map from scaled features to ``(z_1, z_2)``, fitted from sums of products."""
-    import numpy as np
-
     cols = list(features)
     row = df.agg(
         *[F.avg(c).alias(f"m{i}") for i, c in enumerate([*cols, "z_1", "z_2"])],
@@ -420,8 +430,6 @@ def alignment_score(pairs: DataFrame, fitted: RidgeMap, ids: Sequence[str], pare
     Columns: features and ``z_1``/``z_2`` under both prefixes, ``target_z_1``/``target_z_2``.
     A target at the parent gives null; a child without any feature change 0.
     """
-    import numpy as np
-
     coef = np.asarray(fitted.coef)
     wanted = coef @ np.linalg.pinv(coef.T @ coef + np.eye(2) * fitted.ridge)
     tx = F.col("target_z_1") - F.col(f"{parent}z_1")
