@@ -8,6 +8,8 @@ from probscape import adapters as ad
 from probscape.catalog.base import query
 from probscape.functions import labels as lb
 from probscape.functions import model as ml
+from probscape.operators import footprints as fp
+from probscape.operators import geometry as gm
 
 C, B = (ad.POINTS,), (ad.METADATA,)
 PF = ad.POINT_FEATURES
@@ -428,3 +430,45 @@ def m21(spark, sf_dir):
         .join(df.select(F.col("id").alias("id3"), F.col("z_1").alias("target_z_1"), F.col("z_2").alias("target_z_2")), F.expr("id3 = id div 3 * 3"))
     )
     return ml.alignment_score(pairs, _MAP, ["instance"])
+
+
+# Footprints from points: the same cells, clusters and parts in SQL.
+_FP_LABELS = [f"good_{n}" for n in _ALGO2]
+_FP_CELLS = ("tall AS (" + " UNION ALL ".join(f"SELECT '{c}' AS label, z_1, z_2, {c} AS own FROM plab" for c in _FP_LABELS) + ")", """
+size AS (SELECT label, k, x0, y0, greatest(sqrt(area * k / (n * pi()) / 2), ext / 255) AS side FROM (
+  SELECT label, n, area, x0, y0, ext, greatest(least(ceil(n / 20.0), 50), 3) AS k FROM (
+    SELECT label, sum(own) AS n, (max(z_1) FILTER (own = 1) - min(z_1) FILTER (own = 1)) * (max(z_2) FILTER (own = 1) - min(z_2) FILTER (own = 1)) AS area,
+           min(z_1) AS x0, min(z_2) AS y0, greatest(max(z_1) - min(z_1), max(z_2) - min(z_2)) AS ext FROM tall GROUP BY label)) WHERE area > 0)""", """
+cells AS (SELECT label, floor((z_1 - x0) / side)::INT AS cx, floor((z_2 - y0) / side)::INT AS cy, count(*) AS n, sum(own) AS good, any_value(k) AS k, any_value(side) AS side
+  FROM tall JOIN size USING (label) GROUP BY ALL)""", """
+dense AS (SELECT a.label, a.cx, a.cy FROM cells a JOIN cells b ON a.label = b.label AND abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1
+  WHERE a.good > 0 GROUP BY a.label, a.cx, a.cy, a.k HAVING sum(b.good) >= a.k)""", """
+reach AS (SELECT label, cx, cy, cx AS rx, cy AS ry FROM dense UNION
+  SELECT r.label, r.cx, r.cy, d.cx, d.cy FROM reach r JOIN dense d ON d.label = r.label AND abs(d.cx - r.rx) <= 1 AND abs(d.cy - r.ry) <= 1)""", """
+part AS (SELECT label, cx, cy, dense_rank() OVER (PARTITION BY label ORDER BY root)::INT AS part FROM (
+  SELECT label, cx, cy, min((rx, ry)) AS root FROM reach GROUP BY label, cx, cy))""", """
+member AS (SELECT * FROM part UNION ALL
+  SELECT c.label, c.cx, c.cy, min(p.part) FROM cells c JOIN part p ON c.label = p.label AND abs(c.cx - p.cx) <= 1 AND abs(c.cy - p.cy) <= 1
+  WHERE c.good > 0 AND NOT EXISTS (SELECT 1 FROM dense d WHERE d.label = c.label AND d.cx = c.cx AND d.cy = c.cy) GROUP BY c.label, c.cx, c.cy)""", """
+foot AS (SELECT m.part, c.* FROM member m JOIN cells c USING (label, cx, cy) WHERE c.good >= 0.75 * c.n)""")
+_FP_CTES = (ad.POINTS, _POINT_LABELS, *_FP_CELLS)
+
+
+def _footprint_cells(spark, sf_dir):
+    return fp.footprint_cells(labelled(spark, sf_dir), _FP_LABELS)
+
+
+@query(
+    "m16_footprints_from_points",
+    """SELECT label, part, count(*) AS cells, count(*) * any_value(side) * any_value(side) AS area, sum(n)::BIGINT AS points, sum(good)::BIGINT AS good, sum(good) / sum(n) AS purity
+       FROM foot GROUP BY label, part""",
+    _FP_CTES, "area purity",
+)
+def m16_points(spark, sf_dir):
+    return fp.footprint_parts(_footprint_cells(spark, sf_dir))
+
+
+@query("m16_footprint_outlines", "SELECT label || '|good' AS poly_id, count(*) * any_value(side) * any_value(side) AS area FROM foot GROUP BY label", _FP_CTES, "area")
+def m16_outlines(spark, sf_dir):
+    """The area inside the outlines; holes subtract."""
+    return gm.polygon_area(fp.footprint_polygons(_footprint_cells(spark, sf_dir)))
