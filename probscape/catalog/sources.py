@@ -11,7 +11,7 @@ from probscape.catalog import features as cf
 from probscape.catalog.base import query
 from probscape.common import table
 from probscape.functions.features import build_features, Corpus
-from probscape.sources import audit, corpus as cp, tables
+from probscape.sources import audit, containers as ct, corpus as cp, tables
 from probscape.sources.text import is_relevant, parse_block_sizes
 
 E_FILES = (ad.FILES,)
@@ -98,6 +98,24 @@ def s5(spark, sf_dir):
     return cp.vec_to_block(vec, blocks).groupBy("instance", "idx", "block_id", "row", "col").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "s2_read_containers",
+    """SELECT 'inst' || l_suppkey AS instance, (l_linenumber - 1)::INT AS mat_id, CASE WHEN l_partkey % 40 < 24 THEN 1 ELSE 2 END::INT AS block_id,
+              CASE WHEN l_partkey % 40 < 24 THEN l_partkey % 40 + 1 ELSE least((l_partkey % 40 - 24) % 4, (l_partkey % 40 - 24) // 4) + 1 END::INT AS row,
+              CASE WHEN l_partkey % 40 < 24 THEN l_partkey % 40 + 1 ELSE greatest((l_partkey % 40 - 24) % 4, (l_partkey % 40 - 24) // 4) + 1 END::INT AS col,
+              sum(l_quantity) AS value FROM lineitem GROUP BY ALL""",
+    doubles="value",
+)
+def s2_containers(spark, sf_dir):
+    """Written as packed binary containers, one an instance, and read again by ranges of columns."""
+    vec = table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('inst', cast(l_suppkey AS string)) AS instance", "cast(l_linenumber - 1 AS int) AS mat_id", "cast(l_partkey % 40 AS int) AS idx", "l_quantity AS q")
+    folder = tables.shared_path(spark, "containers")
+    ct.write_containers(vec.groupBy("instance", "mat_id", "idx").agg(F.sum("q").alias("value")), folder, 40, 6, {"l": [24.0], "s": [4.0]}).count()
+    found = ct.read_containers(spark, folder).entries
+    return found.groupBy("instance", "mat_id", "block_id", "row", "col").agg(F.sum("value").alias("value"))
+
+
 @query(
     "s6_cone_blocks",
     """SELECT 'inst' || s AS instance, (row_number() OVER (PARTITION BY s ORDER BY o))::INT AS block_id, size::INT AS size FROM (
