@@ -273,13 +273,12 @@ def _closed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def distinct_rows(rows: DataFrame, copies: Column | None = None) -> DataFrame:
-    """``conv_id, turn, role, text, copies, repeated``: equal rows as one with a count, and whether role and text
-    occur in an earlier turn. ``copies`` says how often a row stands (0: not at all, but its conversation is known)."""
+    """``conv_id, turn, role, text, copies``: equal rows as one with a count. ``copies`` says how often a row stands
+    (0: not at all, but its conversation is known)."""
     plain = rows.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit(" ")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit(" ")).alias("text"), (F.lit(1) if copies is None else copies).cast("long").alias("copies"))
-    plain = plain.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies"))
-    return plain
+    return plain.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies"))
 
 
 def with_repeats(rows: DataFrame) -> DataFrame:
@@ -290,7 +289,7 @@ def with_repeats(rows: DataFrame) -> DataFrame:
     often = marked.where("copies > 0").groupBy("conv_id", "_print").agg(first.alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     often = often.select(F.col("conv_id").alias("_conv"), F.col("_print").alias("_same"), "_first")
     joined = marked.join(often, (F.col("_print") == F.col("_same")) & F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
-    later = (F.col("turn").isNotNull() & (~F.col("_first.known") | (F.col("turn") > F.col("_first.turn"))))
+    later = F.col("turn").isNotNull() & (~F.col("_first.known") | (F.col("turn") > F.col("_first.turn")))
     return joined.select("conv_id", "turn", "role", "text", "copies", F.coalesce(later, F.lit(False)).alias("repeated"))
 
 
