@@ -149,7 +149,7 @@ class _Top:
         self.k, self.groups, self.levels = k, groups, []
         code = cells["ix"].to_numpy().astype(np.int64), cells["iy"].to_numpy().astype(np.int64)
         box = [cells[c].to_numpy() for c in ("x0", "x1", "y0", "y1")]
-        count = np.column_stack([cells[c].to_numpy() for c in ("n", *counts)]).astype(np.int64).reshape(len(cells), -1)
+        count = np.column_stack([cells[c].to_numpy() for c in ("n", *counts)]).astype(np.int64)
         for _ in range(levels):
             # cells in the order of their parents, so that a parent's children are one slice
             parent = (code[0] >> _BITS) << 32 | code[1] >> _BITS
