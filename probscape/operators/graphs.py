@@ -207,6 +207,7 @@ def plan_conversion(
     def action(status, detail):
         return F.struct(F.lit(status).alias("status"), (detail if not isinstance(detail, str) else F.lit(detail)).alias("detail"))
 
+    # States and details of the conversion
     huge = F.concat(
         F.lit("n="), F.col("n").cast("string"), F.lit(f" exceeds --max-convert-n={max_n}; use --allow-huge to force")
     )

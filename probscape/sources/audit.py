@@ -90,6 +90,7 @@ def classify_graph_text(lines: DataFrame, first_lines: int | None = None, checke
         (F.size("h").isin(2, 3) & F.forall(ints, lambda x: x.isNotNull())).alias("numeric"),
         F.get(ints, 0).alias("n"), F.get(ints, 1).alias("m"),
     )
+    # Kinds and reasons
     verdict = (
         F.when(~F.col("numeric"), _verdict("text", "header is not DIMACS numeric data"))
         .when((F.col("n") <= 0) | (F.col("m") < 0), _verdict("text", "invalid DIMACS dimensions"))
@@ -117,6 +118,7 @@ def classify_problem_text(lines: DataFrame, first_lines: int | None = None) -> D
     header_ok = F.coalesce((F.col("m") > 0) & (F.col("nb") > 0), F.lit(False))
     blocks_ok = (F.size("sizes") == F.col("nb")) & F.forall("sizes", lambda x: x.isNotNull() & (x != 0))
     has_sdp = F.exists("sizes", lambda x: x > 0)
+    # Kinds and reasons
     verdict = (
         F.when(F.col("rows") < 4, _verdict("text", "too few numeric lines for SDPA"))
         .when(~header_ok, _verdict("text", "missing SDPA m/block header"))
@@ -148,6 +150,7 @@ def classify_files(
     for_graph = lines.where(extension(F.col("path")) == ".dat")
     for_text = lines.where(F.lower("path").endswith(".dat-s") | extension(F.col("path")).isin(".sdpa", ".sdp"))
     verdicts = classify_graph_text(for_graph, graph_lines, checked_rows).unionByName(classify_problem_text(for_text, text_lines))
+    # Kinds and reasons
     fallback = (
         F.when(F.col("route") == "script", _verdict("matlab-script", "source/generator script"))
         .when(F.col("route") == "container", _verdict("matlab-mat", "container not inspected"))
