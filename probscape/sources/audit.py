@@ -130,12 +130,37 @@ def classify_problem_text(lines: DataFrame, first_lines: int | None = None) -> D
     return parsed.select("path", verdict.alias("v"))
 
 
+def classify_containers(variables: DataFrame, cones: DataFrame) -> DataFrame:
+    """Container rule: the variables of a known solver's problem, and whether it has semidefinite cones.
+
+    ``variables`` is ``(path, variable)`` and ``cones`` ``(path, s, ...)``, as read from the containers' heads.
+    """
+    names = variables.groupBy("path").agg(F.collect_set("variable").alias("names"))
+    sizes = cones.groupBy("path").agg(F.max(F.coalesce(F.exists("s", lambda x: x != 0), F.lit(False))).alias("has_s"))
+
+    def has(*wanted: str):
+        return F.size(F.array_intersect("names", F.array(*map(F.lit, wanted)))) == len(wanted)
+
+    first = has("K", "b", "c") & (has("A") | has("At"))
+    second = has("blk", "At", "C", "b")
+    # Kinds and reasons
+    verdict = (
+        F.when(second, _verdict("sdpt3-mat", "contains SDPT3 variables blk/At/C/b", True, True))
+        .when(~first, _verdict("matlab-mat", "missing known SDP solver variables"))
+        .when(F.coalesce("has_s", F.lit(False)), _verdict("sedumi-mat", "contains SeDuMi K.s semidefinite cone", True, True))
+        .otherwise(_verdict("sedumi-mat", "SeDuMi instance without K.s cone", True))
+    )
+    return names.join(sizes, "path", "left").select("path", verdict.alias("v"))
+
+
 def classify_files(
     files: DataFrame, lines: DataFrame, graph_lines: int | None = None, text_lines: int | None = None, checked_rows: int | None = None,
+    containers: DataFrame | None = None,
 ) -> DataFrame:
     """Audit records of ``files(path, size_bytes)`` from their ``lines(path, line_no, line)``.
 
-    Whole files are judged unless a limit is given. Binary containers are not opened; they are reported as such.
+    Whole files are judged unless a limit is given. ``containers`` has the verdicts of binary containers
+    (``classify_containers``); without one a container is reported as not inspected.
     """
     ext = extension(F.col("path"))
     routed = files.withColumn("extension", ext).withColumn(
@@ -150,6 +175,8 @@ def classify_files(
     for_graph = lines.where(extension(F.col("path")) == ".dat")
     for_text = lines.where(F.lower("path").endswith(".dat-s") | extension(F.col("path")).isin(".sdpa", ".sdp"))
     verdicts = classify_graph_text(for_graph, graph_lines, checked_rows).unionByName(classify_problem_text(for_text, text_lines))
+    if containers is not None:
+        verdicts = verdicts.unionByName(containers.where(extension(F.col("path")) == ".mat").select("path", "v"))
     # Kinds and reasons
     fallback = (
         F.when(F.col("route") == "script", _verdict("matlab-script", "source/generator script"))

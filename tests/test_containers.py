@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from probscape.sources import audit
 from probscape.sources import containers as ct
 
 
@@ -90,3 +91,20 @@ def test_broken_containers():
     (_, at, packed), = ct.heads(file)
     with pytest.raises(ct.DataError):
         list(ct.entries(file, at, packed, 0, 50))
+
+
+def test_audit_of_containers(spark, tmp_path):
+    b, c, a = [1.0], [2.0], (1, [0], [0, 1], [1.0])
+    made = {
+        "s": {"K": {"s": [2.0]}, "b": b, "c": c, "At": a}, "l": {"K": {"l": [2.0], "s": []}, "b": b, "c": c, "A": a},
+        "t": {"blk": b, "At": a, "C": c, "b": b}, "n": {"K": {"s": [2.0]}, "b": b}}
+    for k, v in made.items():
+        (tmp_path / f"{k}.mat").write_bytes(ct.container_bytes(v))
+    variables = ct.container_variables(spark, str(tmp_path))
+    verdicts = audit.classify_containers(variables, ct.container_cones(variables))
+    files = variables.selectExpr("path", "1L AS size_bytes").distinct().union(spark.sql("SELECT 'x/other.mat', 1L"))
+    lines = spark.createDataFrame([], "path string, line_no long, line string")
+    got = {r["path"].rsplit("/", 1)[1]: (r["kind"], r["is_instance"], r["is_sdp"]) for r in audit.classify_files(files, lines, containers=verdicts).collect()}
+    assert got == {
+        "s.mat": ("sedumi-mat", True, True), "l.mat": ("sedumi-mat", True, False), "t.mat": ("sdpt3-mat", True, True), "n.mat": ("matlab-mat", False, None),
+        "other.mat": ("matlab-mat", False, None)}
