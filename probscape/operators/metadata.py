@@ -274,16 +274,16 @@ def backfill_column(
 
 
 def template_row(
-    candidates: DataFrame, seeds: DataFrame, key: str = "instances", seed: str = "seed"
+    candidates: DataFrame, seeds: DataFrame, key: str = "instances", seed: str = "seed", strict: bool = True
 ) -> DataFrame:
     """Candidates in the metadata's shape: own features, the seed row's other columns.
 
-    A candidate whose seed has no row is an error.
+    A candidate whose seed has no row is an error, or left out unless ``strict``.
     """
     own = set(prefixed(candidates.columns, "feature_"))
     seed_cols = [c for c in seeds.columns if c not in own and c not in (key, "source")]
     base = seeds.select(F.col(key).alias(seed), *seed_cols)
-    lost = F.raise_error(F.concat(F.lit("no row of the seed of "), F.col(key))).cast("boolean")
+    lost = F.raise_error(F.concat(F.lit("no row of the seed of "), F.col(key))).cast("boolean") if strict else F.lit(False)
     joined = candidates.join(base.withColumn("__has", F.lit(True)), seed, "left").where(F.coalesce("__has", lost))
     return joined.select(*[
         F.col(key) if c == key else F.lit(FILL_LABEL).alias("source") if c == "source" else F.col(f"`{c}`")
