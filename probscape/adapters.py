@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from probscape.common import table
@@ -101,20 +101,35 @@ FEATURES = [
 ]
 
 
-def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Instances are customers; features and runtimes are aggregates of their orders."""
+def metadata(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
+    """Instances are customers; features and runtimes are aggregates of their orders.
+
+    The last bits of a sum of doubles depend on the order of its summands. ``ordered`` adds a customer's orders by
+    their key, for queries whose results show these bits; the running sums of a customer are a stream.
+    """
     price = F.col("o_totalprice")
-    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
-        F.avg(price).alias("feature_mean_price"),
-        F.count(F.lit(1)).cast("double").alias("feature_n_orders"),
-        F.avg((F.col("o_orderstatus") == "O").cast("double")).alias("feature_open_share"),
-        (F.max(price) - F.min(price)).alias("feature_price_range"),
-        F.sum(price).alias("feature_price_sum"),
-        *[
-            F.avg(F.when(F.col("o_orderpriority") == p, price)).alias(f"algo_{a}")
-            for p, a in PRIORITIES.items()
-        ],
-    )
+
+    def aggregates(over):
+        return [
+            over(F.avg(price)).alias("feature_mean_price"),
+            over(F.count(F.lit(1))).cast("double").alias("feature_n_orders"),
+            over(F.avg((F.col("o_orderstatus") == "O").cast("double"))).alias("feature_open_share"),
+            (over(F.max(price)) - over(F.min(price))).alias("feature_price_range"),
+            over(F.sum(price)).alias("feature_price_sum"),
+            *[
+                over(F.avg(F.when(F.col("o_orderpriority") == p, price))).alias(f"algo_{a}")
+                for p, a in PRIORITIES.items()
+            ],
+        ]
+
+    orders = table(spark, sf_dir, "orders")
+    if ordered:
+        so_far = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        running = orders.select("o_custkey", *aggregates(lambda c: c.over(so_far)))
+        last = F.max_by(F.struct(*FEATURES, *ALGOS), "feature_n_orders").alias("last")
+        orders = running.groupBy("o_custkey").agg(last).select("o_custkey", "last.*")
+    else:
+        orders = orders.groupBy("o_custkey").agg(*aggregates(lambda c: c))
     who = table(spark, sf_dir, "customer").selectExpr("c_custkey AS o_custkey", "c_mktsegment AS source")
     return orders.join(who, "o_custkey").select(
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("instances"),

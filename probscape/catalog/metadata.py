@@ -19,8 +19,8 @@ BOTH = f"{FEAT} {ALGO}"
 F_LIST, A_LIST = ", ".join(ad.FEATURES), ", ".join(ad.ALGOS)
 
 
-def base(spark, sf_dir):
-    return ad.metadata(spark, sf_dir)
+def base(spark, sf_dir, ordered=False):
+    return ad.metadata(spark, sf_dir, ordered)
 
 
 # ---------------------------------------------------------------- projections and checks
@@ -302,7 +302,7 @@ def j7(spark, sf_dir):
     B,
 )
 def j8(spark, sf_dir):
-    df = base(spark, sf_dir)
+    df = base(spark, sf_dir, ordered=True)
     no_column = df.select("instances", "algo_high")
     chosen = df.where("k % 4 = 1").selectExpr("instances AS Instance", "cast(round(algo_low) AS bigint) AS algo_low")
     ignored = df.selectExpr("instances", "-1 AS algo_low")
@@ -352,7 +352,7 @@ _DIAG_COLS = [*ad.FEATURES, "feature_low", "feature_none", "feature_const"]
     (ad.METADATA, "wide AS (SELECT *, algo_low AS feature_low, NULL::DOUBLE AS feature_none, 3.0::DOUBLE AS feature_const FROM metadata)"),
 )
 def a13(spark, sf_dir):
-    df = base(spark, sf_dir).withColumns({
+    df = base(spark, sf_dir, ordered=True).withColumns({
         "feature_low": F.col("algo_low"), "feature_none": F.lit(None).cast("double"), "feature_const": F.lit(3.0)
     })
     return dg.feature_diagnostics(df)

@@ -1,6 +1,12 @@
 """What showed on larger copies of the test tables only."""
 
+from functools import reduce
+from operator import add
+
 import pytest
+
+from probscape import adapters as ad
+from probscape.catalog import QUERIES
 from probscape.operators import metadata as md
 
 
@@ -14,3 +20,19 @@ def test_candidates_without_a_seed_row(spark):
     assert rows(md.template_row(cands, seeds, strict=False)) == [("k", md.FILL_LABEL, 5.0, 2.0)]
     with pytest.raises(Exception, match="no row of the seed of l"):
         md.template_row(cands, seeds).collect()
+
+
+def test_sums_do_not_depend_on_the_files(spark, tmp_path):
+    """Equal customers, whose orders lie in several files, have equal sums to the last bit."""
+    orders = [(100 * c + i, c, 0.1 * (i + 1), "O", "5-LOW") for c in range(8) for i in range(9)]
+    schema = "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string, o_orderpriority string"
+    for part in range(5):
+        own = [o for o in orders if (o[0] + o[1] * o[0] // 7) % 5 == part]
+        spark.createDataFrame(own, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(c, "S") for c in range(8)], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    found = {r["feature"]: r["distinct_values"] for r in QUERIES["a13_feature_diagnostics"](spark, str(tmp_path)).collect()}
+    assert found["feature_price_sum"] == found["feature_low"] == 1
+    total = ad.metadata(spark, str(tmp_path), ordered=True).first()["feature_price_sum"]
+    assert total == reduce(add, [0.1 * (i + 1) for i in range(9)])
+    low = {r["algo_low"] for r in QUERIES["j8_backfill_column"](spark, str(tmp_path)).collect()}
+    assert low == {"", "1"}
