@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -106,10 +107,35 @@ def _each(graphs: DataFrame, name: str = "i") -> DataFrame:
     return graphs.withColumn(name, F.explode(F.sequence(F.lit(1), F.col("n"))))
 
 
-def _cells(graphs: DataFrame) -> DataFrame:
-    """All n² positions, the columns spread over tasks before the rows are made."""
-    columns = _each(graphs, "j").repartition("graph", "j")
-    return columns.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+#: Positions of matrices, about, that one task makes.
+TASK_CELLS = 500_000
+
+
+def cell_parts(graphs: DataFrame) -> int:
+    """Tasks for all n² positions of the graphs."""
+    n = F.col("n").cast("double")
+    total = graphs.agg(F.sum(n * n)).first()[0] or 0.0
+    return max(graphs.sparkSession.sparkContext.defaultParallelism, math.ceil(total / TASK_CELLS))
+
+
+def _cells(columns: DataFrame, parts: int) -> DataFrame:
+    """All n² positions from ``columns(graph, n, j)``, which are dealt to a given number of tasks before the rows are made:
+    planned by the size of the columns alone, they would meet in a few."""
+    return columns.repartition(parts, "graph", "j").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+
+
+def _fap_columns(graphs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Columns ``(graph, n, k, j, equal, before, n_free)``: the rows without a slack (the diagonal and pairs with a heavy
+    edge), the slacks of earlier columns, and those of the graph."""
+    heads = graphs.select("graph", "n", "k")
+    fixed = edges.where(F.col("w") > FIXED_ABOVE).join(heads, "graph").where("least(i, j) >= 1 AND greatest(i, j) <= n")
+    both = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    equal = fixed.select("graph", "n", "k", F.inline(both)).unionByName(_each(heads).withColumn("j", F.col("i")))
+    columns = equal.groupBy("graph", "n", "k", "j").agg(F.collect_set("i").alias("equal"))
+    here = (F.col("n") - F.size("equal")).cast("bigint")
+    whole = Window.partitionBy("graph")
+    earlier = whole.orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
+    return columns.withColumns({"before": F.coalesce(F.sum(here).over(earlier), F.lit(0)), "n_free": F.sum(here).over(whole)})
 
 
 def graph_to_problem(graphs: DataFrame, edges: DataFrame, kind: str, max_n: int | None = None, weight_scale: float = 1.0) -> Corpus:
@@ -128,49 +154,42 @@ def graph_to_problem(graphs: DataFrame, edges: DataFrame, kind: str, max_n: int
     if weight_scale != 1.0:
         edges = edges.withColumn("w", F.col("w") / weight_scale)
     n, one = F.col("n"), F.lit(1.0)
+    parts = 1 if kind == "TORUS" else cell_parts(graphs)
     diagonal = _each(graphs).select("graph", "i", F.col("i").alias("j"), one.alias("value"))
     if kind != "FAP":
         share = 0.25 if kind == "BISECT" else 0.5
         c = _entries(_objective(graphs, edges, F.lit(share), F.lit(-share)), F.lit(0), F.lit(1))
-        parts = [c, _entries(diagonal, F.col("i"), F.lit(1))]
+        pieces = [c, _entries(diagonal, F.col("i"), F.lit(1))]
         rhs = _each(graphs).select(F.col("graph").alias("instance"), F.col("i").alias("mat_id"), one.alias("b"))
         m = n
         if kind == "BISECT":
-            parts.append(_entries(_cells(graphs).withColumn("value", one), F.col("n") + 1, F.lit(1)))
+            pieces.append(_entries(_cells(_each(graphs, "j"), parts).withColumn("value", one), F.col("n") + 1, F.lit(1)))
             rhs = rhs.unionByName(graphs.select(F.col("graph").alias("instance"), (n + 1).alias("mat_id"), F.lit(0.0).alias("b")))
             m = n + 1
         problems = graphs.select(F.col("graph").alias("instance"), m.cast("int").alias("m"), F.lit(1).alias("n_blocks"))
         blocks = graphs.select(F.col("graph").alias("instance"), F.lit(1).alias("block_id"), n.cast("int").alias("size"))
-        return Corpus(problems, blocks, rhs, reduce(DataFrame.unionByName, parts))
+        return Corpus(problems, blocks, rhs, reduce(DataFrame.unionByName, pieces))
 
     k = F.when(F.col("k") > 1, F.col("k")).otherwise(F.raise_error(F.lit("FAP needs k > 1")).cast("int"))
-    fixed = edges.where(F.col("w") > FIXED_ABOVE).select("graph", "i", "j")
-    equal = (
-        fixed.unionByName(fixed.select("graph", F.col("j").alias("i"), F.col("i").alias("j")))
-        .unionByName(diagonal.select("graph", "i", "j")).distinct()
-    )
     position = (F.col("i") - 1).cast("bigint") + (F.col("j") - 1).cast("bigint") * n
-    free = _cells(graphs).join(equal, ["graph", "i", "j"], "left_anti").withColumn("p", position)
-    # the rank of a free position: free ones in earlier columns, plus its place in its own
-    per_column = free.groupBy("graph", "j").agg(F.count(F.lit(1)).alias("here"))
-    earlier = F.sum("here").over(Window.partitionBy("graph").orderBy("j").rowsBetween(Window.unboundedPreceding, -1))
-    before = per_column.withColumn("before", F.coalesce(earlier, F.lit(0))).select("graph", "j", "before")
-    within = F.row_number().over(Window.partitionBy("graph", "j").orderBy("i"))
-    slack = free.withColumn("within", within).join(before, ["graph", "j"]).withColumn("t", F.col("before") + F.col("within"))
-    n_free = per_column.groupBy("graph").agg(F.sum("here").alias("n_free"))
-    sized = graphs.join(n_free, "graph", "left").withColumn("n_free", F.coalesce("n_free", F.lit(0)))
-    sdp_block = sized.select("graph", F.when(F.col("n_free") > 0, 2).otherwise(1).alias("block"))
+    columns = _fap_columns(graphs, edges)
+    block = F.when(F.col("n_free") > 0, 2).otherwise(1)
+    free = F.array_except(F.sequence(F.lit(1), n), F.col("equal"))
+    slack = columns.repartition(parts, "graph", "j").select("graph", "n", "j", "before", F.posexplode(free).alias("place", "i"))
+    slack = slack.withColumn("t", F.col("before") + F.col("place") + 1)
+    sized = graphs.join(columns.where("j = 1").select("graph", "n_free"), "graph", "left").withColumn("n_free", F.coalesce("n_free", F.lit(0)))
+    sdp_block = sized.select("graph", block.alias("block"))
 
     c = _objective(graphs, edges, 1.0 / (2.0 * k), (k - 1) / (2.0 * k)).join(sdp_block, "graph")
-    every = _cells(graphs).withColumn("value", one).join(sdp_block, "graph")
-    slack_rows = slack.select("graph", "p", F.col("t").alias("i"), F.col("t").alias("j"), F.lit(-1.0).alias("value"))
+    every = _cells(columns.select("graph", "n", "j", block.alias("block")), parts).withColumn("value", one)
+    slack_rows = slack.select("graph", position.alias("p"), F.col("t").alias("i"), F.col("t").alias("j"), F.lit(-1.0).alias("value"))
     entries = (
         _entries(c, F.lit(0), F.col("block"))
         .unionByName(_entries(every, position + 1, F.col("block")))
         .unionByName(_entries(slack_rows, F.col("p") + 1, F.lit(1)))
     )
     b = F.when(F.col("i") == F.col("j"), 1.0).otherwise(-1.0 / (k - 1))
-    rhs = _cells(graphs).select(F.col("graph").alias("instance"), (position + 1).cast("int").alias("mat_id"), b.alias("b"))
+    rhs = _cells(_each(graphs, "j"), parts).select(F.col("graph").alias("instance"), (position + 1).cast("int").alias("mat_id"), b.alias("b"))
     problems = sized.select(
         F.col("graph").alias("instance"), (n * n).cast("int").alias("m"), F.when(F.col("n_free") > 0, 2).otherwise(1).alias("n_blocks")
     )

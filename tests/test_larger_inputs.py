@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from probscape import adapters as ad
 from probscape.catalog import QUERIES
+from probscape.catalog import augment as catalog
 from probscape.functions.draws import HashDraws
 from probscape.functions.features import Corpus
 from probscape.operators import augment as ag
+from probscape.operators import graphs as gr
 from probscape.operators import metadata as md
 
 
@@ -60,3 +62,15 @@ def test_attempts_alone_may_find_too_few(spark):
     few = ag.sample_positions(corpus, chosen, 3, 3, _Still(), fill=False)
     assert rows(few.select("mat_id", "row", "col")) == [(2, 1, 1)]
     assert ag.sample_positions(corpus, chosen, 3, 3, _Still()).count() == 6
+
+
+def test_position_tables_are_dealt_and_not_broadcast(spark):
+    heads = spark.range(3000).selectExpr("concat('g', id) AS graph", "20 AS n", "3 AS k")
+    edges = spark.createDataFrame([("g1", 1, 2, 950.0), ("g1", 2, 1, 1.0), ("g1", 25, 2, 950.0)], "graph string, i int, j int, w double")
+    parts = gr.cell_parts(heads)
+    assert parts >= 3
+    c = gr.graph_to_problem(heads.limit(3), edges, "FAP")
+    joined = catalog._as_rows(Corpus(c.problems, c.blocks, c.rhs, c.entries.limit(0)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in joined
+    assert gr._cells(gr._each(heads, "j"), 7).rdd.getNumPartitions() == 7
+    assert c.entries.where("block_id = 1 AND instance = 'g1'").count() == 20 * 20 - 22
