@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probscape.common import DataError, collect_model, ratio
+from probscape.common import DataError, collect_model, keep, ratio
 from probscape.functions.model import box_cox, fit_box_cox, fit_zscore
 from probscape.operators.geometry import point_in_polygon, polygon_area
 from probscape.operators.nearest import nearest_k
@@ -72,9 +72,11 @@ def performance_transform(df: DataFrame, algos: Sequence[str], ids: Sequence[str
     loss = df.select(*ids, *[c.alias(a) for a, c in relative_loss(algos).items()])
     low = loss.agg(*[F.min(a).alias(a) for a in algos]).first()
     moved = loss.select(*ids, *[(F.col(a) - low[a] + EPS).alias(a) for a in algos])
-    lam = fit_box_cox(moved, list(algos))
+    held = keep(moved.select(*algos))  # read once per round of the search
+    lam = fit_box_cox(held, list(algos))
+    z = fit_zscore(held.select(*[box_cox(F.col(a), lam[a]).alias(a) for a in algos]), list(algos))
+    held.unpersist()
     bent = moved.select(*ids, *[box_cox(F.col(a), lam[a]).alias(a) for a in algos])
-    z = fit_zscore(bent, list(algos))
     return bent.select(*ids, *[((F.col(a) - z[a][0]) / z[a][1]).alias(a) for a in algos])
 
 

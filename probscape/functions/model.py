@@ -83,19 +83,57 @@ def shifted(df: DataFrame, shifts: Mapping[str, tuple[float, float, float]], ids
     return df.select(*ids, *[clip_shift(F.col(f"`{c}`").cast("double"), *v).alias(c) for c, v in shifts.items()])
 
 
+def _box_cox_moments(grid: Sequence[tuple[str, list[float]]]):
+    """Per column and exponent of a task's rows: count, mean and squared deviations of Box-Cox values, Σ ln t, extremes of t."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple[str, float], list[float]] = {}
+        for batch in batches:
+            for (name, lams), column in zip(grid, batch.columns, strict=True):
+                t = column.drop_null().to_numpy(zero_copy_only=False)
+                if not len(t):
+                    continue
+                with np.errstate(all="ignore"):
+                    ln = np.log(t)
+                    extra = (float(ln.sum()), float(t.min()), float(t.max()))
+                    for lam in lams:
+                        y = ln if lam == 0 else (np.power(t, lam) - 1.0) / lam
+                        n, mean = len(y), y.mean()
+                        m2 = np.square(y - mean).sum()
+                        if (name, lam) not in kept:
+                            kept[name, lam] = [n, mean, m2, *extra]
+                            continue
+                        own = kept[name, lam]
+                        total, off = own[0] + n, mean - own[1]
+                        own[2] += m2 + off * off * own[0] * n / total
+                        own[1] += off * n / total
+                        own[0], own[3] = total, own[3] + extra[0]
+                        own[4], own[5] = min(own[4], extra[1]), max(own[5], extra[2])
+        if kept:
+            columns = [*zip(*kept), *zip(*kept.values())]
+            kinds = [pa.string(), pa.float64(), pa.int64(), *[pa.float64()] * 5]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["feature", "lambda", "n", "mean", "m2", "s", "lo", "hi"])
+
+    return run
+
+
 def box_cox_profile(positive: DataFrame, grid: Mapping[str, Sequence[float]]) -> DataFrame:
     """Profile log-likelihood ``(feature, lambda, ll)`` of positive columns over a grid of exponents.
 
-    −n/2·ln var(y) + (λ − 1)·Σ ln t.  A row is expanded over the grid inside the scan stage
-    and summed map-side; only one partial row per (feature, λ) is shuffled.
+    −n/2·ln var(y) + (λ − 1)·Σ ln t.  A task takes its batches through the grid as arrays and hands on one
+    row of moments per (feature, λ); those of all tasks are merged around the common mean.
     """
     cols = list(grid)
-    lams = F.create_map(*[x for c in cols for x in (F.lit(c), F.array(*[F.lit(float(v)) for v in grid[c]]))])
-    long = unpivot(positive, cols, "feature", "t").where(F.col("t").isNotNull())
-    tried = long.select("feature", F.ln("t").alias("ln_t"), "t", F.explode(F.element_at(lams, F.col("feature"))).alias("lambda"))
-    sums = tried.groupBy("feature", "lambda").agg(
-        F.var_pop(box_cox(F.col("t"), F.col("lambda"))).alias("v"), F.sum("ln_t").alias("s"), F.count(F.lit(1)).alias("n"),
-        (F.max("t") > F.min("t")).alias("varies"),
+    moments = positive.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).mapInArrow(
+        _box_cox_moments([(c, list(map(float, grid[c]))) for c in cols]),
+        "feature string, lambda double, n long, mean double, m2 double, s double, lo double, hi double",
+    )
+    whole = Window.partitionBy("feature", "lambda")
+    mean = F.sum(F.col("n") * F.col("mean")).over(whole) / F.sum("n").over(whole)
+    sums = moments.withColumn("off", F.col("mean") - mean).groupBy("feature", "lambda").agg(
+        (F.sum(F.col("m2") + F.col("n") * F.col("off") * F.col("off")) / F.sum("n")).alias("v"), F.sum("s").alias("s"), F.sum("n").alias("n"),
+        (F.max("hi") > F.min("lo")).alias("varies"),
     )
     ll = F.when(F.col("varies") & (F.col("v") > 0), -F.col("n") / 2 * F.ln("v") + (F.col("lambda") - 1) * F.col("s"))
     return sums.select("feature", "lambda", ll.alias("ll"))

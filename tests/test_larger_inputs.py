@@ -3,6 +3,7 @@
 from functools import reduce
 from operator import add
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from probscape.catalog import QUERIES
 from probscape.catalog import augment as catalog
 from probscape.functions.draws import HashDraws
 from probscape.functions.features import Corpus
+from probscape.functions.model import box_cox_profile
 from probscape.operators import augment as ag
 from probscape.operators import graphs as gr
 from probscape.operators import metadata as md
@@ -74,3 +76,18 @@ def test_position_tables_are_dealt_and_not_broadcast(spark):
     assert "strategy=merge" in joined
     assert gr._cells(gr._each(heads, "j"), 7).rdd.getNumPartitions() == 7
     assert c.entries.where("block_id = 1 AND instance = 'g1'").count() == 20 * 20 - 22
+
+
+def test_likelihoods_leave_a_task_as_moments(spark):
+    t = [1.0 + (i * i % 97) / 7 for i in range(500)]
+    df = spark.createDataFrame([(x, None if i % 5 else x * 1e6) for i, x in enumerate(t)], "x double, y double")
+    grid = {"x": [-2.0, 0.0, 0.5], "y": [1.0]}
+    for parts in (1, 7):
+        found = box_cox_profile(df.repartition(parts), grid)
+        assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r["feature"], r["lambda"]): r["ll"] for r in found.collect()}
+        for name, lams in grid.items():
+            v = np.array(t if name == "x" else [x * 1e6 for i, x in enumerate(t) if i % 5 == 0])
+            for lam in lams:
+                y = np.log(v) if lam == 0 else (v ** lam - 1) / lam
+                assert got[name, lam] == pytest.approx(-len(v) / 2 * np.log(y.var()) + (lam - 1) * np.log(v).sum(), rel=1e-12)
