@@ -6,6 +6,7 @@ Entries are taken as a mapping from coordinate to value, one row per coordinate
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +26,8 @@ SCALE_STD, PERTURB_STD, NEW_STD = 0.4, 0.2, 0.3
 TAKE_C, TAKE_A, NEW_ENTRIES = 6, 8, 3
 MIX_LO, MIX_HI = 0.25, 0.75
 ATTEMPTS = 50
+#: Rows of a task, about, where nothing is combined before the shuffle.
+TASK_ROWS = 1_000_000
 
 
 def _k(*names: str) -> list[Column]:
@@ -32,9 +35,13 @@ def _k(*names: str) -> list[Column]:
 
 
 def unique_entries(entries: DataFrame) -> DataFrame:
-    """One row per coordinate.  Tables have no file order, so the largest value is kept."""
+    """One row per coordinate.  Tables have no file order, so the largest value is kept.
+
+    Few coordinates repeat, so rows are dealt by their number, ``TASK_ROWS`` to a task.
+    """
+    parts = max(entries.sparkSession.sparkContext.defaultParallelism, math.ceil(entries.count() / TASK_ROWS))
     folded = entries.withColumns({"row": F.least("row", "col"), "col": F.greatest("row", "col")})
-    return folded.groupBy(*COORD).agg(F.max("value").alias("value"))
+    return folded.repartition(parts, *COORD).groupBy(*COORD).agg(F.max("value").alias("value"))
 
 
 def choose_matrix(problems: DataFrame, draws: Draws | None = None, label: str = "mat") -> DataFrame:

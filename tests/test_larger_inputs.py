@@ -91,3 +91,16 @@ def test_likelihoods_leave_a_task_as_moments(spark):
             for lam in lams:
                 y = np.log(v) if lam == 0 else (v ** lam - 1) / lam
                 assert got[name, lam] == pytest.approx(-len(v) / 2 * np.log(y.var()) + (lam - 1) * np.log(v).sum(), rel=1e-12)
+
+
+def test_entries_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(ag, "TASK_ROWS", 100)
+    places = [("a", 1, 1, i % 30, i % 40, float(i)) for i in range(1200)]
+    entries = spark.createDataFrame(places, "instance string, mat_id int, block_id int, row int, col int, value double")
+    found = ag.unique_entries(entries)
+    assert found.rdd.getNumPartitions() == 12
+    best = {}
+    for i in range(1200):
+        place = (min(i % 30, i % 40), max(i % 30, i % 40))
+        best[place] = max(best.get(place, 0.0), float(i))
+    assert {(r["row"], r["col"]): r["value"] for r in found.collect()} == best
