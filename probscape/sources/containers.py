@@ -8,9 +8,10 @@ A packed variable is unpacked as a stream up to the range; nothing of it is held
 from __future__ import annotations
 
 import io
+import math
 import struct
 import zlib
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,13 +19,16 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from probscape.common import DataError
+from probscape.common import DataError, cut
 from probscape.functions.features import KEY, Corpus
 from probscape.sources.corpus import cone_blocks, vec_to_block
 
 #: Entries of a range, about, and entries that are handed on at a time.
 RANGE_ENTRIES, CHUNK = 4_000_000, 1 << 18
+#: Ranges that a task reads, about, and splits of the file listing whose heads go to one task.
+TASK_RANGES, TASK_SPLITS = 1024, 8
 _PIECE = 1 << 20
 
 # Fixed values of the format: numeric types, the types of elements, and the classes of matrices.
@@ -246,11 +250,12 @@ def container_variables(spark: SparkSession, folder: str) -> DataFrame:
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for path in batch.column(0).to_pylist():
                 with _open(path) as file:
-                    found = [(path, h.name, h.kind, h.rows, h.cols, h.entries, at, packed) for h, at, packed in heads(file)]
-                if found:
-                    yield pa.RecordBatch.from_pylist([dict(zip([c.split()[0] for c in _HEADS.split(", ")], r, strict=True)) for r in found], schema=_SCHEMA)
+                    found += [(path, h.name, h.kind, h.rows, h.cols, h.entries, at, packed) for h, at, packed in heads(file)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), _SCHEMA)], schema=_SCHEMA)
 
     return listed.mapInArrow(read, _HEADS)
 
@@ -260,27 +265,56 @@ _SCHEMA = pa.schema([
     ("at", pa.int64()), ("packed", pa.bool_())])
 
 
-def container_entries(variables: DataFrame, range_entries: int = RANGE_ENTRIES) -> DataFrame:
+def container_entries(variables: DataFrame, range_entries: int = RANGE_ENTRIES, carry: Sequence[str] = ("path", "variable")) -> DataFrame:
     """``path, variable, row, col, value`` (0-based) of the non-zeros of numeric variables, by ranges of columns.
 
     A range has about ``range_entries`` entries if they are spread evenly, and at least one column; a range
-    is read in chunks, however many it has."""
+    is read in chunks, however many it has. Ranges are dealt to tasks by their number and entries, not by the bytes of
+    their list; those of a file's small variables go to one task, which opens the file once. ``carry`` names the
+    columns of ``variables`` that every entry gets."""
     parts = F.least(F.greatest(F.lit(1), F.ceil(F.col("entries") / range_entries)), F.greatest(F.lit(1), F.col("cols")))
     ranges = variables.where(F.col("kind").isin(_SPARSE, *_NUMERIC) & (F.col("cols") > 0)).withColumn("parts", parts.cast("long"))
+    size = ranges.agg(F.sum("parts").alias("ranges"), F.sum("entries").alias("entries")).first()
     ranges = ranges.withColumn("k", F.explode(F.expr("sequence(0, parts - 1)"))).selectExpr(
-        "path", "variable", "at", "packed", "cols * k DIV parts AS first", "cols * (k + 1) DIV parts AS last")
-    spread = ranges.repartition("path", "variable", "first")
+        "struct(" + ", ".join(f"`{c}`" for c in carry) + ") AS own", "path", "at", "packed", "k", "cols * k DIV parts AS first", "cols * (k + 1) DIV parts AS last")
+    spread = ranges.repartition(_tasks(variables.sparkSession, (size["ranges"] or 0) / TASK_RANGES, (size["entries"] or 0) / range_entries), "path", "k")
+    spread = spread.sortWithinPartitions("path", "at", "first")
+    schema = variables.select(*carry).schema.add("row", "long").add("col", "long").add("value", "double")
+    kinds = to_arrow_schema(schema)
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                with _open(r["path"]) as file:
+        held, count, path, file = [], 0, None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.Table.from_batches(held, kinds).combine_chunks().to_batches()[0]
+
+        try:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if r["path"] != path:
+                        if file is not None:
+                            file.close()
+                        path, file = r["path"], _open(r["path"])
                     for rows, cols, values in entries(file, r["at"], r["packed"], r["first"], r["last"]):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([r["path"]] * len(rows)), pa.array([r["variable"]] * len(rows)), pa.array(rows), pa.array(cols), pa.array(values)],
-                            ["path", "variable", "row", "col", "value"])
+                        if not len(rows):
+                            continue
+                        same = [pa.repeat(pa.scalar(r["own"][c], kinds.field(c).type), len(rows)) for c in carry]
+                        held.append(pa.RecordBatch.from_arrays([*same, pa.array(rows), pa.array(cols), pa.array(values)], schema=kinds))
+                        count += len(rows)
+                        if count >= CHUNK:
+                            yield out()
+                            held, count = [], 0
+        finally:
+            if file is not None:
+                file.close()
+        if held:
+            yield out()
+
+    return spread.mapInArrow(read, schema)
+
 
-    return spread.mapInArrow(read, "path string, variable string, row long, col long, value double")
+def _tasks(spark: SparkSession, *wanted: float) -> int:
+    return max(spark.sparkContext.defaultParallelism, *map(math.ceil, wanted))
 
 
 def container_cones(variables: DataFrame, name: str = "K") -> DataFrame:
@@ -288,10 +322,12 @@ def container_cones(variables: DataFrame, name: str = "K") -> DataFrame:
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("path", pa.string()), *((c, pa.list_(pa.float64())) for c in "flqrs")])
         for batch in batches:
+            made = []
             for r in batch.to_pylist():
                 with _open(r["path"]) as file:
                     found = fields(file, r["at"], r["packed"])
-                yield pa.RecordBatch.from_pylist([{"path": r["path"], **{c: found.get(c) for c in "flqrs"}}], schema=kinds)
+                made.append({"path": r["path"], **{c: found.get(c) for c in "flqrs"}})
+            yield pa.RecordBatch.from_pylist(made, schema=kinds)
 
     own = variables.where((F.col("variable") == name) & (F.col("kind") == _STRUCT)).select("path", "at", "packed")
     return own.mapInArrow(read, "path string, " + ", ".join(f"{c} array<double>" for c in "flqrs"))
@@ -303,23 +339,26 @@ def read_containers(spark: SparkSession, folder: str, instance=None) -> Corpus:
     ``instance`` is an expression over ``path`` (the file's bare name without its suffix unless given).  Constraint
     matrices may lie either way; the right-hand side tells which.  A container without ``K`` or ``b`` is an error."""
     name = F.regexp_extract("path", r"([^/]*)\.mat$", 1) if instance is None else instance
-    variables = container_variables(spark, folder).withColumn(KEY, name)
+    # heads are read once, whatever reads them later; a file has a few, so many files' heads fit a task
+    made = container_variables(spark, folder).withColumn(KEY, name)
+    variables = cut(made.repartition(_tasks(spark, made.rdd.getNumPartitions() / TASK_SPLITS), "path"))
     per = variables.groupBy("path", KEY).agg(
         F.max(F.when(F.col("variable") == "b", F.col("rows") * F.col("cols"))).alias("m"), F.max((F.col("variable") == "K").cast("int")).alias("cones"),
         F.max((F.col("variable") == "At").cast("int")).alias("turned"))
     missing = F.raise_error(F.concat(F.lit("container without K or b: "), F.col("path"))).cast("bigint")
     per = per.select("path", KEY, F.when(F.col("m").isNull() | (F.col("cones") == 0), missing).otherwise(F.col("m")).alias("m"), "turned")
-    blocks = cone_blocks(container_cones(variables).join(per.select("path", KEY), "path"))
-    shape = variables.where("variable IN ('A', 'At')").select("path", F.col("variable"), F.col("rows").alias("height"))
-    read = container_entries(variables.where("variable IN ('A', 'At', 'b', 'c', 'C')")).join(per, "path").join(shape, ["path", "variable"], "left")
+    blocks = cut(cone_blocks(container_cones(variables).join(per.select("path", KEY), "path")))
+    # what an entry means follows from its variable, so it is known before any is read
+    by_row = (F.col("variable") == "A") & (F.col("rows") == F.col("m"))
+    wanted = variables.where("variable IN ('A', 'At', 'b', 'c', 'C')").drop(KEY).join(per, "path").withColumn("by_row", by_row)
+    read = container_entries(wanted.where("NOT (variable = 'A' AND turned = 1)"), carry=(KEY, "variable", "by_row"))
     rhs = read.where("variable = 'b'").select(KEY, (F.greatest("row", "col") + 1).cast("int").alias("mat_id"), F.col("value").alias("b"))
     every = per.select(KEY, F.explode(F.expr("sequence(1, cast(m AS int))")).alias("mat_id"))
     rhs = every.join(rhs, [KEY, "mat_id"], "left").select(KEY, "mat_id", F.coalesce("b", F.lit(0.0)).alias("b"))
-    by_row = (F.col("variable") == "A") & (F.col("height") == F.col("m"))
     objective = F.col("variable").isin("c", "C")
-    mat = F.when(objective, F.lit(0)).when(by_row, F.col("row") + 1).otherwise(F.col("col") + 1).cast("int")
-    idx = F.when(objective, F.greatest("row", "col")).when(by_row, F.col("col")).otherwise(F.col("row"))
-    vec = read.where("variable <> 'b' AND NOT (variable = 'A' AND turned = 1)").select(KEY, mat.alias("mat_id"), idx.alias("idx"), "value")
+    mat = F.when(objective, F.lit(0)).when(F.col("by_row"), F.col("row") + 1).otherwise(F.col("col") + 1).cast("int")
+    idx = F.when(objective, F.greatest("row", "col")).when(F.col("by_row"), F.col("col")).otherwise(F.col("row"))
+    vec = read.where("variable <> 'b'").select(KEY, mat.alias("mat_id"), idx.alias("idx"), "value")
     problems = per.join(blocks.groupBy(KEY).agg(F.count(F.lit(1)).cast("int").alias("n_blocks")), KEY).select(KEY, F.col("m").cast("int").alias("m"), "n_blocks")
     placed = vec_to_block(vec, blocks).select(KEY, "mat_id", "block_id", "row", "col", "value")
     return Corpus(problems, blocks, rhs, placed)
@@ -362,21 +401,43 @@ def write_containers(vec: DataFrame, folder: str, height: int, rhs: int, cones:
     """Write ``<folder>/<instance>.mat`` from ``(instance, mat_id, idx, value)``, all with the same cones: ``path`` of every file.
 
     A file is one task's work, so an instance has to fit one; matrix 0 is the objective, ``b`` is 1, 2, ... ``rhs``."""
-    def written(pdf):
-        import pandas as pd
+    base = folder.rstrip("/")
 
-        name = f"{folder.rstrip('/')}/{pdf[KEY].iloc[0]}.mat"
-        pdf = pdf.sort_values(["mat_id", "idx"])
-        own = pdf[pdf["mat_id"] > 0]
-        ends = np.concatenate(([0], np.cumsum(np.bincount(own["mat_id"] - 1, minlength=rhs))))
+    def data(mat: np.ndarray, idx: np.ndarray, value: np.ndarray) -> bytes:
+        own, goal = mat > 0, mat == 0
+        ends = np.concatenate(([0], np.cumsum(np.bincount(mat[own] - 1, minlength=rhs))))
         c = np.zeros(height)
-        c[pdf.loc[pdf["mat_id"] == 0, "idx"]] = pdf.loc[pdf["mat_id"] == 0, "value"]
-        data = container_bytes({
-            "K": cones, "b": np.arange(1.0, rhs + 1), "c": c, "At": (height, own["idx"].to_numpy(), ends, own["value"].to_numpy())}, packed)
-        system, where = _place(name)
-        system.create_dir(where.rsplit("/", 1)[0], recursive=True)
-        with system.open_output_stream(where) as out:
-            out.write(data)
-        return pd.DataFrame({"path": [name]})
-
-    return vec.select(KEY, "mat_id", "idx", F.col("value").cast("double").alias("value")).groupBy(KEY).applyInPandas(written, "path string")
+        c[idx[goal]] = value[goal]
+        return container_bytes({"K": cones, "b": np.arange(1.0, rhs + 1), "c": c, "At": (height, idx[own], ends, value[own])}, packed)
+
+    def written(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, where = _place(base)
+        system.create_dir(where, recursive=True)
+
+        def write(name: str, parts: list[list[np.ndarray]]) -> str:
+            with system.open_output_stream(f"{where}/{name}.mat") as out:
+                out.write(data(*(np.concatenate(x) for x in zip(*parts))))
+            return f"{base}/{name}.mat"
+
+        last, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(0).dictionary_encode()
+            code = names.indices.to_numpy()
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)]
+            edges = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+            paths = []
+            for first, stop in zip(edges, edges[1:]):
+                name = names.dictionary[int(code[first])].as_py()
+                if held and name != last:
+                    paths.append(write(last, held))
+                    held = []
+                last = name
+                held.append([c[first:stop] for c in columns])
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([write(last, held)], pa.string())], ["path"])
+
+    rows = vec.where("mat_id >= 0").select(F.coalesce(KEY, F.lit("None")).alias(KEY), F.col("mat_id").cast("long").alias("mat_id"), F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value"))
+    return rows.repartition(KEY).sortWithinPartitions(KEY, "mat_id", "idx").mapInArrow(written, "path string")

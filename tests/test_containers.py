@@ -108,3 +108,20 @@ def test_audit_of_containers(spark, tmp_path):
     assert got == {
         "s.mat": ("sedumi-mat", True, True), "l.mat": ("sedumi-mat", True, False), "t.mat": ("sdpt3-mat", True, True), "n.mat": ("matlab-mat", False, None),
         "other.mat": ("matlab-mat", False, None)}
+
+
+def test_ranges_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """Many small containers are read by many tasks, each opened once for all its variables, and heads are read once."""
+    monkeypatch.setattr(ct, "TASK_RANGES", 10)
+    rows = [(f"i{i % 30}", i % 4, i // 60, float(i + 1)) for i in range(600)]
+    vec = spark.createDataFrame(rows, "instance string, mat_id int, idx int, value double")
+    assert ct.write_containers(vec, str(tmp_path), 10, 3, {"l": [10.0]}).count() == 30
+    variables = ct.container_variables(spark, str(tmp_path))
+    found = ct.container_entries(variables)
+    assert found.rdd.getNumPartitions() == 9 and found.groupBy("variable").count().count() == 3
+    assert "binaryFile" not in ct.read_containers(spark, str(tmp_path)).entries._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for name, mat, idx, value in rows:
+        want[name, mat, idx + 1] = value
+    got = ct.read_containers(spark, str(tmp_path)).entries.collect()
+    assert {(r["instance"], r["mat_id"], r["row"]): r["value"] for r in got} == want and len(got) == len(want)
