@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import os
+import re
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -319,9 +325,59 @@ def export_corpus(corpus: Corpus, path: str, partitions: int | None = None) -> N
     order = [KEY, "section", "mat_id", "block_id", "row", "col"]
     lines = render_corpus(corpus)
     spread = lines.repartitionByRange(partitions, *order) if partitions else lines.repartitionByRange(*order)
-    spread.sortWithinPartitions(*order).select(KEY, F.col("line").alias("value")).write.mode(
-        "overwrite"
-    ).partitionBy(KEY).text(path)
+    ready = spread.sortWithinPartitions(*order).select(KEY, F.col("line").alias("value"))
+    folder = _plain_folder(path)
+    if folder is None:
+        ready.write.mode("overwrite").partitionBy(KEY).text(path)
+        return
+    ready.sparkSession.createDataFrame([], "value string").write.mode("overwrite").text(path)
+    ready.mapInArrow(_write_parts(folder), "lines long").agg(F.sum("lines")).collect()
+
+
+def _plain_folder(path: str) -> str | None:
+    """The folder in the file tree that all executors share, if ``path`` names one, else None (another file system)."""
+    return path.removeprefix("file://").removeprefix("file:") if path.startswith(("/", "file:/")) else None
+
+
+def _write_parts(folder: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes a task's ``(instance, value)`` rows, sorted by instance, as ``instance=X/part-<task>``; gives the number of lines.
+
+    In a file tree the table writer spends most of its time on the permissions, checksum and renames of each small
+    file. A part is renamed when it is whole, so a task that is tried again replaces its own parts only."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId()
+        last, out, lines = None, None, 0
+
+        def done() -> None:
+            if out is not None:
+                out.close()
+                os.replace(out.name, f"{os.path.dirname(out.name)}/part-{number:06d}.txt")
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(0).dictionary_encode(null_encoding="encode")
+            code = names.indices.to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+            for first, stop in zip(edges, edges[1:]):
+                name = _folder_name(names.dictionary[int(code[first])].as_py())
+                if name != last:
+                    done()
+                    os.makedirs(f"{folder}/{name}", exist_ok=True)
+                    last, out = name, open(f"{folder}/{name}/.part-{number:06d}-{uuid.uuid4().hex}", "w", encoding="utf-8", newline="")
+                values = batch.column(1).slice(first, stop - first).to_pylist()
+                out.write("\n".join(v or "" for v in values) + "\n")
+                lines += len(values)
+        done()
+        yield pa.RecordBatch.from_arrays([pa.array([lines], pa.int64())], ["lines"])
+
+    return run
+
+
+def _folder_name(value: str | None) -> str:
+    """``instance=X`` as a partitioned table names it."""
+    escaped = re.sub(r"""["#%'*/:=?\\\x7f{\[\]^\x01-\x1f]""", lambda m: f"%{ord(m.group()):02X}", value or "__HIVE_DEFAULT_PARTITION__")
+    return f"{KEY}={escaped}"
 
 
 # ------------------------------------------------------------------------------ choosing

@@ -216,3 +216,22 @@ def test_opaque_frames_are_per_instance(spark, folder):
     reg = FeatureRegistry()
     reg.register_opaque("n", ["feature_n"], lambda pdf: {"feature_n": float(pdf["instance"].nunique() if isinstance(pdf, pd.DataFrame) else 0)})
     assert {r["feature_n"] for r in build_features(c, ["feature_n"], reg).collect()} == {1.0}
+
+
+def test_exported_parts(spark, tmp_path):
+    """A folder for each instance under its escaped name, without files of the table writer, and nothing left of an older export."""
+    c = cp.Corpus(
+        spark.createDataFrame([("a/b c%", 1, 1), ("p", 1, 1)], "instance string, m int, n_blocks int"),
+        spark.createDataFrame([("a/b c%", 1, 3), ("p", 1, 2)], "instance string, block_id int, size int"),
+        spark.createDataFrame([("a/b c%", 1, 2.0), ("p", 1, 1.0)], "instance string, mat_id int, b double"),
+        spark.createDataFrame([("a/b c%", 1, 1, 1, i, 1.0 + i) for i in (1, 2, 3)], "instance string, mat_id int, block_id int, row int, col int, value double"),
+    )
+    out = tmp_path / "out"
+    (out / "instance=old").mkdir(parents=True)
+    (out / "instance=old" / "part-0.txt").write_text("1\n")
+    cp.export_corpus(c, str(out), partitions=2)
+    parts = sorted(p for p in out.glob("instance=*/*"))
+    assert {p.parent.name for p in parts} == {"instance=a%2Fb c%25", "instance=p"} and not [p for p in out.glob("instance=*/.*")]
+    text = "".join(p.read_text() for p in parts if "%2F" in p.parent.name)
+    assert text.splitlines() == ["1", "1", "3", "2.0", "1 1 1 1 2.0", "1 1 1 2 3.0", "1 1 1 3 4.0"]
+    assert rows(cp.read_problem_corpus(spark, str(out)).entries) == rows(c.entries)
