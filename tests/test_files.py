@@ -4,7 +4,7 @@ import pytest
 
 from probscape.common import DataError
 from probscape.operators.graphs import graph_weight_matrix, plan_conversion, read_graphs
-from probscape.sources.audit import audit_folder, audit_summary
+from probscape.sources.audit import audit_folder, audit_summary, classify_graph_text
 
 
 @pytest.fixture()
@@ -62,3 +62,21 @@ def test_conversion_switches(spark):
     there = spark.createDataFrame([("FAP/b.mat",), ("FAP/a.mat",)], "path string")
     assert plan(there)["FAP/b.mat"] == "exists" and plan(there)["FAP/a.dat"] == "skipped"
     assert plan(there, overwrite=True)["FAP/b.mat"] == "copied"
+
+
+def test_graph_lines_are_taken_apart_once(spark):
+    """Headers that look like rows, rows that repeat them, text, and lines that are no rows, in one pass behind the headers' places."""
+    texts = {
+        "a.dat": ["# c", "3 9 2", "1 2 1.0", "some words", "3 9 2x", "2 3 1d0"], "b.dat": ["3 9 2", "3 9 2", "1 2 1"], "c.dat": ["5 1", "x", "+2. 1 .5"],
+        "d.dat": ["0 1 1", "1 1 1"], "e.dat": ["5 2 1 1", "1 1 1"], "f.dat": ["5 2 x", "1 1 1"], "g.dat": ["4 1", "inf 1 1", "1 1"], "h.dat": ["4 0"], "i.dat": ["9 9 9", "0 1 1"]}
+    lines = spark.createDataFrame([(p, i, x) for p, t in texts.items() for i, x in enumerate(t)], "path string, line_no long, line string")
+    found = classify_graph_text(lines)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(") == 1
+    got = {r["path"][0]: r["v"]["reason"] for r in found.collect()}
+    bad, size, none, good = (
+        "entry index outside header dimensions", "invalid DIMACS dimensions", "no valid DIMACS data rows found",
+        "numeric DIMACS data file; not a solver-ready SDP formulation")
+    text = "header is not DIMACS numeric data"
+    assert got == {"a": good, "b": bad, "c": good, "d": size, "e": text, "f": text, "g": none, "h": good, "i": bad}
+    few = {r["path"][0]: r["v"]["reason"] for r in classify_graph_text(lines, checked_rows=1).collect()}
+    assert few == got
