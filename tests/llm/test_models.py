@@ -59,6 +59,27 @@ def test_ranking_follows_preferences():
     assert ((model.scores(rows) >= quality.PASS) == (label == 1)).mean() > 0.97
 
 
+def test_pair_sums_are_those_of_all_pairs():
+    rng = np.random.default_rng(5)
+    good, poor, w = rng.normal(size=(7, quality.FEATURES)), rng.normal(size=(4, quality.FEATURES)), rng.normal(size=quality.FEATURES) / 9
+    gap = (good[:, None] - poor).reshape(-1, quality.FEATURES)
+    win = 1 / (1 + np.exp(-gap @ w))
+    loss, slope, bend = quality.pair_sums(good, poor, w)
+    assert np.isclose(loss, -np.log(win).sum()) and np.allclose(slope, -gap.T @ (1 - win))
+    assert np.allclose(bend, (gap * (win * (1 - win))[:, None]).T @ gap)
+
+
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    """No cap on labelled rows; buckets and parts do not change what is good."""
+    docs = spark.range(20_500).selectExpr("id AS doc_id", "concat(CASE WHEN id % 5 = 0 THEN '$$ ## 77 || ' ELSE 'plain words here ' END, id, ' end.') AS text")
+    labels = spark.range(20_500).selectExpr("id AS doc_id", "int(id % 5 > 0) AS quality")
+    monkeypatch.setattr(quality, "PART_ROWS", 50)
+    model = quality.train(docs, labels)
+    assert model.rows == 20_500
+    found = quality.quality_scores(docs, labels, model).join(labels, "doc_id")
+    assert found.where("predicted <> quality").count() < 20
+
+
 # --- language model --------------------------------------------------------------------------
 
 
