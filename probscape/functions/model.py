@@ -182,11 +182,23 @@ def fit_box_cox(
 
 
 def fit_zscore(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Mean and sample deviation per column; a deviation of 0 (or of one row) counts as 1."""
+    """Mean and sample deviation per column; a deviation of 0 (or of one row) counts as 1.
+
+    Merging the moments of tasks can leave a constant column a deviation of about 1e-16, so its extremes tell it.
+    """
     row = df.agg(
-        *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)], *[F.stddev_samp(c).alias(f"s_{i}") for i, c in enumerate(cols)]
+        *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)], *[F.stddev_samp(c).alias(f"s_{i}") for i, c in enumerate(cols)],
+        *_extremes(cols),
     ).first()
-    return {c: (row[f"m_{i}"], row[f"s_{i}"] or 1.0) for i, c in enumerate(cols)}
+    return {c: (row[f"m_{i}"], 1.0 if _is_constant(row, i) else row[f"s_{i}"] or 1.0) for i, c in enumerate(cols)}
+
+
+def _extremes(cols: Sequence[str]) -> list[Column]:
+    return [f(c).alias(f"{n}_{i}") for i, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max))]
+
+
+def _is_constant(row, i: int) -> bool:
+    return row[f"lo_{i}"] == row[f"hi_{i}"]
 
 
 def fit_normalisation(df: DataFrame, cols: Sequence[str]) -> Model:
@@ -448,10 +460,10 @@ def ridge_map(df: DataFrame, features: Sequence[str], ridge: float = RIDGE) -> R
     cols = list(features)
     row = df.agg(
         *[F.avg(c).alias(f"m{i}") for i, c in enumerate([*cols, "z_1", "z_2"])],
-        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)],
+        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)], *_extremes(cols),
     ).first()
     mean = [row[f"m{i}"] for i in range(len(cols))]
-    scale = [1.0 if row[f"s{i}"] < LEAST_SCALE else row[f"s{i}"] for i in range(len(cols))]
+    scale = [1.0 if _is_constant(row, i) or row[f"s{i}"] < LEAST_SCALE else row[f"s{i}"] for i in range(len(cols))]
     zm = (row[f"m{len(cols)}"], row[f"m{len(cols) + 1}"])
     centred = df.select(
         *[((F.col(c) - mean[i]) / scale[i]).alias(c) for i, c in enumerate(cols)],

@@ -12,7 +12,7 @@ from probscape.catalog import QUERIES
 from probscape.catalog import augment as catalog
 from probscape.functions.draws import HashDraws
 from probscape.functions.features import Corpus
-from probscape.functions.model import box_cox_profile
+from probscape.functions.model import box_cox_profile, fit_zscore, ridge_map
 from probscape.operators import augment as ag
 from probscape.operators import graphs as gr
 from probscape.operators import metadata as md
@@ -104,3 +104,12 @@ def test_entries_are_dealt_by_their_number(spark, monkeypatch):
         place = (min(i % 30, i % 40), max(i % 30, i % 40))
         best[place] = max(best.get(place, 0.0), float(i))
     assert {(r["row"], r["col"]): r["value"] for r in found.collect()} == best
+
+
+def test_a_constant_column_has_no_deviation(spark):
+    """Merging the moments of two tasks of 49 rows leaves 2.0 a deviation of about 1e-16."""
+    df = spark.range(98, numPartitions=2).selectExpr("2.0D AS flat", "1e6D + 0.1D AS large", "id * 1.0D AS x", "id * 1.0D AS z_1", "id * 2.0D AS z_2")
+    found = fit_zscore(df, ["flat", "large", "x"])
+    assert found["flat"] == (2.0, 1.0) and found["large"][1] == 1.0
+    assert found["x"] == (48.5, pytest.approx(np.std(np.arange(98), ddof=1), rel=1e-12))
+    assert ridge_map(df, ["flat", "large", "x"]).scale[:2] == (1.0, 1.0)
