@@ -49,50 +49,110 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def step(w: Weights, x: np.ndarray, h: np.ndarray):
-    """The next state, and what its gradient needs."""
-    u = h @ w["state"]
-    gates = _sigmoid(x[:, : 2 * STATE] + u[:, : 2 * STATE])
-    z, r = gates[:, :STATE], gates[:, STATE:]
-    n = np.tanh(x[:, 2 * STATE:] + r * u[:, 2 * STATE:])
-    return n + z * (h - n), (z, r, n, u[:, 2 * STATE:])
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Probabilities by row, in the place of the logits."""
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+def step(turned: np.ndarray, x: np.ndarray, h: np.ndarray):
+    """The next states, and what their gradient needs: gates and the state's share in the candidate.
+    States and inputs have a column for each run; ``turned`` are the weights of the state, transposed."""
+    u = turned @ h
+    gates = np.empty_like(u)
+    z, r, n = gates[:STATE], gates[STATE: 2 * STATE], gates[2 * STATE:]
+    np.add(x[: 2 * STATE], u[: 2 * STATE], out=gates[: 2 * STATE])
+    _sigmoid(gates[: 2 * STATE])
+    np.multiply(r, u[2 * STATE:], out=n)
+    n += x[2 * STATE:]
+    n *= 2  # tanh(n) = 2 / (1 + exp(-2n)) - 1
+    _sigmoid(n)
+    n *= 2
+    n -= 1
+    after = h - n
+    after *= z
+    after += n
+    return after, gates, u[2 * STATE:]
 
 
 def class_of(ids: np.ndarray) -> np.ndarray:
     return np.where(ids < HEAD, ids // CLASS_WORDS, ids - HEAD + CLASSES)
 
 
-def _groups(classes: np.ndarray):
-    """Row numbers of each class of frequent words that occurs."""
-    order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        if cuts[k] < cuts[k + 1]:
-            yield k, order[cuts[k]: cuts[k + 1]]
+#: Tokens whose logits are worked on at a time, to stay in the processor's cache.
+_TOKENS = 512
+
+
+def _by_class(classes: np.ndarray):
+    """Token numbers in the order of their classes, and for blocks of ``_TOKENS`` of them ``a, b`` and the pieces
+    ``k, from, to`` of each class of frequent words."""
+    order = np.argsort(classes.astype(np.uint8), kind="stable")
+    cuts = np.concatenate(([0], np.cumsum(np.bincount(classes, minlength=CLASSES)[:CLASSES]))).tolist()
+    blocks, k = [], 0
+    for a in range(0, len(order), _TOKENS):
+        b, pieces = min(a + _TOKENS, len(order)), []
+        while k < CLASSES and cuts[k] < b:
+            if cuts[k + 1] > max(a, cuts[k]):
+                pieces.append((k, max(a, cuts[k]), min(b, cuts[k + 1])))
+            if cuts[k + 1] > b:
+                break
+            k += 1
+        blocks.append((a, b, pieces))
+    return order, blocks
+
+
+def _with_bias(w: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of classes and words, their bias as a last column (the states have a last row of ones)."""
+    return np.concatenate((w["class"].T, w["class_bias"][:, None]), 1), np.concatenate((w["word"], w["word_bias"][:, :, None]), 2)
+
+
+#: Logits up to this size need no shift before their exponents: 124 of them neither overflow nor vanish.
+_SAFE = 80.0
+
+
+def _within(weights: np.ndarray, hs: np.ndarray) -> bool:
+    """Whether no logit of states ``hs`` can exceed ``_SAFE``."""
+    high = max(1.0, float(np.abs(hs).max(initial=0)))
+    return float(np.abs(weights).sum(axis=-1).max()) * high <= _SAFE
+
+
+def _exponents(x: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray | float]:
+    """exp(x - top) in the place of the logits (a column for each token), and top."""
+    if safe:
+        return np.exp(x, out=x), 0.0
+    top = x.max(axis=0)
+    x -= top
+    return np.exp(x, out=x), top
+
+
+def _logits(words: np.ndarray, hs: np.ndarray, a: int, pieces) -> np.ndarray:
+    """Logits of the words of each token's class, for a block that begins at token ``a``."""
+    x = np.empty((CLASS_WORDS, pieces[-1][2] - a), np.result_type(words, hs))
+    for k, i, j in pieces:
+        np.matmul(words[k], hs[:, i:j], out=x[:, i - a: j - a])
+    return x
 
 
 def predict(w: Weights, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Log probabilities of ``ids`` after the states ``h``; of a class only for other words."""
-    classes = class_of(ids)
+    """Log probabilities of ``ids`` after the states ``h`` (a row for each); of a class only for other words."""
+    return _predict(_with_bias(w), np.concatenate((h.T, np.ones((1, len(h)), h.dtype))), ids)
 
-    def picked(logits: np.ndarray, column: np.ndarray) -> np.ndarray:
-        chosen = logits[np.arange(len(column)), column]
-        top = logits.max(axis=1)
-        logits -= top[:, None]
-        np.exp(logits, out=logits)
-        return chosen - top - np.log(logits.sum(axis=1))
 
-    out = picked(h @ w["class"] + w["class_bias"], classes)
-    for k, at in _groups(classes):
-        out[at] += picked(h[at] @ w["word"][k].T + w["word_bias"][k], ids[at] % CLASS_WORDS)
+def _predict(weights: tuple[np.ndarray, np.ndarray], hs: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """``predict`` with a column for each state, the last row ones."""
+    classes = class_of(ids)
+    order, blocks = _by_class(classes)
+    hs, classes, column = np.take(hs, order, 1, mode="clip"), classes[order], ids[order] % CLASS_WORDS
+
+    safe = all(_within(x, hs) for x in weights)
+
+    def picked(logits: np.ndarray, row: np.ndarray) -> np.ndarray:
+        chosen = logits[row, np.arange(len(row))]
+        e, top = _exponents(logits, safe)
+        return chosen - top - np.log(e.sum(axis=0))
+
+    found = np.empty(len(ids), hs.dtype)
+    for a, b, pieces in blocks:
+        found[a:b] = picked(weights[0] @ hs[:, a:b], classes[a:b])
+        if pieces:
+            end = pieces[-1][2]
+            found[a:end] += picked(_logits(weights[1], hs, a, pieces), column[a:end])
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
@@ -126,33 +186,31 @@ def score_documents(w: Weights, docs: list[np.ndarray], lanes: int = 256, window
     begins[np.cumsum(sizes[order])] = True
     lengths = np.array([sizes[r].sum() for r in rows])
     base = np.cumsum(lengths) - lengths
-    h = np.zeros((len(rows), STATE), np.float32)
-    for begin in range(0, int(lengths[0]), window):
+    table, turn, weights = np.ascontiguousarray((w["input"] + w["bias"]).T), np.ascontiguousarray(w["state"].T), _with_bias(w)
+    h = np.zeros((STATE, len(rows)), np.float32)
+    begin, longest = 0, int(lengths[0])
+    while begin < longest:
         active = int((lengths > begin).sum())
-        h, steps = h[:active], np.arange(begin, min(begin + window, int(lengths[0])))
+        h, steps = h[:, :active], np.arange(begin, min(begin + window * max(1, lanes // active), longest))
+        begin += len(steps)
         real = steps[:, None] < lengths[:active]
         at = np.minimum(base[:active] + steps[:, None], len(ids) - 1)
-        inputs = w["input"][ids[at]] + w["bias"]
-        states = np.empty((len(steps), active, STATE), np.float32)
+        inputs = np.take(table, ids[at].ravel(), 1, mode="clip").reshape(3 * STATE, *at.shape)
+        states = np.ones((STATE + 1, *at.shape), np.float32)
         fresh = begins[at] & real
         some = fresh.any(axis=1)
         for t in range(len(steps)):
             if some[t]:
-                h = np.where(fresh[t, :, None], np.float32(0), h)
-            states[t] = h
-            h, _ = step(w, inputs[t], h)
-        picked = predict(w, states[real], ids[at[real]])
+                h = np.where(fresh[t], np.float32(0), h)
+            states[:STATE, t] = h
+            h = step(turn, inputs[:, t], h)[0]
+        flat = real.ravel()
+        states = states.reshape(STATE + 1, -1)
+        picked = _predict(weights, states if flat.all() else states[:, flat], ids[at[real]])
         total += np.bincount(owner[at[real]], picked.astype(float), len(docs))
     return total
 
 
-def _sums_by_row(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids and the sums of their values."""
-    order = np.argsort(ids, kind="stable")
-    rows, first = np.unique(ids[order], return_index=True)
-    return rows, np.add.reduceat(values[order], first, axis=0)
-
-
 def gradients(w: Weights, ids: np.ndarray, real: np.ndarray, h: np.ndarray):
     """Mean loss and its gradients over one window (time by rows), and the state after it."""
     loss, g, rows, values, h = sparse_gradients(w, ids, real, h)
@@ -168,55 +226,84 @@ def sparse_gradients(w: Weights, ids: np.ndarray, real: np.ndarray, h: np.ndarra
     Back-propagation ends at the window's begin: ``h`` counts as given.
     """
     times, rows = ids.shape
-    inputs = w["input"][ids] + w["bias"]
-    states, kept = np.empty((times, rows, STATE), h.dtype if h.dtype == np.float64 else np.float32), []
+    kind = h.dtype if h.dtype == np.float64 else np.float32
+    flat_ids, flat_real = ids.ravel(), real.ravel()
+    at = np.flatnonzero(flat_real)
+    n, whole = max(1, len(at)), len(at) == ids.size
+    by_id = np.argsort(flat_ids.astype(np.int16), kind="stable")
+    in_order = flat_ids[by_id]
+    starts = np.flatnonzero(np.diff(in_order, prepend=-1))
+    touched, place = in_order[starts], np.empty(ids.size, np.intp)
+    place[by_id] = np.repeat(np.arange(len(starts)), np.diff(starts, append=ids.size))
+    inputs = np.take(np.ascontiguousarray((w["input"][touched] + w["bias"]).T), place, 1, mode="clip").reshape(3 * STATE, times, rows)
+
+    states, gates = np.ones((STATE + 1, times, rows), kind), np.empty((3 * STATE, times, rows), kind)
+    carried = np.empty((STATE, times, rows), kind)
+    turned, h = np.ascontiguousarray(w["state"].T), np.ascontiguousarray(h.T)
     for t in range(times):
-        states[t] = h
-        after, parts = step(w, inputs[t], h)
-        kept.append(parts)
-        h = np.where(real[t, :, None], after, h)
-    flat_h, flat_ids = states.reshape(-1, STATE), ids.ravel()
-    at = np.flatnonzero(real.ravel())
-    n = max(1, len(at))
-    hs, targets = flat_h[at], flat_ids[at]
-    classes = class_of(targets)
-    d = _softmax(hs @ w["class"] + w["class_bias"])
-    line, share = np.arange(len(at)), d.dtype.type(1 / n)
-    loss = -float(np.log(d[line, classes]).sum())
-    d[line, classes] -= 1
-    d *= share
-    g = {"class": hs.T @ d, "class_bias": d.sum(axis=0), "word": np.zeros_like(w["word"]), "word_bias": np.zeros_like(w["word_bias"])}
-    dh_out = d @ w["class"].T
-    for k, rows_k in _groups(classes):
-        own = hs[rows_k]
-        d = _softmax(own @ w["word"][k].T + w["word_bias"][k])
-        column, line = targets[rows_k] % CLASS_WORDS, np.arange(len(rows_k))
-        loss -= float(np.log(d[line, column]).sum())
-        d[line, column] -= 1
-        d *= share
-        g["word"][k], g["word_bias"][k] = d.T @ own, d.sum(axis=0)
-        dh_out[rows_k] += d @ w["word"][k]
-    every = np.zeros_like(flat_h)
-    every[at] = dh_out
-    every = every.reshape(times, rows, STATE)
-    back = np.zeros((rows, STATE), every.dtype)
-    dx, du = np.empty((times, rows, 3 * STATE), every.dtype), np.empty((times, rows, 3 * STATE), every.dtype)
-    turned = np.ascontiguousarray(w["state"].T)
+        states[:STATE, t] = h
+        after, gates[:, t], carried[:, t] = step(turned, inputs[:, t], h)
+        h = after if whole else np.where(real[t], after, h)
+    flat_h = states.reshape(STATE + 1, -1)
+
+    classes = class_of(flat_ids[at])
+    order, blocks = _by_class(classes)
+    tokens = at[order]
+    hs, classes, column = np.take(flat_h, tokens, 1, mode="clip"), classes[order], flat_ids[tokens] % CLASS_WORDS
+    by_class, by_word = _with_bias(w)
+    share, loss, safe = hs.dtype.type(1 / n), 0.0, _within(by_class, hs) and _within(by_word, hs)
+    g_class, g_word, d_out = np.zeros_like(by_class), np.zeros_like(by_word), np.zeros((STATE, len(at) + 1), kind)
+
+    def errors(logits: np.ndarray, row: np.ndarray) -> np.ndarray:
+        nonlocal loss
+        e, _ = _exponents(logits, safe)
+        total, line = e.sum(axis=0), np.arange(len(row))
+        loss -= float(np.log(e[row, line] / total).sum())
+        e *= share / total
+        e[row, line] -= share
+        return e
+
+    for a, b, pieces in blocks:
+        d = errors(by_class @ hs[:, a:b], classes[a:b])
+        g_class += d @ hs[:, a:b].T
+        np.matmul(w["class"], d, out=d_out[:, a:b])
+        if pieces:
+            d = errors(_logits(by_word, hs, a, pieces), column[a: pieces[-1][2]])
+            for k, i, j in pieces:
+                own = d[:, i - a: j - a]
+                g_word[k] += own @ hs[:, i:j].T
+                d_out[:, i:j] += w["word"][k].T @ own
+    g = {"class": g_class[:, :STATE].T, "class_bias": g_class[:, STATE], "word": g_word[:, :, :STATE], "word_bias": g_word[:, :, STATE]}
+    g = {k: np.ascontiguousarray(x) for k, x in g.items()}
+
+    back_to = np.full(ids.size, len(at))
+    back_to[tokens] = np.arange(len(at))
+    every = np.take(d_out, back_to, 1, mode="clip").reshape(STATE, times, rows)
+    z, r, c = gates[:STATE], gates[STATE: 2 * STATE], gates[2 * STATE:]
+    by_z, by_n, by_r = (states[:STATE] - c) * z * (1 - z), (1 - z) * (1 - c * c), carried * r * (1 - r)
+    back = np.zeros((STATE, rows), kind)
+    dx, dn = np.empty((3 * STATE, times, rows), kind), np.empty((STATE, times, rows), kind)
     for t in range(times - 1, -1, -1):
-        z, r, c, u = kept[t]
-        mask = real[t, :, None]
-        live = back * mask
-        dn = live * (1 - z) * (1 - c * c)
-        x, y = dx[t], du[t]
-        x[:, :STATE] = live * (states[t] - c) * z * (1 - z)
-        x[:, STATE: 2 * STATE] = dn * u * r * (1 - r)
-        x[:, 2 * STATE:] = dn
-        y[:, : 2 * STATE], y[:, 2 * STATE:] = x[:, : 2 * STATE], dn * r
-        back = every[t] + live * z + y @ turned + back * ~mask
-    flat = dx.reshape(-1, 3 * STATE)
-    g["state"], g["bias"] = flat_h.T @ du.reshape(-1, 3 * STATE), flat.sum(axis=0)
-    touched, values = _sums_by_row(flat_ids[at], flat[at])
-    return loss / n, g, touched, values, h
+        live = back if whole else back * real[t]
+        x = dx[:, t]
+        np.multiply(live, by_z[:, t], out=x[:STATE])
+        np.multiply(live, by_n[:, t], out=x[2 * STATE:])
+        np.multiply(x[2 * STATE:], by_r[:, t], out=x[STATE: 2 * STATE])
+        np.multiply(x[2 * STATE:], r[:, t], out=dn[:, t])
+        before = w["state"][:, : 2 * STATE] @ x[: 2 * STATE] + w["state"][:, 2 * STATE:] @ dn[:, t]
+        before += live * z[:, t]
+        before += every[:, t]
+        back = before if whole else before + back * ~real[t]
+    flat, dn, flat_h = dx.reshape(3 * STATE, -1), dn.reshape(STATE, -1), flat_h[:STATE]
+    g["state"] = np.concatenate((flat_h @ flat[: 2 * STATE].T, flat_h @ dn.T), 1)
+    g["bias"] = flat.sum(axis=1)
+    values = np.empty((len(touched), 3 * STATE), kind)
+    for j, x in enumerate(flat):
+        values[:, j] = np.bincount(place, x, len(touched))
+    if not whole:
+        own = np.bincount(place[at], minlength=len(touched)) > 0
+        touched, values = touched[own], values[own]
+    return loss / n, g, touched, values, h.T
 
 
 class _Adam:
@@ -228,11 +315,19 @@ class _Adam:
 
     def apply(self, name: str, at, x: np.ndarray) -> None:
         first, second = self.first[name], self.second[name]
-        m = first[at] * np.float32(0.9) + np.float32(0.1) * x
-        v = second[at] * np.float32(0.99) + np.float32(0.01) * x * x
-        first[at], second[at] = m, v
-        pace = np.float32(self.rate / (1 - 0.9**self.turn))
-        self.w[name][at] -= pace * m / (np.sqrt(v * np.float32(1 / (1 - 0.99**self.turn))) + np.float32(1e-6))
+        m, v = first[at], second[at]
+        m *= np.float32(0.9)
+        m += np.float32(0.1) * x
+        v *= np.float32(0.99)
+        v += np.float32(0.01) * x * x
+        if not isinstance(at, slice):
+            first[at], second[at] = m, v
+        scale = v * np.float32(1 / (1 - 0.99**self.turn))
+        np.sqrt(scale, out=scale)
+        scale += np.float32(1e-6)
+        np.divide(m, scale, out=scale)
+        scale *= np.float32(self.rate / (1 - 0.9**self.turn))
+        self.w[name][at] -= scale
 
 
 #: Runs that a training step reads side by side, and batches that there should be at least.

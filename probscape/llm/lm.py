@@ -51,14 +51,21 @@ def tokens(rows: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarra
         yield block, hashes, tail, np.concatenate(([0], cuts + np.arange(1, len(cuts) + 1)))
 
 
+def _tally(hashes: np.ndarray, tail: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, their tail classes and how often they occur (or the sums of ``c``)."""
+    order = np.argsort(hashes)
+    found = hashes[order]
+    first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+    times = np.diff(first, append=len(found)) if c is None else np.add.reduceat(c[order], first)
+    return found[first], tail[order[first]], times.astype(np.int64)
+
+
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts by word of a task's training texts, combined before the shuffle."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def merged():
-        h, k, c = (np.concatenate(x) for x in zip(*held))
-        words, first, at = np.unique(h, return_index=True, return_inverse=True)
-        return words, k[first], np.bincount(at, c, len(words)).astype(np.int64)
+        return _tally(*(np.concatenate(x) for x in zip(*held)))
 
     def made(parts):
         return pa.RecordBatch.from_arrays(
@@ -66,8 +73,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in text_rows(batches):
         for _, hashes, tail, _ in tokens(texts(batch)):
-            words, first, c = np.unique(hashes, return_index=True, return_counts=True)
-            held.append((words, tail[first], c))
+            held.append(_tally(hashes, tail))
         if sum(len(x[0]) for x in held) > COUNT_ROWS:
             parts = merged()
             held = [parts]
@@ -87,13 +93,27 @@ class _Vocabulary:
         ids[rank[: gru.HEAD]] = np.arange(min(gru.HEAD, len(words)))
         order = np.argsort(words)
         self.words, self.counts, self.ids = words[order], counts[order], ids[order]
+        # where the words of each leading bits begin; about one word in four leading bits, so few begin together
+        self.shift = np.uint64(64 - max(1, len(words).bit_length() + 2))
+        heads = (self.words >> self.shift).astype(np.int64)
+        self.begin = np.searchsorted(heads, np.arange((1 << int(64 - int(self.shift))) + 1)).astype(np.int32)
+        self.most = int(np.diff(self.begin).max(initial=0))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Positions among the known words; -1 for others."""
         if not len(self.words):
             return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, -1)
+        at = self.begin[hashes >> self.shift]
+        out = np.where(self.words[np.minimum(at, len(self.words) - 1)] == hashes, at, -1)
+        rest = np.flatnonzero(out < 0)
+        for k in range(1, self.most):
+            later = np.minimum(at[rest] + k, len(self.words) - 1)
+            hit = self.words[later] == hashes[rest]
+            out[rest[hit]] = later[hit]
+            rest = rest[~hit & (later < self.begin[(hashes[rest] >> self.shift) + np.uint64(1)] - 1)]
+            if not len(rest):
+                break
+        return out
 
     def model_ids(self, at: np.ndarray, tail: np.ndarray) -> np.ndarray:
         own = np.where(at >= 0, self.ids[at], -1) if len(self.ids) else np.full(len(at), -1)

@@ -349,3 +349,35 @@ def test_long_secrets_are_whole(spark):
     assert found[0].n_secret == 1 and found[0].found and found[0].n_added == 1 and not found[99].found and found[99].n_secret == 0
     clean = {r.doc_id: r.text for r in personal_data.redact(table(spark, rows)).collect()}
     assert clean[7] == "password: <secret> is the key" and clean[99] == "plain words"
+
+
+def test_a_long_text_alone_is_read_in_long_windows(monkeypatch):
+    """Where few lanes are left, a window holds as many tokens as with all of them; a text costs few softmax passes."""
+    rng = np.random.default_rng(4)
+    w = gru.start_weights(rng.random(gru.HEAD) + 0.1, rng.random(gru.TAILS) + 1)
+    w["word"] += rng.normal(0, 0.3, w["word"].shape).astype(np.float32)
+    docs = [rng.integers(0, gru.INPUTS, n).astype(np.int32) for n in (20_000, *[5] * 300)]
+    calls, plain = [], gru.class_of
+    monkeypatch.setattr(gru, "class_of", lambda ids: calls.append(len(ids)) or plain(ids))
+    got = gru.score_documents(w, docs)
+    assert len(calls) <= 10 and max(calls) <= 256 * 32
+    assert np.allclose(got, gru.score_documents(w, docs, lanes=1), rtol=1e-4)
+
+
+def test_large_logits_do_not_overflow():
+    w = gru.start_weights(np.ones(gru.HEAD), np.ones(gru.TAILS))
+    w["class"][:, 0] += 60
+    h = np.ones((3, gru.STATE), np.float32)
+    found = gru.predict(w, h, np.array([0, 1, gru.HEAD]))
+    assert np.allclose(found[:2], -np.log(gru.CLASS_WORDS), atol=1e-4) and np.isclose(found[2], -60 * gru.STATE, rtol=1e-2)
+    loss, g, _, _, _ = gru.sparse_gradients(w, np.zeros((2, 3), int), np.ones((2, 3), bool), h)
+    assert np.isfinite(loss) and all(np.isfinite(x).all() for x in g.values())
+
+
+def test_words_are_found_by_their_leading_bits():
+    rng = np.random.default_rng(5)
+    words = np.unique(np.concatenate((rng.integers(0, 1 << 63, 5000, dtype=np.uint64), np.arange(40, dtype=np.uint64), [np.uint64(2**64 - 1)])))
+    v = lm._Vocabulary(words, np.ones(len(words), np.int64))
+    asked = np.concatenate((words, words + np.uint64(1), rng.integers(0, 1 << 63, 500, dtype=np.uint64)))
+    at = np.minimum(np.searchsorted(words, asked), len(words) - 1)
+    assert v.most >= 40 and (v.find(asked) == np.where(words[at] == asked, at, -1)).all()
