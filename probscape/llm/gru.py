@@ -74,7 +74,7 @@ def class_of(ids: np.ndarray) -> np.ndarray:
 
 
 #: Tokens whose logits are worked on at a time, to stay in the processor's cache.
-_TOKENS = 512
+_TOKENS = 1024
 
 
 def _by_class(classes: np.ndarray):

@@ -31,6 +31,10 @@ END = np.uint64(0x5EED5EED5EED5EED)
 _LOG10 = np.log(10.0)
 
 
+#: Tail classes by last byte, the byte before it and whether a word has bytes beyond ASCII.
+_TAIL = (mix(np.arange(1 << 17, dtype=np.uint64)) % np.uint64(gru.TAILS)).astype(np.int32)
+
+
 def tokens(rows: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of texts: their indexes, hashes and tail classes of all their tokens, and bounds.
 
@@ -40,14 +44,15 @@ def tokens(rows: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarra
     for block, data, ends in text_blocks(rows):
         hashes, start, end = word_hashes(data)
         raw = np.frombuffer(data, np.uint8)
-        wide = np.concatenate(([0], np.cumsum(raw >= 128)))
-        last = raw[end - 1].astype(np.uint64) if len(end) else np.zeros(0, np.uint64)
-        second = np.where(end - start > 1, raw[np.maximum(end - 2, 0)], 0).astype(np.uint64) if len(end) else last
-        tail = mix(last * np.uint64(512) + second * np.uint64(2) + (wide[end] > wide[start])) % np.uint64(gru.TAILS)
+        wide = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum(raw >= 128, out=wide[1:])
+        last = raw[end - 1].astype(np.int32) if len(end) else np.zeros(0, np.int32)
+        second = np.where(end - start > 1, raw[np.maximum(end - 2, 0)], 0).astype(np.int32) if len(end) else last
+        tail = _TAIL[last * 512 + second * 2 + (wide[end] > wide[start])]
         cuts = np.searchsorted(start, ends)
         # the end token is put in behind the words of each text
         hashes = np.insert(hashes, cuts, END)
-        tail = np.insert(tail.astype(np.int32), cuts, 0)
+        tail = np.insert(tail, cuts, 0)
         yield block, hashes, tail, np.concatenate(([0], cuts + np.arange(1, len(cuts) + 1)))
 
 
@@ -212,7 +217,7 @@ def _scorer(vocabulary, weights, mass, log_n: float):
         v, w, masses = vocabulary.value, weights.value, mass.value
         names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "words", "times"]
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-        logs = np.log10(v.counts + 0.5)
+        logs, log_masses = np.log10(v.counts + 0.5), np.log10(masses)
         for batch in text_rows(batches, 16 << 20):
             ids, held, size = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.num_rows
             n, known, base, extra = (np.zeros(size, t) for t in (np.int64, np.int64, float, float))
@@ -224,7 +229,7 @@ def _scorer(vocabulary, weights, mass, log_n: float):
                 seen = at >= 0
                 log_c = np.where(seen, logs[at], 0.0) if len(logs) else np.zeros(len(at))
                 own = np.repeat(np.arange(len(block)), np.diff(bounds))
-                within = np.where(model >= gru.HEAD, log_c - np.log10(masses[np.maximum(model - gru.HEAD, 0)]), 0.0)
+                within = np.where(model >= gru.HEAD, log_c - log_masses[np.maximum(model - gru.HEAD, 0)], 0.0)
                 for out, value in ((n, np.ones(len(at))), (known, seen), (base, log_c - log_n), (extra, within)):
                     out[block] = np.bincount(own, value, len(block))
                 for j, i in enumerate(block):

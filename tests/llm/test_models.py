@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from probscape.llm import decontamination, gru, html_text, lm, personal_data, quality
+from probscape.llm.common import word_spans
 
 SCHEMA = "doc_id long, text string, lang string, label int, score double, turn string, item_id string"
 
@@ -381,3 +382,9 @@ def test_words_are_found_by_their_leading_bits():
     asked = np.concatenate((words, words + np.uint64(1), rng.integers(0, 1 << 63, 500, dtype=np.uint64)))
     at = np.minimum(np.searchsorted(words, asked), len(words) - 1)
     assert v.most >= 40 and (v.find(asked) == np.where(words[at] == asked, at, -1)).all()
+
+
+def test_words_end_at_white_space_only():
+    for data in (b"", b" ", b"a", b" a\tb\x0b", bytes(range(256)), b"\x00 \xff\r\n\x0e\x08"):
+        found = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", data)]
+        assert found == list(zip(*(x.tolist() for x in word_spans(data)), strict=True))
