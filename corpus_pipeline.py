@@ -18,6 +18,9 @@ from probscape.llm.packing import pack
 from probscape.llm.quality import keep_good
 from probscape.llm.queries import table, tokenizer_path
 
+#: Units of text that a packing task remembers: executors still hold the memory of the stages before.
+REMEMBERED = 200_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold go; without labels of both kinds all stay. Empty texts are scored too."""
@@ -41,7 +44,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, cut and packed into sequences; an empty text is its end token."""
-    return pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    return pack(docs, tokenizer_path("byte_bpe_50k.json"), most=REMEMBERED)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", decontaminate), ("packing", packing)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 from probscape.llm.common import Stages, by_id, text_rows, texts
 from probscape.llm.tokens import _stem, tokenizer
 
-#: Units that a worker remembers, and their longest length in bytes.
+#: Units that a worker remembers (about 160 bytes each), and their longest length in bytes.
 MEMORY_UNITS = 1_500_000
 UNIT_BYTES = 48
+#: Units that go through the library at a time.
+BATCH_UNITS = 2_000
 #: Buckets in which pieces of one length are numbered, so that no length is numbered in one task.
 SHARES = 64
 
@@ -63,8 +66,8 @@ def _bytes_of(size: int) -> list[bytes]:
 def _encode(path: str, many: list[bytes]) -> list[bytes]:
     library, found = tokenizer(path), []
     spell = _bytes_of(library.get_vocab_size()).__getitem__
-    for i in range(0, len(many), 20_000):
-        batch = [u.decode() for u in many[i: i + 20_000]]
+    for i in range(0, len(many), BATCH_UNITS):
+        batch = [u.decode() for u in many[i: i + BATCH_UNITS]]
         found += [b"".join(map(spell, x.ids)) for x in library.encode_batch_fast(batch, add_special_tokens=False)]
     return found
 
@@ -80,8 +83,10 @@ def _gaps(found: list) -> Iterator[int]:
         return
 
 
-def encode(rows: list[bytes], path: str) -> Iterator[bytes]:
-    """The ids of each text as little-endian 32-bit numbers; units met again are looked up."""
+def encode(rows: list[bytes], path: str, most: int = MEMORY_UNITS) -> Iterator[bytes]:
+    """The ids of each text as little-endian 32-bit numbers; units met again are looked up.
+
+    Beyond ``most`` units the half met first, which holds the common ones, is kept; the others are encoded again."""
     memory = _memory(path)
     for i in range(0, len(rows), 300):
         split = [units(row) for row in rows[i: i + 300]]
@@ -104,18 +109,20 @@ def encode(rows: list[bytes], path: str) -> Iterator[bytes]:
                 ids[j] = fresh[us[j]] if us[j] in fresh else memory[us[j]]
             yield b"".join(ids)
         memory.update((u, x) for u, x in fresh.items() if len(u) <= UNIT_BYTES)
-        if len(memory) > MEMORY_UNITS:
+        if len(memory) > most:
+            first = list(itertools.islice(memory.items(), most // 2))
             memory.clear()
+            memory.update(first)
 
 
-def _cut(path: str, end: int, window: int):
+def _cut(path: str, end: int, window: int, most: int):
     """Whole windows of each document, and what is left of it."""
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "part", "start", "length", "ids_crc32", "doc_tokens"]
         for batch in text_rows(batches):
             out: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts(batch), path)):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts(batch), path, most)):
                 ids += end.to_bytes(4, "little")
                 n = len(ids) // 4
                 out += [(doc, i // window, i, min(window, n - i), zlib.crc32(ids[4 * i: 4 * (i + window)]), n) for i in range(0, n, window)]
@@ -211,7 +218,7 @@ def _place(layout: dict[int, np.ndarray]):
 _OUT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def pack(docs: DataFrame, path: str, end: int = 1, window: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, path: str, end: int = 1, window: int = 2048, most: int = MEMORY_UNITS) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of every piece.
 
     A document is its ids by the byte-level tokenizer at ``path`` and the id ``end``. Whole windows
@@ -219,12 +226,14 @@ def pack(docs: DataFrame, path: str, end: int = 1, window: int = 2048) -> DataFr
     a window) is packed by minimum bin slack: a plan is made from the counts of the piece lengths (at
     most ``window`` numbers), and each piece finds its place from its rank among those of its length.
 
+    A task remembers the ids of at most ``most`` units of text; fewer take less memory and more time.
+
     Null and empty texts are the id ``end`` alone. Repeated rows and null ids are documents like any
     other. Other columns are not read; an empty table gives an empty result.
     """
     stages = Stages(docs.sparkSession, "packing")
     kinds = "doc_id long, part long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = by_id(docs).mapInArrow(_cut(path, end, window), kinds)
+    pieces = by_id(docs).mapInArrow(_cut(path, end, window, most), kinds)
     pieces = pieces.withColumn("share", F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(SHARES)).cast("int"))
     pieces = stages.keep(pieces)
 

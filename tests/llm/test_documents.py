@@ -223,6 +223,16 @@ def test_packing(spark, corpus):
     assert packing.pack(table(spark, [(1, "a"), (1, "a"), (None, None)]), BYTE).count() == 3
 
 
+def test_packing_memory_is_bounded():
+    rows = [" ".join(f"w{(7 * i + j) % 900}x{i % 3}," for j in range(40)).encode() for i in range(900)]
+    packing._memory(BYTE).clear()
+    want = list(packing.encode(rows, BYTE))
+    packing._memory(BYTE).clear()
+    assert list(packing.encode(rows, BYTE, 500)) == want
+    assert 250 <= len(packing._memory(BYTE)) <= 500
+    packing._memory(BYTE).clear()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=12, max_size=12))
 def test_fill_is_the_best_sum(counts):
