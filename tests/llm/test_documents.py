@@ -289,3 +289,22 @@ def test_repeated_ids(spark):
     lines = [(1, f"{a}\n{b}"), (1, f"{b}\nsame line"), (2, f"{a}x\nsame line!"), (2, None)]
     found = line_dedup.fuzzy_lines(table(spark, lines)).collect()
     assert len(found) == 7 and sorted(r.group_size for r in found) == [1, 1, 1, 2, 2, 2, 2]
+
+
+def test_rare_pairs_order_what_components_share(spark):
+    from probscape.llm.common import rare_pairs
+
+    # two components of five near copies, each of which shares 3 of 10 items with one of the others; nodes 20 and 21 share 9
+    rows = {i: (1, [*range(100, 107), *range(200 + 10 * i, 203 + 10 * i)]) for i in range(5)}
+    rows |= {i: (10, [*range(300, 307), *range(100 + 10 * i, 103 + 10 * i)]) for i in range(10, 15)}
+    rows |= {20: (20, [*range(400, 410)]), 21: (21, [*range(401, 411)])}
+    nodes = spark.createDataFrame([(i, c) for i, (c, _) in rows.items()], "node long, component long")
+    sets = spark.createDataFrame([(i, x) for i, (_, x) in rows.items()], "node long, items array<long>")
+    for once in (False, True):
+        assert {tuple(r) for r in rare_pairs(nodes, sets, 80, once).collect()} == {(20, 21)}
+    rng = random.Random(5)
+    rows = {i: (i // 3, sorted(rng.sample(range(14), 10))) for i in range(60)}
+    nodes = spark.createDataFrame([(i, c) for i, (c, _) in rows.items()], "node long, component long")
+    sets = spark.createDataFrame([(i, x) for i, (_, x) in rows.items()], "node long, items array<long>")
+    alike = {(a, b) for a in rows for b in rows if a < b and rows[a][0] != rows[b][0] and 100 * len(set(rows[a][1]) & set(rows[b][1])) >= 80 * len(set(rows[a][1]) | set(rows[b][1]))}
+    assert alike and alike <= {tuple(r) for r in rare_pairs(nodes, sets, 80, True).collect()}
