@@ -308,3 +308,15 @@ def test_rare_pairs_order_what_components_share(spark):
     sets = spark.createDataFrame([(i, x) for i, (_, x) in rows.items()], "node long, items array<long>")
     alike = {(a, b) for a in rows for b in rows if a < b and rows[a][0] != rows[b][0] and 100 * len(set(rows[a][1]) & set(rows[b][1])) >= 80 * len(set(rows[a][1]) | set(rows[b][1]))}
     assert alike and alike <= {tuple(r) for r in rare_pairs(nodes, sets, 80, True).collect()}
+
+
+def test_tidy_stages_leave_no_shuffle_files(spark):
+    from probscape.llm.common import TIDY, Stages
+
+    def files():
+        found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(found.size()) if (n := found.apply(i).getName()).startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(TIDY)
+    kept = Stages(spark, "tidy", tidy=True).keep(spark.range(100_000).selectExpr("id % 777 AS k").groupBy("k").count())
+    assert files() <= before and spark.conf.get(TIDY) == setting and kept.count() == 777
