@@ -5,12 +5,14 @@ import itertools
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from probscape.llm import line_dedup, near_dedup, packing, tokens
 from probscape.llm.exact_dedup import directory, drop_copies, exact_dedup
@@ -310,6 +312,67 @@ def test_rare_pairs_order_what_components_share(spark):
     assert alike and alike <= {tuple(r) for r in rare_pairs(nodes, sets, 80, True).collect()}
 
 
+def test_rare_pairs_by_slices(spark, monkeypatch):
+    """The same pairs from a quarter of the items at a time; items with one hash lose no pair."""
+    from probscape.llm.common import Stages, rare_pairs
+
+    rng = random.Random(5)
+    rows = {i: (i // 3, sorted(rng.sample(range(14), 10))) for i in range(60)}
+    nodes = spark.createDataFrame([(i, c) for i, (c, _) in rows.items()], "node long, component long")
+    alike = {(a, b) for a in rows for b in rows if a < b and rows[a][0] != rows[b][0] and 100 * len(set(rows[a][1]) & set(rows[b][1])) >= 80 * len(set(rows[a][1]) | set(rows[b][1]))}
+    keep, written = Stages.keep, []
+
+    def counted(self, df):
+        written.append((out := keep(self, df)).count())
+        return out
+
+    monkeypatch.setattr(Stages, "keep", counted)
+    for hashed in (False, True):
+        sets = spark.createDataFrame([(i, [-(7 * k) % 11 if hashed else k - 9 for k in x]) for i, (_, x) in rows.items()], "node long, items array<int>")
+        written.clear()
+        found = {tuple(r) for r in rare_pairs(nodes, sets, 80, True, Stages(spark, "rare", tidy=True)).collect()}
+        assert alike and alike <= found and (hashed or found == {tuple(r) for r in rare_pairs(nodes, sets, 80, True).collect()})
+        assert sum(written[1:5]) == 600 and max(written[1:5]) < 300
+
+
+def test_line_sets_are_not_stored(spark, monkeypatch):
+    """No stage takes much more than the lines themselves: sets of hashes have eight bytes for every character."""
+    from probscape.llm.common import Stages
+
+    keep, sizes = Stages.keep, {}
+
+    def measured(self, df):
+        out = keep(self, df)
+        folder = Path(out._stage_path.removeprefix("file:"))
+        sizes[tuple(out.columns)] = sum(f.stat().st_size for f in folder.glob("*.parquet"))
+        return out
+
+    rng = random.Random(7)
+    lines = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=900)) for _ in range(200)]
+    monkeypatch.setattr(Stages, "keep", measured)
+    found = line_dedup.fuzzy_lines(table(spark, [(2 * i + k, x + "!" * k) for i, x in enumerate(lines) for k in (0, 1)]))
+    assert {r.doc_id: r.keep_doc_id for r in found.collect()} == {i: i // 2 * 2 for i in range(400)}
+    assert max(sizes.values()) < 2 * 400 * 900, sizes
+
+
+def test_pieces_and_items_of_lines(spark):
+    """Cut from bytes, they are the nine characters from every character on, as a pattern gives them."""
+    rng = random.Random(1)
+    lines = ["a", "abcdefgh", "abcdefghi", "äbcdefgh", "äbcdefghiö", "🙂" * 3 + "abc", "🙂" * 12, "é" * 8, "x" * 30, "\x00abc\x01defghijk"]
+    lines += ["".join(rng.choices("ab é日🙂ü.", k=rng.randint(1, 60))) for _ in range(200)]
+    df = spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "h long, g long, line string")
+    want = {i: [x[j: j + 9] for j in range(max(1, len(x) - 8))] for i, x in enumerate(lines)}
+    got = {i: [] for i in want}
+    for r in line_dedup._pieces(df).collect():
+        got[r.h].append(r.piece)
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items()}
+    items = {r.h: r.items for r in df.select("h", line_dedup._items(F.col("line")).alias("items")).collect()}
+    assert {i: len(x) for i, x in items.items()} == {i: len(set(x)) for i, x in want.items()}
+    assert len({x for part in items.values() for x in part}) == len({x for part in want.values() for x in part})
+    bad = spark.sql("SELECT 1L AS h, 1L AS g, cast(X'80C3FF' AS string) AS line")
+    assert line_dedup._pieces(bad).count() >= 1
+
+
 def test_tidy_stages_leave_no_shuffle_files(spark):
     from probscape.llm.common import TIDY, Stages
 
